@@ -149,9 +149,10 @@ def to_probability(df: DataFrame, value: str, out: str, dist: str, right_closed:
         df.withColumn("_bin", number)
         .withColumn("_lo", F.when(index > size, F.lit(1.0)).otherwise(_share(f"{dist}_cdf", index - 1)))
         .withColumn("_hi", F.when(index >= size, F.lit(1.0)).otherwise(_share(f"{dist}_cdf", index)))
-        # Rounding may put the product one unit above a share of 1.
-        .withColumn(out, F.least(slope * (value_col - low_edge) + F.col("_lo"), F.lit(1.0)))
-        .drop("_bin", "_lo", "_hi")
+        .withColumn("_p_raw", slope * (value_col - low_edge) + F.col("_lo"))
+        # Rounding may put the product one unit above a share of 1 (``least`` would fill NULL).
+        .withColumn(out, F.when(F.col("_p_raw") > 1, F.lit(1.0)).otherwise(F.col("_p_raw")))
+        .drop("_bin", "_lo", "_hi", "_p_raw")
     )
 
 

@@ -19,6 +19,7 @@ from stagecast.operators.clean import observed_levels, simulated
 from stagecast.operators.ranks import with_rank
 from stagecast.operators.lookup import lookup_join
 from stagecast.tables import Tables
+from stagecast.workspace import materialise
 
 SKILL = ("ME", "RMSE", "NRMSE (Mean)", "NSE", "KGE (2009)", "KGE (2012)", "R (Pearson)", "R (Spearman)", "r2")
 COMPARED = ("ME", "RMSE", "NRMSE (Mean)", "MAPE", "NSE", "KGE (2009)", "KGE (2012)")
@@ -90,7 +91,12 @@ def _long(metrics: dict[str, list[tuple[str, Column]]]) -> Column:
 
 
 def skill_metrics(pairs: DataFrame, whole_group: int | None = None) -> DataFrame:
-    """The nine skill metrics of the corrected series: (hydroweb, metric, value)."""
+    """The nine skill metrics of the corrected series: (hydroweb, metric, value).
+
+    The pairs are stored first: ranking reads them several times and joins on computed values,
+    whose whole computation Catalyst would otherwise copy into the filters it derives.
+    """
+    pairs = materialise(pairs, "pairs")
     basic = pairs.groupBy("hydroweb").agg(*_aggregates(F.col("corrected"), F.col("obs"), "c"))
     values = pairs.select("hydroweb", "corrected", "obs")
     ranked = with_rank(with_rank(values, "hydroweb", "corrected", "rs", whole_group), "hydroweb", "obs", "ro", whole_group)

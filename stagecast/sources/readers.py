@@ -88,30 +88,29 @@ def load_forecast(qout: DataFrame, station: DataFrame, initialized: str) -> Data
     )
 
 
-def read_altimetry(spark: SparkSession, path: str, file_glob: str | None = "hydroprd*.txt") -> DataFrame:
-    """Altimetry product texts below ``path``: (product, datetime, waterlevel), dates only.
+def parse_altimetry(lines: DataFrame) -> DataFrame:
+    """Lines (value, file) of altimetry products: (product, datetime, waterlevel), dates only.
 
     Every line that begins with a date is data, whatever the length of the header. Fields are
     separated by one blank: date, time, level. ``product`` is the file name without prefix and
-    ending. All files are read in parallel; ``file_glob=None`` takes the product name from the
-    folder instead, for products that were written as folders of parts.
+    ending.
     """
-    reader = spark.read.option("recursiveFileLookup", True)
-    if file_glob is not None:
-        reader = reader.option("pathGlobFilter", file_glob)
     fields = F.split("value", " ")
-    return (
-        reader.text(path)
-        .select("value", F.regexp_extract(F.col("_metadata.file_path"), r"hydroprd_([^/]*)\.txt", 1).alias("product"))
-        .where(F.col("value").rlike(r"^\d{4}-\d{2}-\d{2}"))
-        .select(
-            "product",
-            F.to_date(F.get(fields, F.lit(0)), "yyyy-MM-dd").cast("timestamp_ntz").alias("datetime"),
-            F.get(fields, F.lit(2)).try_cast("double").alias("waterlevel"),
-        )
+    return lines.where(F.col("value").rlike(r"^\d{4}-\d{2}-\d{2}")).select(
+        F.regexp_extract("file", r"hydroprd_([^/]*)\.txt", 1).alias("product"),
+        F.to_date(F.get(fields, F.lit(0)), "yyyy-MM-dd").cast("timestamp_ntz").alias("datetime"),
+        F.get(fields, F.lit(2)).try_cast("double").alias("waterlevel"),
     )
 
 
+def read_altimetry(spark: SparkSession, path: str) -> DataFrame:
+    """All product texts ``hydroprd*.txt`` below ``path``, read in parallel."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "hydroprd*.txt").text(path)
+    # File paths in the metadata are URL-encoded; a plus sign in a name is literal there.
+    name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return parse_altimetry(lines.select("value", name.alias("file")))
+
+
 def compile_observed(products: DataFrame, station: DataFrame) -> DataFrame:
     """Products of known stations as observations; stations without a product are left out.
 

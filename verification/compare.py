@@ -28,7 +28,9 @@ def canonical(frame: pd.DataFrame) -> pd.DataFrame:
     """Columns by name, rows by content, dates and moments as text."""
     frame = frame[sorted(frame.columns)].copy()
     for name in frame.columns:
-        if frame[name].dtype.kind in "OMm" or "date" in str(frame[name].dtype):
+        if frame[name].dtype.kind == "M":
+            frame[name] = frame[name].astype("datetime64[us]")
+        elif frame[name].dtype.kind == "O":
             missing = frame[name].isna()
             frame[name] = frame[name].map(lambda v: str(v).replace(" 00:00:00", ""))
             frame.loc[missing, name] = None
@@ -56,6 +58,7 @@ def main(folder: str, names: list[str]) -> int:
     from verification import oracle, queries
 
     spark, con = local_session(8), connect(folder)
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     runs, sqls = queries.registry(), oracle.registry()
     failed = 0
     for name in names or list(runs):

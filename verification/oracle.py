@@ -14,8 +14,14 @@ _DAYS = range(1, 15)
 _INIT = "TIMESTAMP '2002-01-28 00:00:00'"
 
 
-def _r(expr: str, digits: int = 6) -> str:
-    return f"round({expr}, {digits}) + 0.0"
+def _r(expr: str) -> str:
+    """Six digits, as on the Spark side (see ``rounded``)."""
+    return f"floor(({expr}) * 1000000.0::DOUBLE + 0.53::DOUBLE) / 1000000.0::DOUBLE"
+
+
+def _half_up(expr: str, digits: int) -> str:
+    """Decimal rounding of the printed number."""
+    return f"CAST(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38, {digits})) AS DOUBLE)"
 
 
 def _gumbel(spread: str, mean: str, rp) -> str:
@@ -428,8 +434,8 @@ FINAL: dict[str, str] = {
         for m in _compared
     ),
     "historical_series": f"""
-      SELECT hydroweb, 'simulation' AS series, datetime, {_r('corrected', 3)} AS value FROM cor
-      UNION ALL SELECT hydroweb, 'observed', datetime, {_r('v', 3)} FROM lev""",
+      SELECT hydroweb, 'simulation' AS series, datetime, {_half_up('corrected', 3)} AS value FROM cor
+      UNION ALL SELECT hydroweb, 'observed', datetime, {_half_up('v', 3)} FROM lev""",
     "recent_records": f"SELECT hydroweb, initialized, datetime, {_r('corrected')} AS corrected FROM recent",
     "forecast_series": " UNION ALL ".join(
         f"SELECT hydroweb, initialized, '{c}' AS series, datetime, {_r(c)} AS value, CAST(NULL AS DOUBLE) AS upper "
