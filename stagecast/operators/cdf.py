@@ -87,16 +87,22 @@ def histogram_layout(extremes: DataFrame, key: str, shift_min: bool) -> DataFram
     )
 
 
+_LAYOUT = ("n", "base", "low", "high", "step", "last")
+
+
 def month_histogram(df: DataFrame, key: str, value: str, shift_min: bool = False) -> DataFrame:
-    """Non-empty bins: layout columns plus ``bin`` and its ``rows``."""
+    """Non-empty bins: layout columns plus ``bin`` and its ``rows``.
+
+    Counting carries the layout along, as it is the same for all rows of a group: the counts do
+    not have to meet the layout a second time.
+    """
     rows = series(df, key, value).withColumn("month", F.month("datetime"))
     layout = materialise(histogram_layout(month_extremes(rows, key, value), key, shift_min), "histogram-layout")
-    binned = lookup_join(
-        rows.select(key, "month", value), layout.select(key, "month", "base", "step"),
-        [key, "month"], LAYOUT_BYTES, layout,
-    ).withColumn("bin", bin_number(clamp(F.col(value) - F.col("base")), F.col("step")))
-    counts = binned.groupBy(key, "month", "bin").agg(F.count(F.lit(1)).alias("rows"))
-    return counts.join(layout, [key, "month"])
+    binned = lookup_join(rows.select(key, "month", value), layout, [key, "month"], LAYOUT_BYTES, layout)
+    number = bin_number(clamp(F.col(value) - F.col("base")), F.col("step"))
+    return binned.groupBy(key, "month", number.alias("bin")).agg(
+        F.count(F.lit(1)).alias("rows"), *[F.first(c).alias(c) for c in _LAYOUT]
+    )
 
 
 def month_cdf(df: DataFrame, key: str, value: str, shift_min: bool = False) -> DataFrame:
@@ -108,23 +114,25 @@ def month_cdf(df: DataFrame, key: str, value: str, shift_min: bool = False) -> D
 
 
 def packed_cdf(df: DataFrame, key: str, value: str, shift_min: bool = False) -> DataFrame:
-    """One row per (key, month) in the form described above; empty inner bins repeat the share."""
-    filled = F.transform(
-        F.sequence("first", "final"),
-        lambda number: F.array_max(
-            F.transform(F.filter("bins", lambda b: b["bin"] <= number), lambda b: b["cdf"])
-        ),
-    )
+    """One row per (key, month) in the form described above.
+
+    A group has at most 66 bins here, so they are collected and summed within their row; a bin
+    without rows repeats the share before it.
+    """
+    def share(number):
+        upto = F.filter("bins", lambda b: b["bin"] <= number)
+        total = F.aggregate(upto, F.lit(0).cast("long"), lambda acc, b: acc + b["rows"])
+        return total.cast("double") / F.col("n").cast("double")
+
     return (
-        month_cdf(df, key, value, shift_min)
+        month_histogram(df, key, value, shift_min)
         .groupBy(key, "month")
         .agg(
-            *[F.first(c).alias(c) for c in ("n", "base", "low", "high", "step", "last")],
-            F.min("bin").alias("first"),
-            F.max("bin").alias("final"),
-            F.collect_list(F.struct("bin", "cdf")).alias("bins"),
+            *[F.first(c).alias(c) for c in _LAYOUT],
+            F.min("bin").alias("first"), F.max("bin").alias("final"),
+            F.collect_list(F.struct("bin", "rows")).alias("bins"),
         )
-        .withColumn("cdf", filled)
+        .withColumn("cdf", F.transform(F.sequence("first", "final"), share))
         .drop("bins", "final")
     )
 

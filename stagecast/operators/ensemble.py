@@ -84,25 +84,22 @@ def daily_maximum(corrected: DataFrame) -> DataFrame:
     """Largest corrected value per calendar day and member.
 
     Every day between the first and the last row of a run appears for every member of the run;
-    days without rows are NULL. The day grid enters as rows without a value, so one aggregation
-    does both.
+    days without rows are NULL. Gaps are filled from the daily rows themselves: each row is
+    stretched to the day before the member's next one. A window holds the days of one run.
     """
-    rows = corrected.select(
-        "hydroweb", "initialized", F.to_date("datetime").alias("day"), "member", "corrected"
-    )
-    grid = (
-        rows.groupBy("hydroweb", "initialized", "member")
-        .agg(F.min("day").alias("a"), F.max("day").alias("b"))
-        .groupBy("hydroweb", "initialized")
-        .agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sort_array(F.collect_set("member")).alias("members"))
-        .select("hydroweb", "initialized", F.explode(F.sequence("a", "b")).alias("day"), "members")
-        .select("hydroweb", "initialized", "day", F.explode("members").alias("member"),
-                F.lit(None).cast("double").alias("corrected"))
+    daily = corrected.groupBy("hydroweb", "initialized", F.to_date("datetime").alias("day"), "member").agg(
+        F.max("corrected").alias("max_value")
     )
+    run = Window.partitionBy("hydroweb", "initialized")
+    member = Window.partitionBy("hydroweb", "initialized", "member").orderBy("day")
+    first, last = F.min("day").over(run), F.max("day").over(run)
+    before, after = F.lag("day").over(member), F.lead("day").over(member)
     return (
-        rows.unionByName(grid)
-        .groupBy("hydroweb", "initialized", "day", "member")
-        .agg(F.max("corrected").alias("max_value"))
+        daily.withColumn("_from", F.when(before.isNull(), first).otherwise(F.col("day")))
+        .withColumn("_to", F.when(after.isNull(), last).otherwise(F.date_sub(after, 1)))
+        .select("hydroweb", "initialized", F.explode(F.sequence("_from", "_to")).alias("_day"), "member", "day", "max_value")
+        .select("hydroweb", "initialized", F.col("_day").alias("day"), "member",
+                F.when(F.col("_day") == F.col("day"), F.col("max_value")).alias("max_value"))
     )
 
 

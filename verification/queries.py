@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -14,17 +15,18 @@ from stagecast.schemas import RETURN_PERIODS
 from stagecast.sinks import writers
 from stagecast.sources import readers
 from stagecast.streaming import ingest
+from stagecast.tables import Tables
 from stagecast.workspace import fresh_dir
 
-_stored: dict[tuple[str, str], StoredFixtures] = {}
+_contexts: dict[tuple[str, str], "_Context"] = {}
 
 
-def fixtures(spark: SparkSession, folder: str) -> StoredFixtures:
-    """Base tables of a folder, derived and stored once per application."""
+def context(spark: SparkSession, folder: str) -> "_Context":
+    """Base tables and refresh of a folder, derived and stored once per application."""
     key = (spark.sparkContext.applicationId, folder)
-    if key not in _stored:
-        _stored[key] = StoredFixtures(spark, folder)
-    return _stored[key]
+    if key not in _contexts:
+        _contexts[key] = _Context(spark, folder)
+    return _contexts[key]
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -41,20 +43,27 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 class _Context:
-    """Shared steps of the queries, built on demand."""
+    """What a platform keeps between queries: stored base tables and the last refresh."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.fx = spark, fixtures(spark, folder)
-        self.tables = self.fx.tables()
+        self.spark, self.fx = spark, StoredFixtures(spark, folder)
 
-    def model(self, shift_min: bool = True) -> bias.Model:
-        return bias.fit(self.tables, shift_min)
+    @cached_property
+    def tables(self) -> Tables:
+        return self.fx.tables()
 
-    def state(self) -> jobs.Refresh:
+    @cached_property
+    def _state(self) -> jobs.Refresh:
         return jobs.refresh(self.tables)
 
+    def model(self) -> bias.Model:
+        return self._state.model
+
+    def state(self) -> jobs.Refresh:
+        return self._state
+
     def warnings(self) -> DataFrame:
-        return alerts.warnings_wide(self.tables, self.model(), INITIALIZED)
+        return alerts.warnings_wide(self.tables, self.model(), INITIALIZED, self.state().thresholds)
 
     def station_alerts(self) -> DataFrame:
         return alerts.water_level_alerts(self.tables.station, self.warnings(), INITIALIZED)
@@ -420,7 +429,7 @@ _QUERIES = (
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(query):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return query(_Context(spark, sf_dir))
+            return query(context(spark, sf_dir.rstrip("/")))
 
         run.__name__ = query.__name__
         run.__doc__ = query.__doc__
