@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from stagecast.functions.scalar import above_factor, below_factor, clip, present
 from stagecast.operators.cdf import from_probability, packed_cdf, to_probability
 from stagecast.operators.clean import series, simulated
-from stagecast.operators.lookup import lookup_join
+from stagecast.operators.lookup import lookup_join, row_counts
 from stagecast.tables import Tables
 from stagecast.workspace import materialise
 
@@ -173,7 +173,7 @@ def corrected_records(
     running from December into January has no rows at all.
     """
     rows = series(records, "reachid", "value").withColumn("month", F.month("datetime"))
-    sizes = rows.groupBy("reachid", "month").agg(F.count(F.lit(1)).alias("n"))
+    sizes = row_counts(rows, ["reachid", "month"])
     mapping = model.mapping.where(F.col("obs_step").isNotNull())
     if compat:
         span = rows.groupBy("reachid").agg(

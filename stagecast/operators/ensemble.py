@@ -8,12 +8,15 @@ from stagecast.functions.scalar import seconds_between
 from stagecast.operators.bias import (
     Model, corrected_members, forecast_rows, forecast_runs, run_mapping,
 )
+from stagecast.operators.lookup import lookup_join
 from stagecast.schemas import (
     HIGH_RES_MEMBER, MEMBERS, RETURN_PERIODS, STAT_MEMBERS, threshold_columns,
 )
 from stagecast.tables import Tables
+from stagecast.workspace import materialise
 
 _DAY = 86400
+MOMENT_BYTES = 48  # reach and two moments
 
 
 def member_column(member: int) -> str:
@@ -172,20 +175,32 @@ def probability_table(
     members count, the high-resolution member does not, and the divisor stays 52. Both ends of a
     window belong to it, so a row on a boundary counts in two windows. Windows without rows are 0.
     """
-    moment = Window.partitionBy("reachid", "initialized", "datetime")  # one row per member
-    ordinary = F.when(F.col("member") <= STAT_MEMBERS, F.col("value"))
-    rows = forecast_rows(tables.ensemble).withColumn("whole", F.count(ordinary).over(moment) == STAT_MEMBERS)
-    in_stats = F.col("whole") | ((F.col("member") == HIGH_RES_MEMBER) & F.col("value").isNotNull())
-    runs = rows.groupBy("reachid", "initialized").agg(
+    rows = forecast_rows(tables.ensemble)
+    moment = ["reachid", "initialized", "datetime"]
+    # One row per moment, stored: it dates the runs and says which rows take part.
+    moments = materialise(
+        rows.groupBy(*moment).agg(
+            (F.count(F.when(F.col("member") <= STAT_MEMBERS, F.col("value"))) == STAT_MEMBERS).alias("whole"),
+            (F.count(F.when(F.col("member") == HIGH_RES_MEMBER, F.col("value"))) > 0).alias("high"),
+            F.count(F.lit(1)).alias("n"),
+        ),
+        "moments",
+    )
+    in_stats = F.col("whole") | F.col("high")
+    runs = moments.groupBy("reachid", "initialized").agg(
         F.min("datetime").alias("first_time"), F.max("datetime").alias("last_time"),
         F.min(F.when(in_stats, F.col("datetime"))).alias("start"),
         F.max(F.when(in_stats, F.col("datetime"))).alias("end"),
-        F.count(F.lit(1)).alias("n"),
+        F.sum("n").alias("n"),
     )
     mapping = run_mapping(
         runs, model, extra=thresholds.select("hydroweb", *threshold_columns())
     ).withColumn("windows", F.floor(seconds_between(F.col("end"), F.col("start")) / F.lit(_DAY)).cast("int"))
-    used = rows.where(F.col("whole") & (F.col("member") <= STAT_MEMBERS)).drop("whole")
+    whole = moments.where("whole").select(*moment)
+    used = lookup_join(
+        rows.where(F.col("member") <= STAT_MEMBERS), whole, moment, MOMENT_BYTES,
+        moments.select(*moment, "n"), "left_semi",
+    )
     corrected = corrected_members(used, runs, mapping, ("start", "windows", *threshold_columns()))
     offset = seconds_between(F.col("datetime"), F.col("start"))
     here = F.floor(offset / F.lit(_DAY)).cast("int")

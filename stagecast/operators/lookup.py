@@ -26,6 +26,11 @@ def fits_broadcast(lookup: DataFrame, row_bytes: int, limit: int | None = None)
     return lookup.count() * row_bytes <= limit
 
 
+def row_counts(rows: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows per group, for the ``sizes`` of a join. Only evaluated if the join has to shuffle."""
+    return rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+
+
 def lookup_join(
     rows: DataFrame,
     lookup: DataFrame,
@@ -39,7 +44,7 @@ def lookup_join(
     ``sizes`` has one row per group: the ``on`` columns and ``n``, its number of rows. It is
     needed where a group of ``rows`` can grow without bound.
     """
-    if how not in ("inner", "left"):
+    if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"unsupported join type: {how}")
     if fits_broadcast(lookup, row_bytes):
         return rows.join(F.broadcast(lookup), list(on), how)

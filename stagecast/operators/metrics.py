@@ -17,10 +17,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stagecast.operators.bias import MAPPING_BYTES, Model, map_historical, station_reach
 from stagecast.operators.clean import observed_levels, simulated
 from stagecast.operators.ranks import with_rank
-from stagecast.operators.lookup import lookup_join
+from stagecast.operators.lookup import lookup_join, row_counts
 from stagecast.tables import Tables
 from stagecast.workspace import materialise
 
+STATION_BYTES = 96  # code and reach of a station
 SKILL = ("ME", "RMSE", "NRMSE (Mean)", "NSE", "KGE (2009)", "KGE (2012)", "R (Pearson)", "R (Spearman)", "r2")
 COMPARED = ("ME", "RMSE", "NRMSE (Mean)", "MAPE", "NSE", "KGE (2009)", "KGE (2012)")
 
@@ -34,11 +35,13 @@ def sim_obs_pairs(tables: Tables, model: Model) -> DataFrame:
     observed = observed_levels(tables.observed)
     complete = model.mapping.where("complete").drop("complete", "sim_n", "sim_low", "sim_high")
     shared = (
-        observed.join(station_reach(tables.station), "hydroweb")
+        lookup_join(
+            observed, station_reach(tables.station), ["hydroweb"], STATION_BYTES, row_counts(observed, ["hydroweb"])
+        )
         .join(simulated(tables.simulation), ["reachid", "datetime"])
         .withColumn("month", F.month("datetime"))
     )
-    sizes = shared.groupBy("hydroweb", "month").agg(F.count(F.lit(1)).alias("n"))
+    sizes = row_counts(shared, ["hydroweb", "month"])
     joined = lookup_join(
         shared.drop("reachid"), complete.drop("reachid"), ["hydroweb", "month"], MAPPING_BYTES, sizes
     )

@@ -26,13 +26,18 @@ def stats_span(stats: DataFrame) -> DataFrame:
 def recent_records(records: DataFrame, span: DataFrame) -> DataFrame:
     """Corrected records of the eight days up to the first statistic of a run.
 
-    The join is on the station; the window only limits what it keeps. A run start is one row, so
-    nothing is paired beyond the records of the same station.
+    A run is listed under each of its nine or ten calendar days and joined on station and day, so
+    a station with many runs and records pairs only those that can match.
     """
-    window = F.col("start") - F.expr(f"INTERVAL {RECORD_DAYS} DAYS")
+    earliest = F.col("start") - F.expr(f"INTERVAL {RECORD_DAYS} DAYS")
+    days = span.select(
+        "hydroweb", "initialized", "start",
+        F.explode(F.sequence(F.to_date(earliest), F.to_date("start"))).alias("day"),
+    )
     return (
-        records.join(span, "hydroweb")
-        .where(F.col("datetime").between(window, F.col("start")))
+        records.withColumn("day", F.to_date("datetime"))
+        .join(days, ["hydroweb", "day"])
+        .where(F.col("datetime").between(earliest, F.col("start")))
         .select("hydroweb", "initialized", "datetime", "corrected")
     )
 

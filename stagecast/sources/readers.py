@@ -7,12 +7,15 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stagecast.functions.scalar import decade, display_name, present, second
+from stagecast.operators.lookup import lookup_join, row_counts
 from stagecast.schemas import (
     COMPILED, DECADES, ENSEMBLE, OBSERVED, RECORDS, SIMULATION, STATION,
 )
 from stagecast.tables import Tables
 
 _NTZ = "yyyy-MM-dd HH:mm:ss"
+KEY_BYTES = 32     # one number per row
+NAME_BYTES = 256   # names and codes of a station
 
 
 def read_stations(spark: SparkSession, path: str) -> DataFrame:
@@ -55,6 +58,12 @@ def reach_intersection(model: DataFrame, station: DataFrame) -> DataFrame:
     )
 
 
+def of_stations(rows: DataFrame, station: DataFrame) -> DataFrame:
+    """Rows whose reach belongs to a station."""
+    reaches = station.select("reachid").distinct()
+    return lookup_join(rows, reaches, ["reachid"], KEY_BYTES, row_counts(rows, ["reachid"]), "left_semi")
+
+
 def unpack_blocks(blocks: DataFrame) -> DataFrame:
     """Array blocks (rivid, time array, Qout array) as rows (time, rivid, Qout)."""
     return blocks.select("rivid", F.posexplode("time").alias("_at", "time"), "Qout").select(
@@ -64,28 +73,24 @@ def unpack_blocks(blocks: DataFrame) -> DataFrame:
 
 def load_simulation(qout: DataFrame, station: DataFrame, since: str = "2000-01-01") -> DataFrame:
     """Model output (time, rivid, Qout) as simulation rows of the stations' reaches."""
-    return (
+    rows = (
         qout.where(F.col("time") >= F.lit(since).cast("timestamp_ntz"))
         .select(
             second(F.col("time")).alias("datetime"), F.col("rivid").alias("reachid"),
             present(F.col("Qout")).alias("value"),
         )
-        .join(station.select("reachid").distinct(), "reachid", "left_semi")
-        .select("datetime", "reachid", "value")
     )
+    return of_stations(rows, station).select("datetime", "reachid", "value")
 
 
 def load_forecast(qout: DataFrame, station: DataFrame, initialized: str) -> DataFrame:
     """Model output (time, rivid, ensemble, Qout) as ensemble rows of one run."""
-    return (
-        qout.select(
-            second(F.col("time")).alias("datetime"), F.col("rivid").alias("reachid"),
-            F.lit(initialized).cast("timestamp_ntz").alias("initialized"),
-            F.col("ensemble").cast("int").alias("member"), present(F.col("Qout")).alias("value"),
-        )
-        .join(station.select("reachid").distinct(), "reachid", "left_semi")
-        .select("datetime", "reachid", "initialized", "member", "value")
+    rows = qout.select(
+        second(F.col("time")).alias("datetime"), F.col("rivid").alias("reachid"),
+        F.lit(initialized).cast("timestamp_ntz").alias("initialized"),
+        F.col("ensemble").cast("int").alias("member"), present(F.col("Qout")).alias("value"),
     )
+    return of_stations(rows, station).select("datetime", "reachid", "initialized", "member", "value")
 
 
 def parse_altimetry(lines: DataFrame) -> DataFrame:
@@ -119,7 +124,8 @@ def compile_observed(products: DataFrame, station: DataFrame) -> DataFrame:
     owners = station.select(
         F.concat(F.lit("R_"), F.upper("name"), F.lit("_exp")).alias("product"), "hydroweb", "reachid"
     )
-    return products.join(owners, "product").select("datetime", "waterlevel", "hydroweb", "reachid")
+    joined = lookup_join(products, owners, ["product"], NAME_BYTES, row_counts(products, ["product"]))
+    return joined.select("datetime", "waterlevel", "hydroweb", "reachid")
 
 
 def series_scan(
@@ -127,13 +133,15 @@ def series_scan(
 ) -> DataFrame:
     """Simulation of stations by way of their reach: (hydroweb, reachid, datetime, value).
 
-    Without ``hydroweb`` all stations are read. Given codes filter the station list, and the join
-    prunes the simulation at run time.
+    Without ``hydroweb`` all stations are read. For given codes their reaches are looked up first
+    (one per code), so that the scan can skip files and row groups.
     """
-    wanted = station if hydroweb is None else station.where(F.col("hydroweb").isin(*hydroweb))
-    return simulation.join(wanted.select("hydroweb", "reachid"), "reachid").select(
-        "hydroweb", "reachid", "datetime", "value"
-    )
+    wanted = station.select("hydroweb", "reachid")
+    if hydroweb is not None:
+        wanted = wanted.where(F.col("hydroweb").isin(*hydroweb))
+        simulation = simulation.where(F.col("reachid").isin(*[r.reachid for r in wanted.collect()]))
+    joined = lookup_join(simulation, wanted, ["reachid"], NAME_BYTES, row_counts(simulation, ["reachid"]))
+    return joined.select("hydroweb", "reachid", "datetime", "value")
 
 
 def open_tables(spark: SparkSession, root: str) -> Tables:
