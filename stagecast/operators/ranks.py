@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stagecast.functions.search import MAX_LENGTH, count_below
+from stagecast.operators import lookup
 from stagecast.operators.lookup import lookup_join, split_join
 from stagecast.workspace import materialise
 
@@ -14,44 +15,69 @@ CUTS_BYTES = 127 * 8 + 96  # station code and the cut points
 WHOLE_GROUP = 1_000_000
 
 
-def rank_table(df: DataFrame, key: str, value: str, whole_group: int | None = None) -> DataFrame:
-    """Exact average-tie rank of every distinct value of a group: (key, value, n, rank).
+def _counts(df: DataFrame, key: str, value: str) -> tuple[DataFrame, int, int]:
+    """Stored counts of equal values, the most distinct values of a group, the most equal values."""
+    counts = materialise(df.groupBy(key, value).agg(F.count(F.lit(1)).alias("n")), "value-counts")
+    groups = counts.groupBy(key).agg(F.count(F.lit(1)).alias("distinct"), F.max("n").alias("equal"))
+    largest = groups.agg(F.max("distinct").alias("distinct"), F.max("equal").alias("equal")).first()
+    return counts, largest["distinct"] or 0, largest["equal"] or 0
+
+
+def _rank_whole(counts: DataFrame, key: str, value: str) -> DataFrame:
+    """Ranks where every group is small enough for one window."""
+    below = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("rank", F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / F.lit(2.0))
+
 
-    Equal values are counted before any shuffle of rows. A large group is cut at approximate
-    quantiles into up to 128 ranges; each range is summed on its own and shifted by the rows in
-    the ranges below it. The cuts only decide which task does the work: ranks stay exact.
+def _rank_in_ranges(counts: DataFrame, key: str, value: str, whole_group: int) -> DataFrame:
+    """Ranks where large groups are cut at approximate quantiles into up to 128 ranges.
+
+    Each range is summed on its own and shifted by the rows in the ranges below it. The cuts only
+    decide which task does the work: ranks stay exact.
     """
-    whole_group = WHOLE_GROUP if whole_group is None else whole_group
-    counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
     quantiles = F.array(*[F.lit((i + 1) / (MAX_LENGTH + 1)) for i in range(MAX_LENGTH)])
-    cuts = counts.groupBy(key).agg(
+    found = counts.groupBy(key).agg(
         F.percentile_approx(value, quantiles, F.lit(10_000)).alias("_q"), F.count(F.lit(1)).alias("n")
     )
-    empty = F.array().cast("array<double>")
+    none = F.array().cast("array<double>")
     cuts = materialise(
-        cuts.withColumn(
-            "_cuts", F.when(F.col("n") >= whole_group, F.array_sort(F.array_distinct("_q"))).otherwise(empty)
-        ).drop("_q"),
+        found.select(key, "n", F.when(F.col("n") >= whole_group, F.array_sort(F.array_distinct("_q"))).otherwise(none).alias("_cuts")),
         "rank-cuts",
     )
-    sized = lookup_join(counts.withColumnRenamed("n", "_c"), cuts.drop("n"), [key], CUTS_BYTES, cuts.drop("_cuts"))
-    ranged = count_below(sized, "_cuts", value, "_range", inclusive=True).select(key, value, "_c", "_range")
-    totals = ranged.groupBy(key, "_range").agg(F.sum("_c").alias("_t"))
+    sized = lookup_join(counts, cuts.drop("n"), [key], CUTS_BYTES, cuts.drop("_cuts"))
+    ranged = materialise(
+        count_below(sized, "_cuts", value, "_range", inclusive=True).select(key, value, "n", "_range"), "ranged-values"
+    )
+    totals = ranged.groupBy(key, "_range").agg(F.sum("n").alias("_total"))
     below_range = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(key, "_range", F.coalesce(F.sum("_t").over(below_range), F.lit(0)).alias("_offset"))
-    below_value = Window.partitionBy(key, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(key, "_range", F.coalesce(F.sum("_total").over(below_range), F.lit(0)).alias("_offset"))
+    below = Window.partitionBy(key, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        ranged.withColumn("_below", F.coalesce(F.sum("_c").over(below_value), F.lit(0)))
+        ranged.withColumn("_below", F.coalesce(F.sum("n").over(below), F.lit(0)))
         .join(offsets, [key, "_range"])
-        .select(
-            key, value, F.col("_c").alias("n"),
-            (F.col("_offset") + F.col("_below") + (F.col("_c") + 1) / F.lit(2.0)).alias("rank"),
-        )
+        .select(key, value, "n", (F.col("_offset") + F.col("_below") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"))
     )
 
 
+def _ranked(df: DataFrame, key: str, value: str, whole_group: int | None) -> tuple[DataFrame, DataFrame, int]:
+    whole_group = WHOLE_GROUP if whole_group is None else whole_group
+    counts, distinct, equal = _counts(df, key, value)
+    table = _rank_whole(counts, key, value) if distinct < whole_group else _rank_in_ranges(counts, key, value, whole_group)
+    return table, counts, equal
+
+
+def rank_table(df: DataFrame, key: str, value: str, whole_group: int | None = None) -> DataFrame:
+    """Exact average-tie rank of every distinct value of a group: (key, value, n, rank).
+
+    Equal values are counted before anything is ordered.
+    """
+    return _ranked(df, key, value, whole_group)[0]
+
+
 def with_rank(df: DataFrame, key: str, value: str, out: str, whole_group: int | None = None) -> DataFrame:
     """Add ``out``, the average-tie rank of ``value`` within ``key``."""
-    table = rank_table(df, key, value, whole_group)
+    table, counts, equal = _ranked(df, key, value, whole_group)
     ranks = table.select(key, value, F.col("rank").alias(out))
-    return split_join(df, ranks, [key, value], table.select(key, value, "n"))
+    if equal < lookup.HOT_ROWS:
+        return df.join(ranks, [key, value])
+    return split_join(df, ranks, [key, value], counts)

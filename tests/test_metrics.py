@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from stagecast.operators import bias, climatology, metrics, ranks, series
+from stagecast.operators import bias, climatology, lookup, metrics, ranks, series
 from tests.small import INIT, make_tables
 
 T0 = dt.datetime(2001, 1, 1)
@@ -36,9 +36,10 @@ def expected(s, o):
     }
 
 
-@pytest.mark.parametrize("whole_group", [1_000_000, 1])
-def test_skill(spark, sample, whole_group):
-    """``whole_group=1`` ranks every station in pieces."""
+@pytest.mark.parametrize("whole_group, hot_rows", [(1_000_000, 2_000_000), (1, 2_000_000), (1_000_000, 3), (1, 3)])
+def test_skill(spark, sample, whole_group, hot_rows, monkeypatch):
+    """``whole_group=1`` ranks every station in pieces, ``hot_rows=3`` cuts groups of equal values."""
+    monkeypatch.setattr(lookup, "HOT_ROWS", hot_rows)
     got = metrics.skill_metrics(spark.createDataFrame(sample), whole_group).toPandas()
     for key, part in sample.groupby("hydroweb"):
         want = expected(part.corrected.to_numpy(), part.obs.to_numpy())
