@@ -19,8 +19,9 @@ def clamp(value: Column) -> Column:
 
 
 def second(moment: Column) -> Column:
-    """Drop fractions of a second."""
-    return F.date_trunc("second", moment).cast("timestamp_ntz")
+    """Drop fractions of a second, without passing through a time zone."""
+    seconds = F.extract(F.lit("SECOND"), moment)
+    return moment - F.make_dt_interval(secs=seconds - F.floor(seconds))
 
 
 def class_count(rows: Column) -> Column:
@@ -77,5 +78,9 @@ def point_geometry(longitude: Column, latitude: Column) -> Column:
 
 
 def seconds_between(later: Column, earlier: Column) -> Column:
-    """Seconds from ``earlier`` to ``later`` as a whole number."""
-    return F.timestamp_diff("SECOND", earlier, later)
+    """Whole seconds from ``earlier`` to ``later``, without passing through a time zone."""
+    def of_day(moment: Column) -> Column:
+        return F.hour(moment) * 3600 + F.minute(moment) * 60 + F.second(moment)
+
+    days = F.datediff(F.to_date(later), F.to_date(earlier)).cast("long")
+    return days * 86400 + of_day(later) - of_day(earlier)
