@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stagecast.llm import bpe, packing
+from stagecast.llm import bpe, exact_dedup, oracle, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,12 +27,24 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"), keep="largest")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.ledger(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        quality.fails("base").alias("base_failed"), (~quality.fails("base") & ~quality.fails("v1")).alias("kept"), "failed",
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-_QUERIES = (op1_bpe, op9_packing)
+_QUERIES = (op1_bpe, op2_exact_dedup, op6_quality_rules, op9_packing)
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -40,4 +52,4 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
