@@ -29,13 +29,15 @@ SQL: dict[str, str] = {
                    len(ls)::BIGINT AS n_lines,
                    len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}')))::BIGINT AS n_letter_words,
                    length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g'))::BIGINT AS n_upper,
-                   length(regexp_replace(t, '[^\p{{L}}]+', '', 'g'))::BIGINT AS n_letters
+                   length(regexp_replace(t, '[^\p{{L}}]+', '', 'g'))::BIGINT AS n_letters,
+                   len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1]))::BIGINT AS n_stutters
             FROM d LEFT JOIN covered c USING (doc_id)
         ), f AS (
             SELECT *, (n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
                    + 8 * (word_chars < 2 * n_words OR word_chars > 20 * n_words)::BIGINT
-                   + 16 * (n_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines)::BIGINT
-                   + 32 * (10 * n_letter_words < 6 * n_words)::BIGINT + 64 * (2 * n_upper > n_letters)::BIGINT AS failed
+                   + 16 * (n_lines >= 4 AND 2 * n_dup_lines > n_lines)::BIGINT
+                   + 32 * (10 * n_letter_words < 6 * n_words)::BIGINT + 64 * (2 * n_upper > n_letters)::BIGINT
+                   + 128 * (10 * n_stutters > 3 * n_words)::BIGINT AS failed
             FROM m
         )
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed

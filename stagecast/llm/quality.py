@@ -22,6 +22,7 @@ from stagecast.llm.common import NOT_SPACE, text_of, words_of
 WINDOW_WORDS = 8
 MEASURES = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letter_words", "n_upper", "n_letters",
+    "n_stutters",
 )
 
 #: Rules in the order of their bits; a rule is true where a text fails it.
@@ -30,9 +31,10 @@ RULES: dict[str, str] = {
     "repeated_words": "100 * n_repeat_words > 30 * n_words",
     "symbols": "10 * n_symbols > n_words",
     "word_length": "word_chars < 2 * n_words OR word_chars > 20 * n_words",
-    "repeated_lines": "n_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines",
+    "repeated_lines": "n_lines >= 4 AND 2 * n_dup_lines > n_lines",
     "no_letters": "10 * n_letter_words < 6 * n_words",
     "shouting": "2 * n_upper > n_letters",
+    "stutter": "10 * n_stutters > 3 * n_words",
 }
 #: Versioned policies: the rules whose failure rejects a document.
 POLICIES: dict[str, tuple[str, ...]] = {
@@ -74,7 +76,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.col("_text")
     docs = docs.select(*kept, text_of(f"`{text_col}`").alias("_text")).withColumn("_words", words_of(text))
     docs = docs.withColumn("_lines", F.filter(F.split(text, "\n", -1), lambda line: line.rlike(NOT_SPACE)))
-    docs = _repeat_words(docs).select(
+    return _repeat_words(docs).select(
         *kept,
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
@@ -85,8 +87,9 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.regexp_count(text, F.lit(rf"{NOT_SPACE}*\p{{L}}{NOT_SPACE}*")).cast("long").alias("n_letter_words"),
         F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
         F.regexp_count(text, F.lit(r"\p{L}")).cast("long").alias("n_letters"),
+        F.size(F.filter(F.sequence(F.lit(0), F.size("_words")), lambda i: F.get("_words", i) == F.get("_words", i + 1)))
+        .cast("long").alias("n_stutters"),
     )
-    return docs
 
 
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
