@@ -17,6 +17,7 @@ packed as often as they come. A NULL ``doc_id`` is carried. An empty table has n
 from __future__ import annotations
 
 import math
+import os
 import re
 import zlib
 from array import array
@@ -35,42 +36,88 @@ from stagecast.llm.common import grouped_rows, materialise, ready
 _CHUNK = re.compile(r"[^ \t\n\r]+")
 #: White space for Python, though not for the tokenizer.
 _CONTROL = re.compile(r"[\x1c-\x1f]")
-#: Chunks a worker remembers before it starts anew.
-_REMEMBERED = 200_000
+#: Chunks, and parts of chunks, that a worker remembers before it starts anew.
+_REMEMBERED = 400_000
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
 _PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+#: Letters that are their own normal form, between signs that are one token run for the tokenizer.
+_PLAIN = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: Words that are tokenised as one text.
+_TOGETHER = 1000
 
-    return Tokenizer.from_file(path), {}
 
+def _raw(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
 
-def chunks_of(text: str) -> list[str]:
-    """Runs of anything but white space, as the tokenizer sees it."""
-    return _CHUNK.findall(text) if _CONTROL.search(text) else text.split()
 
+class Encoder:
+    """Ids of white-space separated chunks, as little-endian uint32; remembers what it has met.
 
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text, as the tokenizer gives them for the whole text: little-endian uint32.
-
-    The tokenizer drops white space and never looks across it, so equal chunks have equal ids;
-    only chunks not met before are tokenised.
+    The tokenizer drops white space and never looks across it, so equal chunks have equal ids. It
+    also lowers case and splits letters from signs, so a plain chunk is composed of its parts.
     """
-    tokenizer, known = _tokenizer(path)
-    chunks = [chunks_of(text) for text in texts]
-    new = set(chain.from_iterable(chunks)).difference(known)
-    if new and len(known) + len(new) > _REMEMBERED:
-        known.clear()
-        new = set(chain.from_iterable(chunks))
-    if new:
-        listed = list(new)
-        encoded = tokenizer.encode_batch_fast(listed, add_special_tokens=False)
-        known.update((chunk, array("I", e.ids).tobytes()) for chunk, e in zip(listed, encoded))
-    return [b"".join(map(known.__getitem__, c)) for c in chunks]
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer
+
+        self._tokenizer = Tokenizer.from_file(path)
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._chunks: dict[str, bytes] = {}
+        self._parts: dict[str, bytes] = {"": b""}
+
+    def _each(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        encoded = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return ((text, _raw(e.ids)) for text, e in zip(texts, encoded))
+
+    def _words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of words of letters: tokenised together and cut at the tokens that end a word."""
+        for at in range(0, len(words), _TOGETHER):
+            part = words[at : at + _TOGETHER]
+            ids = np.array(self._tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            raw, ends = ids.tobytes(), (4 * (np.flatnonzero(self._ends[ids]) + 1)).tolist()
+            yield from ((word, raw[a:b]) for word, a, b in zip(part, [0, *ends], ends))
+
+    def _learn(self, new: set[str]) -> None:
+        plain, other = {}, []
+        for chunk in new:
+            found = None if "<|" in chunk else _PLAIN.fullmatch(chunk)  # may be a special token
+            if found:
+                plain[chunk] = found[1], found[2].lower(), found[3]
+            else:
+                other.append(chunk)
+        if len(self._parts) > _REMEMBERED:
+            self._parts = {"": b""}
+        self._parts.update(self._words([*{p[1] for p in plain.values()}.difference(self._parts)]))
+        self._parts.update(self._each([*{s for p in plain.values() for s in (p[0], p[2])}.difference(self._parts)]))
+        parts = self._parts
+        self._chunks.update((chunk, parts[a] + parts[b] + parts[c]) for chunk, (a, b, c) in plain.items())
+        self._chunks.update(self._each(other))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as the tokenizer gives them for the whole text."""
+        chunks = [chunks_of(text) for text in texts]
+        new = set(chain.from_iterable(chunks)).difference(self._chunks)
+        if new and len(self._chunks) + len(new) > _REMEMBERED:
+            self._chunks.clear()
+            new = set(chain.from_iterable(chunks))
+        self._learn(new)
+        return [b"".join(map(self._chunks.__getitem__, c)) for c in chunks]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
+def chunks_of(text: str) -> list[str]:
+    """Runs of anything but white space, as the tokenizer sees it."""
+    return _CHUNK.findall(text) if _CONTROL.search(text) else text.split()
 
 
 def cut(raw: bytes, window: int) -> Iterator[tuple[int, int, int]]:
@@ -136,7 +183,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id: int, id_co
         salt, end = 0, array("I", [end_id]).tobytes()
         for ids, texts in grouped_rows(batches, [id_col, text_col]):
             rows = []
-            for doc, tokens in zip(ids, encode_texts([t or "" for t in texts], tokenizer_path)):
+            for doc, tokens in zip(ids, encoder(tokenizer_path).encode([t or "" for t in texts])):
                 tokens += end
                 for start, length, crc in cut(tokens, window):
                     rows.append((doc, start, length, crc, len(tokens) // 4, salt))
