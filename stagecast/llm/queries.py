@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stagecast.llm import bpe, exact_dedup, html_extract, oracle, packing, quality, url_filter
+from stagecast.llm import bpe, exact_dedup, html_extract, language_id, oracle, packing, quality, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,17 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _crc(modulus: int) -> Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % modulus
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("piece_bpe_32k.model")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (_crc(3) == 1).alias("held_out"))
+    model = language_id.train(docs.where("NOT held_out"), vocabulary)
+    return language_id.identify(docs.select("doc_id", "held_out", "text"), model, vocabulary)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -57,7 +68,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_text(_table(spark, sf_dir, "pages"))
 
 
-_QUERIES = (op1_bpe, op2_exact_dedup, op3_url_filter, op6_quality_rules, op9_packing, op10_html_extract)
+_QUERIES = (op1_bpe, op2_exact_dedup, op3_url_filter, op6_quality_rules, op7_language_id, op9_packing, op10_html_extract)
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
