@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stagecast.llm import bpe, exact_dedup, html_extract, language_id, oracle, packing, quality, url_filter
+from stagecast.llm import bpe, exact_dedup, html_extract, jaccard_join, language_id, oracle, packing, quality, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(_table(spark, sf_dir, "documents"), shingle_words=4, num=85, den=100)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(
@@ -68,7 +72,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_text(_table(spark, sf_dir, "pages"))
 
 
-_QUERIES = (op1_bpe, op2_exact_dedup, op3_url_filter, op6_quality_rules, op7_language_id, op9_packing, op10_html_extract)
+_QUERIES = (op1_bpe, op2_exact_dedup, op3_url_filter, op4_jaccard_join, op6_quality_rules, op7_language_id, op9_packing, op10_html_extract)
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
