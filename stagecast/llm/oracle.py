@@ -43,4 +43,20 @@ SQL: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed
         FROM f
     """,
+    "op8_substring_dedup": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+        win AS (
+            SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(w[i:i + 12], ' ')) AS least
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)
+        ),
+        gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM win WHERE least < doc_id) GROUP BY doc_id),
+        word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d JOIN gone USING (doc_id)),
+        rest AS (
+            SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t
+            FROM word ANTI JOIN (SELECT doc_id, unnest(ps) AS p FROM gone) USING (doc_id, p) GROUP BY doc_id
+        )
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+               sha256(CASE WHEN ps IS NULL THEN array_to_string(w, ' ') ELSE coalesce(t, '') END) AS kept_sha256
+        FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN rest USING (doc_id)
+    """,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stagecast.llm import bpe, exact_dedup, html_extract, jaccard_join, language_id, oracle, packing, quality, url_filter
+from stagecast.llm import bpe, exact_dedup, html_extract, jaccard_join, language_id, oracle, packing, quality, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "held_out", "text"), model, vocabulary)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -72,7 +77,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_text(_table(spark, sf_dir, "pages"))
 
 
-_QUERIES = (op1_bpe, op2_exact_dedup, op3_url_filter, op4_jaccard_join, op6_quality_rules, op7_language_id, op9_packing, op10_html_extract)
+_QUERIES = (op1_bpe, op2_exact_dedup, op3_url_filter, op4_jaccard_join, op6_quality_rules, op7_language_id, op8_substring_dedup, op9_packing, op10_html_extract)
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
