@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stagecast.llm import bpe, exact_dedup, html_extract, jaccard_join, language_id, oracle, packing, quality, substring_dedup, url_filter
+from stagecast.llm import bpe, exact_dedup, hmm_lm, html_extract, jaccard_join, language_id, oracle, packing, quality, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,11 @@ def _crc(modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % modulus
 
 
+def op5_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (_crc(10) == 0).alias("held_out"))
+    return hmm_lm.score(docs, "held_out")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("piece_bpe_32k.model")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (_crc(3) == 1).alias("held_out"))
@@ -77,7 +82,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_text(_table(spark, sf_dir, "pages"))
 
 
-_QUERIES = (op1_bpe, op2_exact_dedup, op3_url_filter, op4_jaccard_join, op6_quality_rules, op7_language_id, op8_substring_dedup, op9_packing, op10_html_extract)
+_QUERIES = (op1_bpe, op2_exact_dedup, op3_url_filter, op4_jaccard_join, op5_hmm_score, op6_quality_rules, op7_language_id, op8_substring_dedup, op9_packing, op10_html_extract)
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
