@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,16 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 
+#: Folders handed out so far, oldest first; None where they were removed.
+_made: list[str | None] = []
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only a session that names none (a local test) gets a temporary folder; it becomes that
-    session's checkpoint folder, so all work of one session shares it.
+    Only a session of one process (``local[..]``) may go without the setting: it gets a temporary
+    folder, which becomes its checkpoint folder. On a cluster every executor would write such a
+    folder to its own disk, so that is refused.
     """
     context = spark.sparkContext
     named = spark.conf.get(_SETTING, None) or context.getConf().get(_SETTING) or context.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError(f"{_SETTING} has to name a folder that all executors share (master {context.master})")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="stagecast-"))
         named = context.getCheckpointDir()
     return named.rstrip("/")
@@ -26,7 +33,8 @@ def shared_root(spark: SparkSession) -> str:
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no other run uses."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -39,3 +47,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = fresh_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """A point in the sequence of scratch folders, for ``release``."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int, until: int | None = None) -> None:
+    """Remove the scratch folders made between two marks, once no unread result depends on them."""
+    for k in range(since, len(_made) if until is None else until):
+        if _made[k]:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made[k])
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _made[k] = None
