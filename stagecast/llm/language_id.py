@@ -20,7 +20,8 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,27 +56,43 @@ class Pieces:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.ids[model.id_to_piece(i)] = i
         self.size = model.get_piece_size()
-        self.longest = max(map(len, self.ids))
+        self._length = np.zeros(self.size, np.int64)
+        self._length[list(self.ids.values())] = [len(piece) for piece in self.ids]
+
+    @cached_property
+    def _automaton(self):
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for piece, i in self.ids.items():
+            automaton.add_word(piece, i)
+        automaton.make_automaton()
+        return automaton
 
     def lattice(self, texts: list[str]) -> "Lattice":
         """All pieces in all of ``texts``; a piece's id is padded to four ids with ``size``."""
-        ids, longest, none = self.ids, self.longest, self.size
-        found: list[tuple[int, int, int, int, int, int, int]] = []
-        for w, text in enumerate(texts):
-            text = _START + text
-            for i in range(len(text)):
-                alone = True
-                for j in range(i + 1, min(len(text), i + longest) + 1):
-                    piece = ids.get(text[i:j])
-                    if piece is not None:
-                        found.append((j, w, i, piece, none, none, none))
-                        alone = alone and j > i + 1
-                if alone:
-                    raw = [self.bytes[b] for b in text[i].encode("utf-8", "surrogatepass")]
-                    found.append((i + 1, w, i, *raw, *[none] * (4 - len(raw))))
-        found.sort()
-        table = np.array(found, dtype=np.int32).reshape(-1, 7)
-        return Lattice(len(texts), np.array([len(t) + 1 for t in texts]), table[:, 0], table[:, 1], table[:, 2], table[:, 3:])
+        joined = "".join(f"{_START}{text} " for text in texts)  # no piece has a space
+        found = np.fromiter(chain.from_iterable(self._automaton.iter(joined)), np.int64).reshape(-1, 2)
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        first = np.cumsum(lengths + 1) - (lengths + 1)
+        ids = np.full((len(found), 4), self.size)
+        ids[:, 0] = found[:, 1]
+        stop = found[:, 0] + 1
+        start = stop - self._length[found[:, 1]]
+        alone = np.ones(len(joined), bool)  # characters that are no piece by themselves
+        alone[start[stop == start + 1]] = False
+        alone[first + lengths] = False
+        spelt = np.flatnonzero(alone)
+        if len(spelt):
+            raw = np.full((len(spelt), 4), self.size)
+            for k, at in enumerate(spelt.tolist()):
+                spelling = [self.bytes[b] for b in joined[at].encode("utf-8", "surrogatepass")]
+                raw[k, : len(spelling)] = spelling
+            ids, start, stop = np.concatenate([ids, raw]), np.r_[start, spelt], np.r_[stop, spelt + 1]
+        word = np.searchsorted(first, start, side="right") - 1
+        start, stop = start - first[word], stop - first[word]
+        order = np.lexsort((word, stop))
+        return Lattice(len(texts), lengths, stop[order], word[order], start[order], ids[order])
 
 
 @lru_cache(maxsize=2)
