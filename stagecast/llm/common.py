@@ -12,16 +12,16 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stagecast.workspace import fresh_dir, materialise
+from stagecast.workspace import fresh_dir, mark, materialise, release
 
-__all__ = ["BATCH_ROWS", "NOT_SPACE", "WORD", "fresh_dir", "grouped_rows", "lower_az", "materialise", "ready", "text_of", "words_of"]
+__all__ = ["BATCH_ROWS", "NOT_SPACE", "WORD", "fresh_dir", "grouped_rows", "lower_az", "mark", "materialise", "ready", "release", "text_of", "words_of"]
 
 #: Words are runs of anything but the six ASCII white-space characters.
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 WORD = re.compile(NOT_SPACE + "+")
 
 #: Rows of one Arrow batch at most: a batch of whole texts has to fit a Python worker.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _shipped: set[str] = set()

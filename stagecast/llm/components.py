@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from stagecast.llm.common import materialise
+from stagecast.llm.common import mark, materialise, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -21,7 +21,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialise(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
-    before = None
+    before, held = None, mark() - 1
     while (now := _state(edges)) != before:
         before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -33,6 +33,8 @@ def components(links: DataFrame) -> DataFrame:
             least.select("u", F.col("m").alias("v"))
         )
         edges = materialise(small.distinct(), "edges")
+        release(links.sparkSession, held, held + 1)
+        held = mark() - 1
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

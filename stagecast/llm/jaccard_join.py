@@ -26,15 +26,18 @@ repeat an identifier share their links. A NULL identifier has a NULL component a
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 from xxhash import xxh3_128_hexdigest
 
-from stagecast.llm.common import grouped_rows, materialise, ready
+from stagecast.llm.common import grouped_rows, mark, materialise, ready, release
 from stagecast.llm.components import components
 from stagecast.llm.shingles import shingle_set, slot_summary
 
@@ -46,9 +49,6 @@ FRAGMENTS = 8
 #: A list of documents up to this length is sent to all tasks (16 MB); a longer one is joined.
 SENT_IDS = 2_000_000
 
-_DOC = "doc long, text string"
-
-
 def leading(n: int, num: int, den: int) -> int:
     """How many leading tokens of ``n`` one must look at: overlap is at least ceil(n num / den)."""
     return n - -(-n * num // den) + 1
@@ -68,21 +68,42 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(digest, "doc long, n long, digest string")
 
 
-def only(docs: DataFrame, ids: DataFrame, present: bool = True) -> DataFrame:
-    """Rows of ``docs`` whose ``doc`` is (not) in the stored table ``ids``."""
-    if ids.count() > SENT_IDS:
-        return docs.join(ids, "doc", "left_semi" if present else "left_anti")
-    known = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in ids.toLocalIterator()], dtype=np.int64)))
+@dataclass
+class Chosen:
+    """Rows (doc, text, ..) whose ``doc`` is, or is not, in a list that all tasks have."""
 
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wanted = np.isin(batch.column("doc").to_numpy(), known.value) == present
-            yield batch.filter(pa.array(wanted))
+    rows: DataFrame
+    known: Broadcast | None = None
+    present: bool = True
+
+    @property
+    def sparkSession(self) -> SparkSession:  # noqa: N802  as a DataFrame has it
+        return self.rows.sparkSession
+
+    def mapInArrow(self, function: Callable, schema: str | StructType) -> DataFrame:  # noqa: N802
+        """As of a DataFrame; rows are chosen in the same step."""
+        known, present = self.known, self.present
+        if known is None:
+            return self.rows.mapInArrow(function, schema)
+
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                doc = batch.column("doc")
+                wanted = (np.isin(doc.fill_null(0).to_numpy(), known.value) & doc.is_valid().to_numpy(zero_copy_only=False)) == present
+                yield batch.filter(pa.array(wanted))
 
-    return docs.mapInArrow(chosen, docs.schema)
+        return self.rows.mapInArrow(lambda batches: function(choose(batches)), schema)
 
 
-def _postings(docs: DataFrame, n: int, num: int, den: int, fragments: int, level: np.ndarray) -> DataFrame:
+def only(rows: DataFrame, ids: DataFrame, present: bool = True) -> Chosen:
+    """Rows whose ``doc`` is (not) in the stored table ``ids``."""
+    if ids.count() > SENT_IDS:
+        return Chosen(rows.join(ids, "doc", "left_semi" if present else "left_anti"))
+    known = np.sort(np.array([r[0] for r in ids.toLocalIterator()], dtype=np.int64))
+    return Chosen(rows, rows.sparkSession.sparkContext.broadcast(known), present)
+
+
+def _postings(docs: Chosen, n: int, num: int, den: int, fragments: int, level: np.ndarray) -> DataFrame:
     """Leading tokens with their documents and set sizes, as arrays by fragment."""
     held = docs.sparkSession.sparkContext.broadcast(level)
     shift = np.uint64(64 - SLOT_BITS)
@@ -145,7 +166,7 @@ def _near(m: Column, n: Column, num: int, den: int) -> Column:
     return F.least(m, n) * den >= F.greatest(m, n) * num
 
 
-def _segments(docs: DataFrame, n: int) -> DataFrame:
+def _segments(docs: Chosen, n: int) -> DataFrame:
     """doc, fragment, tokens: the sets cut vertically by ranges of hash."""
     cuts = (np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(64 - FRAGMENTS.bit_length() + 1))
 
@@ -165,6 +186,7 @@ def _segments(docs: DataFrame, n: int) -> DataFrame:
 
 def _links(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Of the pairs (a, a_n, b, b_n), the linked ones: partial overlaps, summed."""
+    begun = mark()
     pairs = materialise(pairs, "pairs")
     wanted = materialise(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct(), "wanted")
     segments = materialise(_segments(only(docs, wanted), n), "segments")
@@ -183,7 +205,10 @@ def _links(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> Dat
     first = materialise(first.where(reach(F.col("shared") + F.col("rest"))).select("a", "a_n", "b", "b_n", "shared"), "first-fragment")
     others = overlaps(first.drop("shared"), F.col("fragment") > 0).select("a", "a_n", "b", "b_n", "shared")
     total = first.unionByName(others).groupBy("a", "a_n", "b", "b_n").agg(F.sum("shared").alias("shared"))
-    return materialise(total.where(reach(F.col("shared"))).select("a", "b"), "links")
+    done = mark()
+    links = materialise(total.where(reach(F.col("shared"))).select("a", "b"), "links")
+    release(docs.sparkSession, begun, done)
+    return links
 
 
 def similar_groups(
@@ -197,7 +222,8 @@ def similar_groups(
     member = materialise(sets.where("n > 0 AND doc IS NOT NULL").join(classes, ["digest", "n"]).select("doc", "n", "rep").distinct(), "members")
     # A document that stands for no class needs no comparison of its own.
     idle = materialise(sets.select("doc").where("doc IS NOT NULL").distinct().join(member.select(F.col("rep").alias("doc")), "doc", "left_anti"), "idle")
-    used = only(rows.where("doc IS NOT NULL"), idle, present=False)
+    rows = rows.where("doc IS NOT NULL")
+    used = only(rows, idle, present=False)
 
     def tokens(batch: pa.RecordBatch) -> np.ndarray:
         return np.concatenate([np.empty(0, np.uint64), *(shingle_set(t, shingle_words) for t in batch.column("text").to_pylist())])
@@ -212,11 +238,11 @@ def similar_groups(
     near = shared.where(_near(F.col("pivot_n"), F.col("n"), num, den))
     counted = near.groupBy("doc", "n", "pivot", "pivot_n").agg(F.count("*").alias("c"))
     best = counted.groupBy("doc", "n").agg(F.max_by(F.struct("pivot", "pivot_n"), F.struct("c", -F.col("pivot"))).alias("p"))
-    first_links = _links(best.select(F.col("p.pivot").alias("a"), F.col("p.pivot_n").alias("a_n"), F.col("doc").alias("b"), F.col("n").alias("b_n")), used, shingle_words, num, den)
+    first_links = _links(best.select(F.col("p.pivot").alias("a"), F.col("p.pivot_n").alias("a_n"), F.col("doc").alias("b"), F.col("n").alias("b_n")), rows, shingle_words, num, den)
     copies = member.where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
     found = materialise(components(first_links.unionByName(copies)), "components")
 
-    later_links = _links(_across(shared, found, best, num, den), used, shingle_words, num, den)
+    later_links = _links(_across(shared, found, best, num, den), rows, shingle_words, num, den)
     if not later_links.isEmpty():
         stars = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
         found = materialise(components(later_links.unionByName(stars)), "components")
@@ -225,6 +251,17 @@ def similar_groups(
     )
 
 
+def one_of_each_group(
+    docs: DataFrame, shingle_words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """``docs`` with the smallest identifier of each group; documents without words stay."""
+    groups = similar_groups(docs, shingle_words, num, den, id_col, text_col)
+    dropped = groups.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).cast("long").alias("doc")).distinct()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    kept = only(rows, materialise(dropped, "dropped"), present=False)
+    return kept.mapInArrow(lambda batches: batches, rows.schema).select("_row.*")
+
+
 def _across(shared: DataFrame, found: DataFrame, tried: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of documents that share a leading token, may be similar and aren't connected yet."""
     named = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"{side}_c"))

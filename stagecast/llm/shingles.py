@@ -5,9 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
 from xxhash import xxh3_64_intdigest
 
 from stagecast.llm.common import WORD
@@ -57,7 +55,7 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
 # --- counts of hashed tokens in a fixed number of slots -----------------------------------------
 
 _RANGES = 64
-_FLUSH = 4_000_000
+_FLUSH = 1_500_000
 _BLOBS = "range int, wide int, gaps binary, counts binary"
 
 
@@ -78,9 +76,9 @@ def _blobs(slots: np.ndarray, bits: int) -> pa.RecordBatch:
 
 
 def slot_summary(
-    rows: DataFrame, tokens: Callable[[pa.RecordBatch], np.ndarray], bits: int, summarise: Callable[[np.ndarray], np.ndarray]
+    rows, tokens: Callable[[pa.RecordBatch], np.ndarray], bits: int, summarise: Callable[[np.ndarray], np.ndarray]
 ) -> np.ndarray:
-    """Count hashed tokens of all rows in 2**bits slots (a token's slot is its top bits).
+    """Count hashed tokens of all rows (a DataFrame, or what has its ``mapInArrow``) in 2**bits slots (a token's slot is its top bits).
 
     A slot's count is that of its tokens together, so at least that of each. Tasks merge what
     they have read before the shuffle and send a few bytes per token; each range of slots is added
