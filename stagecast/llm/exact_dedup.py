@@ -54,27 +54,31 @@ def part_of(split: str, n: int, id_type: str) -> Column:
     )
 
 
-def exact_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest",
-    normalise: Callable[[Column], Column] = lambda text: text,
-) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).alias("_id"), text_of(normalise(text_of(text_col))).alias("_text"))
+def _compared(rows: DataFrame, keep: str) -> tuple[DataFrame, Window]:
+    """Rows (_id, _text, ..) in sorted parts, with _new (differs from the row before) and the order."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     split = splitters(rows, parts)
     dealt = rows.withColumn("_part", part_of(split, len(json.loads(split)), dict(rows.dtypes)["_id"])).repartitionById(
         parts, F.col("_part")
     )
     first = F.desc_nulls_last("_id") if keep == "largest" else F.asc_nulls_last("_id")
     order = Window.partitionBy("_part").orderBy("_text", first)
-    before, id_before = F.lag("_text").over(order), F.lag("_id").over(order)
-    compared = dealt.withColumn("_new", before.isNull() | (before != F.col("_text"))).withColumn(
-        "_again", ~F.col("_new") & F.col("_id").eqNullSafe(id_before)
-    )
+    before = F.lag("_text").over(order)
+    return dealt.withColumn("_new", before.isNull() | (before != F.col("_text"))), order
+
+
+def exact_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest",
+    normalise: Callable[[Column], Column] = lambda text: text,
+) -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept, text_sha256."""
+    rows = docs.select(F.col(id_col).alias("_id"), text_of(normalise(text_of(text_col))).alias("_text"))
+    compared, order = _compared(rows, keep)
+    again = ~F.col("_new") & F.col("_id").eqNullSafe(F.lag("_id").over(order))
     runs = F.sum(F.col("_new").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     marked = materialise(
         compared.select(
-            "_id", "_part", runs.alias("_run"), "_again", F.sha2("_text", 256).alias("text_sha256"),
+            "_id", "_part", runs.alias("_run"), again.alias("_again"), F.sha2("_text", 256).alias("text_sha256"),
             F.octet_length("_text").alias("_bytes"),
         ),
         "sorted-runs",
@@ -89,3 +93,28 @@ def exact_dedup(
         F.col("_id").alias(id_col), "keep_id", "group_size",
         (F.col("_id").eqNullSafe(F.col("keep_id")) & ~F.col("_again")).alias("kept"), "text_sha256",
     )
+
+
+def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
+    """``docs`` with one row for each text, all columns kept.
+
+    The first row of a run is the part's best; of texts cut by a splitter only the best part's
+    row stays. NULL and the empty text are equal, and the row that stays keeps its own.
+    """
+    others = [c for c in docs.columns if c != text_col]
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), F.col(id_col).alias("_id"), text_of(text_col).alias("_text"),
+        F.col(text_col).isNull().alias("_null"),
+    )
+    compared, _ = _compared(rows, keep)
+    firsts = materialise(
+        compared.where("_new").select("_row", "_id", "_null", "_text", "_part", F.sha2("_text", 256).alias("_sha"), F.octet_length("_text").alias("_bytes")),
+        "sorted-texts",
+    )
+    best = F.max if keep == "largest" else F.min
+    heads = firsts.select("_sha", "_bytes", "_part", "_id")
+    cut = heads.groupBy("_sha", "_bytes").agg(best("_id").alias("_best"), F.count("*").alias("_n")).where("_n > 1")
+    losers = heads.join(cut, ["_sha", "_bytes"]).where(~F.col("_id").eqNullSafe(F.col("_best"))).select("_sha", "_bytes", "_part")
+    kept = firsts.join(losers, ["_sha", "_bytes", "_part"], "left_anti")
+    text = F.when(~F.col("_null"), F.col("_text")).alias(text_col)
+    return kept.select("_row.*", text).select(*[F.col(f"`{c}`") for c in docs.columns])

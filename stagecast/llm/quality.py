@@ -76,13 +76,12 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.col("_text")
     docs = docs.select(*kept, text_of(f"`{text_col}`").alias("_text")).withColumn("_words", words_of(text))
     docs = docs.withColumn("_lines", F.filter(F.split(text, "\n", -1), lambda line: line.rlike(NOT_SPACE)))
-    return _repeat_words(docs).select(
-        *kept,
+    measured = F.struct(
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        "n_repeat_words",
+        F.col("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"),
         F.regexp_count(text, F.lit(rf"{NOT_SPACE}*\p{{L}}{NOT_SPACE}*")).cast("long").alias("n_letter_words"),
         F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
@@ -90,6 +89,9 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.size(F.filter(F.sequence(F.lit(0), F.size("_words")), lambda i: F.get("_words", i) == F.get("_words", i + 1)))
         .cast("long").alias("n_stutters"),
     )
+    # Rows come out of a generator of one row: a filter on a measurement stays above it, where it would
+    # otherwise be moved down and repeat the measuring inside itself.
+    return _repeat_words(docs).select(*kept, F.inline(F.array(measured)))
 
 
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -172,16 +172,16 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
 
     own = ("n_words", "n_removed", "kept_text")
     kept = [c for c in docs.columns if c not in own]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(id_col).cast("long").alias("_doc"), F.xxhash64(text_col).alias("_hash"))
-    once = repeats.groupBy("doc", "hash").agg(F.first("starts").alias("_starts"))
-    met = keyed.join(once, (F.col("_doc") == F.col("doc")) & (F.col("_hash") == F.col("hash")), "left").select(
-        *[F.col(f"`{c}`") for c in kept], F.col("_starts")
+    keyed = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(id_col).cast("long").alias("__doc"), F.xxhash64(text_col).alias("__hash"))
+    once = repeats.groupBy("doc", "hash").agg(F.first("starts").alias("__starts"))
+    met = keyed.join(once, (F.col("__doc") == F.col("doc")) & (F.col("__hash") == F.col("hash")), "left").select(
+        *[F.col(f"`{c}`") for c in kept], F.col("__starts")
     )
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[int, int, str]] = []
-            for text, starts in zip(batch.column(text_col).to_pylist(), batch.column("_starts").to_pylist()):
+            for text, starts in zip(batch.column(text_col).to_pylist(), batch.column("__starts").to_pylist()):
                 words, n_removed = word_list(text), 0
                 n_words = len(words)
                 if starts:
@@ -199,5 +199,5 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
                 [*kept, *own],
             )
 
-    schema = ", ".join(f"`{c}` {k}" for c, k in met.dtypes if c != "_starts")
+    schema = ", ".join(f"`{c}` {k}" for c, k in met.dtypes if c != "__starts")
     return met.mapInArrow(remove, f"{schema}, n_words long, n_removed long, kept_text string")
