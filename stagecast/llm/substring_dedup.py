@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from stagecast.llm.common import grouped_rows, materialise, ready
+from stagecast.llm.common import fresh_dir, grouped_rows, mark, materialise, ready, release
 from stagecast.llm.fm_index import FMIndex
 from stagecast.llm.shingles import run_hashes, slot_summary, word_hashes, word_list
 
@@ -122,6 +122,13 @@ def _segments(rows: DataFrame, window: int, maps: tuple[np.ndarray, np.ndarray])
     return rows.mapInArrow(cut, _SEGMENTS)
 
 
+def _written(segments: DataFrame) -> DataFrame:
+    """As a table of the shared folder, packed tightly: neighbouring segments overlap."""
+    path = fresh_dir(segments.sparkSession, "segments")
+    segments.write.option("compression", "zstd").parquet(path)
+    return segments.sparkSession.read.schema(segments.schema).parquet(path)
+
+
 def _answers(segments: DataFrame, window: int, shards: int) -> DataFrame:
     """block, seg, least: the smallest document of each window, for segments with a repeated one."""
 
@@ -135,7 +142,7 @@ def _answers(segments: DataFrame, window: int, shards: int) -> DataFrame:
         told = rows[[bool((f < most).any()) for f, most in zip(rows["found"], rows["most"])]]
         return pd.DataFrame({"block": told["block"], "seg": told["seg"], "least": [f.astype("<i8").tobytes() for f in told["found"]]})
 
-    dealt = segments.withColumn("shard", F.pmod("place", F.lit(shards)))
+    dealt = segments.select(F.pmod("place", F.lit(shards)).alias("shard"), "block", "seg", "least", "most", "text")
     return dealt.groupBy("shard").applyInPandas(search, "block long, seg int, least binary")
 
 
@@ -164,11 +171,14 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     """``docs`` with n_words, n_removed and kept_text (the words that stay, joined by one space)."""
     ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc IS NOT NULL AND text <> ''")
-    cut = materialise(_segments(rows, window, _count_slots(rows, window)), "segments")
+    maps = _count_slots(rows, window)
+    begun = mark()
+    cut = _written(_segments(rows, window, maps))
     segments = cut.where("seg >= 0").drop("occurrences")
     words = segments.agg(F.sum("n")).first()[0] or 0
     answers = _answers(segments, window, max(1, math.ceil(words / SHARD_WORDS)))
     repeats = materialise(_repeats(cut.where("seg < 0").select("block", "occurrences"), answers), "repeats")
+    release(docs.sparkSession, begun, begun + 1)  # the segments: what follows depends on repeats alone
 
     own = ("n_words", "n_removed", "kept_text")
     kept = [c for c in docs.columns if c not in own]
