@@ -9,11 +9,12 @@ identifier is repeated, and its words go.
    pass, and the result is the same.
 2. Neighbouring windows with one anchor form a segment. Segments go to shards by anchor, so equal
    windows meet. Windows of an anchor of very many documents go one by one, by their own hash. A
-   segment is sent once for each batch of documents that hold it, with their smallest identifier.
+   segment is sent once for each block of documents that hold it, with their smallest identifier;
+   segments of a block for one shard travel as one compressed value, for neighbours overlap.
 3. A shard builds a compressed FM-index of its segments and streams them through it: backward
    search over the wavelet tree gives matching statistics, and for each match of a whole window the
    smallest document of its suffix interval.
-4. Batches put the answers back to their documents; texts meet their repeated windows once.
+4. Blocks put the answers back to their documents; texts meet their repeated windows once.
 
 Defined results: NULL and empty texts have no words. Documents of equal identifier don't repeat each
 other. Documents with a NULL identifier keep all words and count for no other. Texts are processed
@@ -28,11 +29,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from stagecast.llm.common import fresh_dir, grouped_rows, mark, materialise, ready, release
+from stagecast.llm.common import grouped_rows, mark, materialise, ready, release
 from stagecast.llm.fm_index import FMIndex
 from stagecast.llm.shingles import run_hashes, slot_summary, word_hashes, word_list
 
@@ -42,10 +44,13 @@ GRAM = 5
 SLOT_BITS = 27
 #: Documents of a slot from which its windows are sent one by one.
 HOT = 1000
-#: Words of a shard.
-SHARD_WORDS = 1_000_000
+#: Characters of all texts for each shard. Segments repeat words, so a shard gets about a million words.
+SHARD_CHARS = 3_000_000
+#: Words of the segments of one block, and bytes of its texts: what a task holds at a time.
+BLOCK_WORDS = 3_000_000
+BLOCK_CHARS = 32_000_000
 
-_SEGMENTS = "block long, seg int, place long, least long, most long, n int, text string, occurrences binary"
+_PACKED = "block long, shard int, data binary"
 _OCCURRENCE = np.dtype([("row", "<i4"), ("start", "<i4"), ("seg", "<i4")])
 
 
@@ -76,74 +81,123 @@ def _bit(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[slot >> np.uint64(3)] >> (7 - (slot & np.uint64(7))).astype(np.uint8)) & 1 == 1
 
 
-def _segments(rows: DataFrame, window: int, maps: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Distinct segments of each batch (block), and one row per block with where they stand."""
+def _squeeze(*parts: bytes) -> bytes:
+    """Parts as one compressed value; ``_spread`` takes them apart."""
+    sizes = np.array([len(parts), *map(len, parts)], "<i8")
+    return zstandard.compress(sizes.tobytes() + b"".join(parts))
+
+
+def _spread(packed: bytes) -> list[bytes]:
+    raw = zstandard.decompress(packed)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    ends = 8 * (n + 1) + np.cumsum(np.frombuffer(raw, "<i8", n, 8))
+    return [raw[a:b] for a, b in zip([8 * (n + 1), *ends.tolist()], ends.tolist())]
+
+
+class _Block:
+    """Distinct segments of some documents and where they stand."""
+
+    def __init__(self, number: int):
+        self.number, self.words, self.chars = number, 0, 0
+        self.known: dict[tuple[int, str], list[int]] = {}
+        self.keys: list[tuple[int, int]] = []
+        self.occurrences: list[tuple[int, int, int]] = []
+
+    def add(self, doc: int, text: str, window: int, live: np.ndarray, hot: np.ndarray) -> None:
+        row = len(self.keys)
+        self.keys.append((doc, int(np.uint64(xxh64_intdigest(text, seed=42)).view(np.int64))))
+        self.chars += len(text)
+        words = word_list(text)
+        hashes = word_hashes(words)
+        at, anchor = anchors(hashes, window)
+        if not len(at):
+            return
+        passing, single = _bit(live, anchor), _bit(hot, anchor)
+        if not passing.any():
+            return
+        own = run_hashes(hashes, window)
+        firsts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]] | single)
+        lasts = np.r_[firsts[1:], len(at)]
+        wanted = passing[firsts]
+        place = np.where(single[firsts], own[firsts], anchor[firsts]).view(np.int64)
+        for first, last, p in zip(firsts[wanted].tolist(), lasts[wanted].tolist(), place[wanted].tolist()):
+            n = len(self.known)
+            segment = self.known.setdefault((p, " ".join(words[first : last + window - 1])), [n, doc, doc])
+            if len(self.known) > n:
+                self.words += last - first + window - 1
+            segment[1], segment[2] = min(segment[1], doc), max(segment[2], doc)
+            self.occurrences.append((row, first, segment[0]))
+
+    def packed(self, shards: int) -> pa.RecordBatch:
+        """One row for each shard with its segments, and one (shard -1) with the documents."""
+        rows = [(-1, _squeeze(np.array(self.keys, "<i8").tobytes(), np.array(self.occurrences, _OCCURRENCE).tobytes()))]
+        if self.known:
+            texts = [text for _, text in self.known]
+            place = np.fromiter((p for p, _ in self.known), np.int64, len(texts))
+            about = np.array(list(self.known.values()), np.int64)
+            order = np.argsort(place % shards, kind="stable")
+            present, starts = np.unique((place % shards)[order], return_index=True)
+            for shard, part in zip(present.tolist(), np.split(order, starts[1:])):
+                numbers = [about[part, 0].astype("<i4").tobytes(), about[part, 1].tobytes(), (about[part, 2] - about[part, 1]).tobytes()]
+                rows.append((shard, _squeeze(*numbers, "\n".join(texts[k] for k in part.tolist()).encode())))
+        columns = list(zip(*rows))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([self.number] * len(rows), pa.int64()), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary())],
+            ["block", "shard", "data"],
+        )
+
+
+def _segments(rows: DataFrame, window: int, maps: tuple[np.ndarray, np.ndarray], shards: int) -> DataFrame:
+    """Blocks of documents: their distinct segments by shard, and where these stand."""
     held = rows.sparkSession.sparkContext.broadcast(maps)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         live, hot = held.value
-        number = TaskContext.get().partitionId() << 32
+        block = _Block(TaskContext.get().partitionId() << 32)
         for docs, texts in grouped_rows(batches, ["doc", "text"]):
-            number += 1
-            known: dict[tuple[int, str], list[int]] = {}
-            occurrences: list[tuple[int, int, int]] = []
-            keys = np.empty((len(docs), 2), np.int64)
-            for row, (doc, text) in enumerate(zip(docs, texts)):
-                keys[row] = doc, np.uint64(xxh64_intdigest(text, seed=42)).view(np.int64)
-                words = word_list(text)
-                hashes = word_hashes(words)
-                at, anchor = anchors(hashes, window)
-                if not len(at):
-                    continue
-                passing, single = _bit(live, anchor), _bit(hot, anchor)
-                if not passing.any():
-                    continue
-                own = run_hashes(hashes, window)
-                firsts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]] | single) if len(at) else at
-                lasts = np.r_[firsts[1:], len(at)]
-                wanted = passing[firsts]
-                place = np.where(single[firsts], own[firsts], anchor[firsts]).view(np.int64)
-                for first, last, p in zip(firsts[wanted].tolist(), lasts[wanted].tolist(), place[wanted].tolist()):
-                    segment = known.setdefault((p, " ".join(words[first : last + window - 1])), [len(known), doc, doc, last - first + window - 1])
-                    segment[1], segment[2] = min(segment[1], doc), max(segment[2], doc)
-                    occurrences.append((row, first, segment[0]))
-            n = len(known)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([number] * (n + 1), pa.int64()), pa.array([*(s[0] for s in known.values()), -1], pa.int32()),
-                    pa.array([*(k[0] for k in known), None], pa.int64()), pa.array([*(s[1] for s in known.values()), None], pa.int64()),
-                    pa.array([*(s[2] for s in known.values()), None], pa.int64()), pa.array([*(s[3] for s in known.values()), 0], pa.int32()),
-                    pa.array([*(k[1] for k in known), None], pa.string()),
-                    pa.array([None] * n + [np.int64(len(docs)).tobytes() + keys.tobytes() + np.array(occurrences, _OCCURRENCE).tobytes()], pa.binary()),
-                ],
-                ["block", "seg", "place", "least", "most", "n", "text", "occurrences"],
-            )
-
-    return rows.mapInArrow(cut, _SEGMENTS)
+            for doc, text in zip(docs, texts):
+                block.add(doc, text, window, live, hot)
+                if block.words >= BLOCK_WORDS or block.chars >= BLOCK_CHARS:
+                    yield block.packed(shards)
+                    block = _Block(block.number + 1)
+        if block.keys:
+            yield block.packed(shards)
 
+    return rows.mapInArrow(cut, _PACKED)
 
-def _written(segments: DataFrame) -> DataFrame:
-    """As a table of the shared folder, packed tightly: neighbouring segments overlap."""
-    path = fresh_dir(segments.sparkSession, "segments")
-    segments.write.option("compression", "zstd").parquet(path)
-    return segments.sparkSession.read.schema(segments.schema).parquet(path)
 
-
-def _answers(segments: DataFrame, window: int, shards: int) -> DataFrame:
-    """block, seg, least: the smallest document of each window, for segments with a repeated one."""
+def _answers(segments: DataFrame, window: int) -> DataFrame:
+    """By block and shard: segments with a repeated window, and the smallest document of each of their windows."""
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
-        code, texts = pd.factorize(rows["text"])
-        values = rows.groupby(code)["least"].min().to_numpy()
         numbers: dict[str, int] = {}
-        coded = [np.array([numbers.setdefault(w, len(numbers) + 1) for w in text.split(" ")]) for text in texts]
-        found = FMIndex(coded, values, window, len(numbers) + 1).statistics(coded)
-        rows["found"] = [found[c] for c in code]
-        told = rows[[bool((f < most).any()) for f, most in zip(rows["found"], rows["most"])]]
-        return pd.DataFrame({"block": told["block"], "seg": told["seg"], "least": [f.astype("<i8").tobytes() for f in told["found"]]})
-
-    dealt = segments.select(F.pmod("place", F.lit(shards)).alias("shard"), "block", "seg", "least", "most", "text")
-    return dealt.groupBy("shard").applyInPandas(search, "block long, seg int, least binary")
+        texts: dict[str, int] = {}
+        coded, values, blocks = [], [], []
+        for packed in rows["data"]:
+            seg, least, over, joined = _spread(packed)
+            least = np.frombuffer(least, "<i8")
+            code = []
+            for text, doc in zip(joined.decode().split("\n"), least.tolist()):
+                k = texts.setdefault(text, len(texts))
+                if k == len(coded):
+                    coded.append(np.array([numbers.setdefault(w, len(numbers) + 1) for w in text.split(" ")]))
+                    values.append(doc)
+                else:
+                    values[k] = min(values[k], doc)
+                code.append(k)
+            blocks.append((np.frombuffer(seg, "<i4"), least + np.frombuffer(over, "<i8"), code))
+        found = FMIndex(coded, np.array(values), window, len(numbers) + 1).statistics(coded)
+        smallest = np.array([f.min() for f in found])
+        out = []
+        for block, (seg, most, code) in zip(rows["block"], blocks):
+            told = np.flatnonzero(smallest[code] < most)
+            if len(told):
+                windows = [found[code[k]] for k in told.tolist()]
+                lengths = np.array([len(w) for w in windows], "<i4")
+                out.append((block, _squeeze(seg[told].tobytes(), lengths.tobytes(), np.concatenate(windows).astype("<i8").tobytes())))
+        return pd.DataFrame(out, columns=["block", "told"])
+
+    return segments.groupBy("shard").applyInPandas(search, "block long, told binary")
 
 
 def _repeats(occurrences: DataFrame, answers: DataFrame) -> DataFrame:
@@ -151,14 +205,17 @@ def _repeats(occurrences: DataFrame, answers: DataFrame) -> DataFrame:
 
     def put_back(held: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        least = dict(zip(told["seg"], told["least"]))
-        for raw in held["occurrences"]:
-            n = int(np.frombuffer(raw, "<i8", 1)[0])
-            keys = np.frombuffer(raw, "<i8", 2 * n, 8).reshape(n, 2)
+        least: dict[int, np.ndarray] = {}
+        for packed in told["told"]:
+            seg, lengths, windows = (np.frombuffer(part, kind) for part, kind in zip(_spread(packed), ("<i4", "<i4", "<i8")))
+            least.update(zip(seg.tolist(), np.split(windows, np.cumsum(lengths)[:-1])))
+        for packed in held["data"]:
+            keys, occurrences = _spread(packed)
+            keys = np.frombuffer(keys, "<i8").reshape(-1, 2)
             starts: dict[int, list[np.ndarray]] = {}
-            for row, start, seg in np.frombuffer(raw, _OCCURRENCE, offset=8 + 16 * n).tolist():
+            for row, start, seg in np.frombuffer(occurrences, _OCCURRENCE).tolist():
                 if seg in least:
-                    repeated = np.flatnonzero(np.frombuffer(least[seg], "<i8") < keys[row, 0])
+                    repeated = np.flatnonzero(least[seg] < keys[row, 0])
                     if len(repeated):
                         starts.setdefault(row, []).append(repeated + start)
             rows += [(*keys[row].tolist(), np.concatenate(s).astype("<i4").tobytes()) for row, s in starts.items()]
@@ -171,13 +228,12 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     """``docs`` with n_words, n_removed and kept_text (the words that stay, joined by one space)."""
     ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc IS NOT NULL AND text <> ''")
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     maps = _count_slots(rows, window)
     begun = mark()
-    cut = _written(_segments(rows, window, maps))
-    segments = cut.where("seg >= 0").drop("occurrences")
-    words = segments.agg(F.sum("n")).first()[0] or 0
-    answers = _answers(segments, window, max(1, math.ceil(words / SHARD_WORDS)))
-    repeats = materialise(_repeats(cut.where("seg < 0").select("block", "occurrences"), answers), "repeats")
+    cut = materialise(_segments(rows, window, maps, max(1, math.ceil(chars / SHARD_CHARS))), "segments")
+    answers = _answers(cut.where("shard >= 0"), window)
+    repeats = materialise(_repeats(cut.where("shard < 0").select("block", "data"), answers), "repeats")
     release(docs.sparkSession, begun, begun + 1)  # the segments: what follows depends on repeats alone
 
     own = ("n_words", "n_removed", "kept_text")
