@@ -10,9 +10,10 @@ first n - ceil(t n) + 1 of each. The order is cut into fragments.
    a token of a third of all sets costs one row each, in no more memory than its first.
 3. Each set is compared with the pivot it shares most tokens with; links make components.
 4. What is left are tokens whose sets lie in several components. Only pairs across components are
-   compared, so a large group of copies is never expanded into its pairs. Every pair that shares
-   a leading token is then compared or already connected: no link that would join two
-   components is missed.
+   compared, so a large group of copies is never expanded into its pairs. Common leading tokens
+   of a pair are counted, and a pair with too few to reach the threshold is done. Every pair that
+   shares enough is then compared or already connected: no link that would join two components
+   is missed.
 
 A pair is compared fragment by fragment: the sets are cut vertically, overlaps of a fragment are
 counted on their own, pairs that can't reach the threshold any more are dropped after the first,
@@ -166,6 +167,16 @@ def _near(m: Column, n: Column, num: int, den: int) -> Column:
     return F.least(m, n) * den >= F.greatest(m, n) * num
 
 
+def _enough(shared: Column, m: Column, n: Column, num: int, den: int) -> Column:
+    """Whether ``shared`` common leading tokens allow the similarity.
+
+    Every other common token lies, in the global order, behind the leading ones of the set whose
+    leading ones end first, so there are at most as many as that set has behind them.
+    """
+    behind = F.greatest(F.ceil(m * num / den), F.ceil(n * num / den)) - 1
+    return (shared + behind) * (num + den) >= (m + n).cast("long") * num
+
+
 def _segments(docs: Chosen, n: int) -> DataFrame:
     """doc, fragment, tokens: the sets cut vertically by ranges of hash."""
     cuts = (np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(64 - FRAGMENTS.bit_length() + 1))
@@ -275,10 +286,19 @@ def _across(shared: DataFrame, found: DataFrame, tried: DataFrame, num: int, den
         some.select("token", F.col("pivot").alias("doc"), F.col("pivot_n").alias("n"), F.col("pivot_c").alias("c"))
     ).distinct()
     holders = materialise(holders, "holders")
-    left = holders.select("token", *[F.col(x).alias(y) for x, y in (("doc", "a"), ("n", "a_n"), ("c", "a_c"))])
-    right = holders.select("token", *[F.col(x).alias(y) for x, y in (("doc", "b"), ("n", "b_n"), ("c", "b_c"))])
-    pairs = left.join(right, "token").where((F.col("a_c") < F.col("b_c")) & _near(F.col("a_n"), F.col("b_n"), num, den))
-    pairs = pairs.select("a", "a_n", "b", "b_n").distinct()
+    # The largest component of a token is met by the others and never by itself.
+    top = holders.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("top"))
+    named = lambda rows, side: rows.withColumnsRenamed({"doc": side, "n": f"{side}_n", "c": f"{side}_c"})
+    left, right = named(holders.join(top, "token").where("c <> top"), "a"), named(holders, "b")
+    met = left.join(right, "token").where(
+        (F.col("a_c") != F.col("b_c")) & ((F.col("b_c") == F.col("top")) | (F.col("a_c") < F.col("b_c")))
+        & _near(F.col("a_n"), F.col("b_n"), num, den)
+    )
+    a, b = (F.struct(F.col(side).alias("d"), F.col(f"{side}_n").alias("n")) for side in ("a", "b"))
+    forward = F.col("a_c") < F.col("b_c")
+    pairs = met.groupBy(F.when(forward, a).otherwise(b).alias("x"), F.when(forward, b).otherwise(a).alias("y")).agg(F.count("*").alias("shared"))
+    pairs = pairs.select(*[F.col(f"{s}.{f}").alias(to) for s, f, to in (("x", "d", "a"), ("x", "n", "a_n"), ("y", "d", "b"), ("y", "n", "b_n"))], "shared")
+    pairs = pairs.where(_enough(F.col("shared"), F.col("a_n"), F.col("b_n"), num, den)).drop("shared")
     done = tried.select(F.col("p.pivot").alias("x"), F.col("doc").alias("y"))
     both = reduce(DataFrame.unionByName, [done.select(F.col("x").alias("a"), F.col("y").alias("b")), done.select(F.col("y").alias("a"), F.col("x").alias("b"))])
     return pairs.join(both, ["a", "b"], "left_anti")
