@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stagecast.llm import bpe, exact_dedup, hmm_lm, html_extract, jaccard_join, language_id, oracle, packing, quality, substring_dedup, url_filter
+from stagecast.llm import alignment, bpe, exact_dedup, hmm_lm, html_extract, jaccard_join, language_id, oracle, packing, prefix_trie, quality, substring_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,7 +82,25 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_text(_table(spark, sf_dir, "pages"))
 
 
-_QUERIES = (op1_bpe, op2_exact_dedup, op3_url_filter, op4_jaccard_join, op5_hmm_score, op6_quality_rules, op7_language_id, op8_substring_dedup, op9_packing, op10_html_extract)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (_crc(5) == 0).alias("held_out"))
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").where(_crc(5) != 0)
+    model = toxicity.train(docs.where("NOT held_out"), labels, "toxic")
+    return toxicity.score(docs, model).select(
+        "doc_id", "held_out", "score", "predicted", F.col("evidence.doc_id").alias("nearest")
+    )
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align_corpus(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+_QUERIES = (op1_bpe, op2_exact_dedup, op3_url_filter, op4_jaccard_join, op5_hmm_score, op6_quality_rules, op7_language_id, op8_substring_dedup, op9_packing, op10_html_extract, op11_prefix_trie, op12_toxicity, op13_alignment)
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
