@@ -6,6 +6,7 @@ engine and for every order of the rows.
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -56,7 +57,7 @@ class Fixtures:
 
     def observed(self) -> DataFrame:
         return (
-            self._read("lineitem").where(F.col("l_linenumber") == 1)
+            self._read("lineitem")
             .groupBy("l_shipdate", "l_suppkey")
             .agg((F.lit(100) + F.max("l_quantity")).alias("waterlevel"))
             .select(F.col("l_shipdate").alias("datetime"), _code(F.col("l_suppkey")).alias("hydroweb"), "waterlevel")
@@ -92,6 +93,18 @@ class Fixtures:
             )
         )
 
+    def runs(self) -> list[tuple[str, DataFrame]]:
+        """Three runs, a day apart, as model output (time, rivid, ensemble, Qout); the last is ``ensemble``."""
+        found = []
+        for days in (2, 1, 0):
+            back = F.make_dt_interval(days=F.lit(days))
+            started = str(dt.datetime.fromisoformat(INITIALIZED) - dt.timedelta(days=days))
+            found.append((started, self.ensemble().select(
+                (F.col("datetime") - back).alias("time"), F.col("reachid").alias("rivid"), F.col("member").alias("ensemble"),
+                (F.col("value") + F.lit(float(days))).alias("Qout"),
+            )))
+        return found
+
     def _records(self, first: str, days: int) -> DataFrame:
         day = F.col("day")
         return (

@@ -153,19 +153,22 @@ def features(alerts: DataFrame) -> DataFrame:
     return alerts.select("hydroweb", F.to_json(feature, {"ignoreNullFields": "false"}).alias("feature"))
 
 
-def feature_collections(feature_rows: DataFrame, per_collection: int = 1000) -> DataFrame:
-    """FeatureCollections of at most ``per_collection`` features each: (collection, geojson).
+def collection_lines(feature_rows: DataFrame) -> DataFrame:
+    """One FeatureCollection as lines: (place, hydroweb, feature, copy, line), to be written in that order.
 
-    Numbering follows the input partitions, so no group ever holds more features than that.
+    ``place`` is 0 for the opening line, 1 for features, 2 for the closing line. Every feature but
+    the first has its comma in front, so a line needs to know nothing of its neighbours and no row
+    holds more than one feature. Repeated features are numbered as copies.
     """
-    # monotonically_increasing_id counts up from partition * 2**33.
-    numbered = feature_rows.withColumn(
-        "collection", F.floor(F.monotonically_increasing_id() / F.lit(per_collection))
+    spark = feature_rows.sparkSession
+    rows = feature_rows.groupBy("hydroweb", "feature").agg(F.count(F.lit(1)).alias("n")).select(
+        "hydroweb", "feature", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")
     )
-    return numbered.groupBy("collection").agg(
-        F.concat(
-            F.lit('{"type":"FeatureCollection","features":['),
-            F.array_join(F.sort_array(F.collect_list("feature")), ","),
-            F.lit("]}"),
-        ).alias("geojson")
+    first = rows.agg(F.min(F.struct("hydroweb", "feature", "copy")).alias("f")).select("f.*").first()
+    leads = F.col("hydroweb").eqNullSafe(F.lit(first[0])) & F.col("feature").eqNullSafe(F.lit(first[1])) & (F.col("copy") == F.lit(first[2]))
+    lines = rows.select(
+        F.lit(1).alias("place"), "hydroweb", "feature", "copy", F.concat(F.when(leads, "").otherwise(","), F.col("feature")).alias("line")
     )
+    ends = spark.createDataFrame([(0, '{"type":"FeatureCollection","features":['), (2, "]}")], "place int, line string")
+    none = F.lit(None).cast("string")
+    return lines.unionByName(ends.select("place", none.alias("hydroweb"), none.alias("feature"), F.lit(0).cast("long").alias("copy"), "line"))

@@ -13,8 +13,6 @@ from stagecast.operators.lookup import lookup_join, row_counts
 from stagecast.tables import Tables
 from stagecast.workspace import materialise
 
-# Upper bound of a mapping row: two distributions of at most 66 shares, and some numbers.
-MAPPING_BYTES = 2 * 66 * 8 + 256
 _SIM = ("n", "low", "high", "step", "first", "cdf")
 _OBS = ("step", "last", "first", "cdf")
 
@@ -81,7 +79,7 @@ def corrected_simulation(tables: Tables, model: Model) -> DataFrame:
     """Corrected history of every complete station: (hydroweb, datetime, value, corrected)."""
     rows = simulated(tables.simulation).withColumn("month", F.month("datetime"))
     mapping = model.mapping.where("complete").drop("complete", "sim_n", "sim_low", "sim_high")
-    joined = lookup_join(rows, mapping, ["reachid", "month"], MAPPING_BYTES, group_sizes(model.mapping))
+    joined = lookup_join(rows, mapping, ["reachid", "month"], group_sizes(model.mapping))
     return map_historical(joined, "value", "corrected").select("hydroweb", "datetime", "value", "corrected")
 
 
@@ -132,7 +130,7 @@ def corrected_members(
     Output: (hydroweb, reachid, initialized, datetime, member, value, clipped, min_factor,
     max_factor, mapped, corrected) and the ``keep`` columns of the mapping.
     """
-    joined = lookup_join(rows, mapping, ["reachid", "initialized"], MAPPING_BYTES, runs)
+    joined = lookup_join(rows, mapping, ["reachid", "initialized"], runs)
     mapped = map_forecast(clip_factors(joined, "value"), "clipped", "mapped")
     return mapped.withColumn("corrected", F.col("mapped") * F.col("min_factor") * F.col("max_factor")).select(
         "hydroweb", "reachid", "initialized", "datetime", "member", "value", "clipped",
@@ -157,7 +155,7 @@ def mapped_forecast(tables: Tables, model: Model, use_month: int = 0) -> DataFra
     rows = forecast_rows(tables.ensemble)
     runs = forecast_runs(rows)
     mapping = run_mapping(runs, model, use_month)
-    joined = lookup_join(rows, mapping, ["reachid", "initialized"], MAPPING_BYTES, runs)
+    joined = lookup_join(rows, mapping, ["reachid", "initialized"], runs)
     return map_forecast(joined, "value", "mapped").select(
         "hydroweb", "reachid", "initialized", "datetime", "member", "value", "mapped"
     )
@@ -183,7 +181,7 @@ def corrected_records(
             mapping.join(span, "reachid").where(F.col("month").between(F.col("_from"), F.col("_to")))
             .drop("_from", "_to")
         )
-    joined = lookup_join(rows, mapping, ["reachid", "month"], MAPPING_BYTES, sizes)
+    joined = lookup_join(rows, mapping, ["reachid", "month"], sizes)
     mapped = map_forecast(clip_factors(joined, "value"), "clipped", "mapped")
     return mapped.select(
         "hydroweb", "datetime", "value",

@@ -24,7 +24,6 @@ from stagecast.operators.clean import series
 from stagecast.operators.lookup import lookup_join
 from stagecast.workspace import materialise
 
-LAYOUT_BYTES = 128  # key, month and seven numbers
 
 
 def edge(step: Column, number: Column) -> Column:
@@ -98,7 +97,7 @@ def month_histogram(df: DataFrame, key: str, value: str, shift_min: bool = False
     """
     rows = series(df, key, value).withColumn("month", F.month("datetime"))
     layout = materialise(histogram_layout(month_extremes(rows, key, value), key, shift_min), "histogram-layout")
-    binned = lookup_join(rows.select(key, "month", value), layout, [key, "month"], LAYOUT_BYTES, layout)
+    binned = lookup_join(rows.select(key, "month", value), layout, [key, "month"], layout)
     number = bin_number(clamp(F.col(value) - F.col("base")), F.col("step"))
     return binned.groupBy(key, "month", number.alias("bin")).agg(
         F.count(F.lit(1)).alias("rows"), *[F.first(c).alias(c) for c in _LAYOUT]

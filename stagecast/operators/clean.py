@@ -8,7 +8,6 @@ from stagecast.functions.scalar import clamp, present
 from stagecast.operators.lookup import lookup_join
 from stagecast.workspace import materialise
 
-STATION_VALUE_BYTES = 96  # station code and two numbers
 
 
 def series(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -39,6 +38,6 @@ def observed_levels(observed: DataFrame, shift_min: bool = True) -> DataFrame:
     if not shift_min:
         return rows.select("hydroweb", "datetime", clamp(F.col("waterlevel")).alias("level"))
     bases = materialise(station_minimum(observed), "station-minimum")
-    return lookup_join(rows, bases.drop("n"), ["hydroweb"], STATION_VALUE_BYTES, bases).select(
+    return lookup_join(rows, bases.drop("n"), ["hydroweb"], bases).select(
         "hydroweb", "datetime", clamp(F.col("waterlevel") - F.col("base")).alias("level")
     )

@@ -8,7 +8,6 @@ from stagecast.functions.scalar import seconds_between
 from stagecast.operators.bias import (
     Model, corrected_members, forecast_rows, forecast_runs, run_mapping,
 )
-from stagecast.operators.lookup import lookup_join
 from stagecast.schemas import (
     HIGH_RES_MEMBER, MEMBERS, RETURN_PERIODS, STAT_MEMBERS, threshold_columns,
 )
@@ -16,7 +15,6 @@ from stagecast.tables import Tables
 from stagecast.workspace import materialise
 
 _DAY = 86400
-MOMENT_BYTES = 48  # reach and two moments
 
 
 def member_column(member: int) -> str:
@@ -51,34 +49,57 @@ def forecast_records(ensemble: DataFrame) -> DataFrame:
     )
 
 
+def members_present(member: Column, value: Column) -> Column:
+    """Aggregate: a bit per ordinary member that has a value; repeated rows set it once."""
+    ordinary = (member >= 1) & (member <= STAT_MEMBERS) & value.isNotNull()
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (member - 1).cast("int"))
+    return F.coalesce(F.bit_or(F.when(ordinary, bit)), F.lit(0).cast("long"))
+
+
 def complete_rows(ensemble: DataFrame) -> DataFrame:
     """Moments with a value for every member but the high-resolution one."""
     return (
         forecast_rows(ensemble)
-        .where((F.col("member") <= STAT_MEMBERS) & F.col("value").isNotNull())
         .groupBy("reachid", "initialized", "datetime")
-        .agg(F.count(F.lit(1)).alias("n_members"))
+        .agg(F.bit_count(members_present(F.col("member"), F.col("value"))).cast("long").alias("n_members"))
         .where(F.col("n_members") == STAT_MEMBERS)
     )
 
 
+def slots(member: Column, value: Column) -> list[Column]:
+    """Aggregates: the value of each member, NULL where it has none.
+
+    A group is one row of fixed size, whatever it was given; of a repeated member the largest value
+    counts. Merged per task before the shuffle.
+    """
+    return [F.max(F.when(member == m, value)).alias(member_column(m)) for m in range(1, MEMBERS + 1)]
+
+
+def quantile(ordered: Column, share: float) -> Column:
+    """Quantile of an ascending array of all ordinary members, interpolated between neighbours."""
+    place = share * (STAT_MEMBERS - 1)
+    low = int(place)
+    below, above = F.get(ordered, F.lit(low)), F.get(ordered, F.lit(min(low + 1, STAT_MEMBERS - 1)))
+    return below if place == low else (low + 1 - place) * below + (place - low) * above
+
+
 def ensemble_stats(corrected: DataFrame) -> DataFrame:
     """Quantiles over the ordinary members and the high-resolution value per moment.
 
     Quantiles are NULL unless all ordinary members are present; a moment with neither is left
-    out. ``flow_avg`` is the median. One aggregation serves both halves, so no join is needed.
+    out. ``flow_avg`` is the median. One aggregation puts every member into its slot; the slots are
+    sorted once per moment.
     """
-    ordinary = F.when(F.col("member") <= STAT_MEMBERS, F.col("corrected"))
-    stats = corrected.groupBy("hydroweb", "initialized", "datetime").agg(
-        F.count(ordinary).alias("n"),
-        F.percentile(ordinary, F.array(*[F.lit(q) for q in (1.0, 0.75, 0.5, 0.25, 0.0)])).alias("q"),
-        F.max(F.when(F.col("member") == HIGH_RES_MEMBER, F.col("corrected"))).alias("high_res"),
-    )
-    whole = F.col("n") == STAT_MEMBERS
-    names = ("flow_max", "flow_75", "flow_avg", "flow_25", "flow_min")
-    return stats.where(whole | F.col("high_res").isNotNull()).select(
+    stats = corrected.groupBy("hydroweb", "initialized", "datetime").agg(*slots(F.col("member"), F.col("corrected")))
+    ordinary = F.array(*[F.col(member_column(m)) for m in range(1, STAT_MEMBERS + 1)])
+    ordered = stats.select(
+        "hydroweb", "initialized", "datetime", F.sort_array(ordinary).alias("q"), F.col(member_column(HIGH_RES_MEMBER)).alias("high_res")
+    )
+    whole = F.get("q", F.lit(0)).isNotNull()  # NULLs come first
+    names = {"flow_max": 1.0, "flow_75": 0.75, "flow_avg": 0.5, "flow_25": 0.25, "flow_min": 0.0}
+    return ordered.where(whole | F.col("high_res").isNotNull()).select(
         "hydroweb", "initialized", "datetime",
-        *[F.when(whole, F.col("q")[i]).alias(name) for i, name in enumerate(names)],
+        *[F.when(whole, quantile(F.col("q"), share)).alias(name) for name, share in names.items()],
         "high_res",
     )
 
@@ -176,32 +197,28 @@ def probability_table(
     window belong to it, so a row on a boundary counts in two windows. Windows without rows are 0.
     """
     rows = forecast_rows(tables.ensemble)
-    moment = ["reachid", "initialized", "datetime"]
-    # One row per moment, stored: it dates the runs and says which rows take part.
+    # One row per moment with a slot per member, stored: it dates the runs, says which moments take
+    # part, and holds their values. The ensemble itself is shuffled for this and no more.
+    member, value = F.col("member"), F.col("value")
     moments = materialise(
-        rows.groupBy(*moment).agg(
-            (F.count(F.when(F.col("member") <= STAT_MEMBERS, F.col("value"))) == STAT_MEMBERS).alias("whole"),
-            (F.count(F.when(F.col("member") == HIGH_RES_MEMBER, F.col("value"))) > 0).alias("high"),
-            F.count(F.lit(1)).alias("n"),
-        ),
-        "moments",
-    )
-    in_stats = F.col("whole") | F.col("high")
+        rows.groupBy("reachid", "initialized", "datetime").agg(members_present(member, value).alias("bits"), *slots(member, value)), "moments"
+    )
+    whole, high = F.bit_count("bits") == STAT_MEMBERS, F.col(member_column(HIGH_RES_MEMBER)).isNotNull()
+    in_stats = whole | high
     runs = moments.groupBy("reachid", "initialized").agg(
         F.min("datetime").alias("first_time"), F.max("datetime").alias("last_time"),
         F.min(F.when(in_stats, F.col("datetime"))).alias("start"),
         F.max(F.when(in_stats, F.col("datetime"))).alias("end"),
-        F.sum("n").alias("n"),
+        (F.count_if(whole) * STAT_MEMBERS).alias("n"),
     )
     mapping = run_mapping(
         runs, model, extra=thresholds.select("hydroweb", *threshold_columns())
     ).withColumn("windows", F.floor(seconds_between(F.col("end"), F.col("start")) / F.lit(_DAY)).cast("int"))
-    whole = moments.where("whole").select(*moment)
-    used = lookup_join(
-        rows.where(F.col("member") <= STAT_MEMBERS), whole, moment, MOMENT_BYTES,
-        moments.select(*moment, "n"), "left_semi",
+    ordinary = F.array(*[F.col(member_column(m)) for m in range(1, STAT_MEMBERS + 1)])
+    used = moments.where(whole).select("reachid", "initialized", "datetime", F.posexplode(ordinary).alias("member", "value"))
+    corrected = corrected_members(
+        used.withColumn("member", F.col("member") + 1), runs, mapping, ("start", "windows", *threshold_columns())
     )
-    corrected = corrected_members(used, runs, mapping, ("start", "windows", *threshold_columns()))
     offset = seconds_between(F.col("datetime"), F.col("start"))
     here = F.floor(offset / F.lit(_DAY)).cast("int")
     before = (F.ceil(offset / F.lit(_DAY)) - 1).cast("int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from stagecast.functions.scalar import gumbel
-from stagecast.operators.bias import MAPPING_BYTES, Model, map_historical
+from stagecast.operators.bias import Model, map_historical
 from stagecast.operators.clean import simulated
 from stagecast.operators.lookup import lookup_join
 from stagecast.schemas import RETURN_PERIODS
@@ -26,7 +26,7 @@ def annual_maxima(tables: Tables, model: Model) -> DataFrame:
     )
     mapping = model.mapping.where("complete")
     # A reach has twelve rows per year here, so no group needs cutting.
-    joined = lookup_join(peaks, mapping, ["reachid", "month"], MAPPING_BYTES)
+    joined = lookup_join(peaks, mapping, ["reachid", "month"])
     mapped = map_historical(joined, "value", "corrected")
     return mapped.groupBy("hydroweb", "year").agg(F.max("corrected").alias("max_value"))
 

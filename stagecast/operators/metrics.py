@@ -14,14 +14,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stagecast.operators.bias import MAPPING_BYTES, Model, map_historical, station_reach
+from stagecast.operators.bias import Model, map_historical, station_reach
 from stagecast.operators.clean import observed_levels, simulated
 from stagecast.operators.ranks import with_rank
 from stagecast.operators.lookup import lookup_join, row_counts
 from stagecast.tables import Tables
 from stagecast.workspace import materialise
 
-STATION_BYTES = 96  # code and reach of a station
 SKILL = ("ME", "RMSE", "NRMSE (Mean)", "NSE", "KGE (2009)", "KGE (2012)", "R (Pearson)", "R (Spearman)", "r2")
 COMPARED = ("ME", "RMSE", "NRMSE (Mean)", "MAPE", "NSE", "KGE (2009)", "KGE (2012)")
 
@@ -36,14 +35,14 @@ def sim_obs_pairs(tables: Tables, model: Model) -> DataFrame:
     complete = model.mapping.where("complete").drop("complete", "sim_n", "sim_low", "sim_high")
     shared = (
         lookup_join(
-            observed, station_reach(tables.station), ["hydroweb"], STATION_BYTES, row_counts(observed, ["hydroweb"])
+            observed, station_reach(tables.station), ["hydroweb"], row_counts(observed, ["hydroweb"])
         )
         .join(simulated(tables.simulation), ["reachid", "datetime"])
         .withColumn("month", F.month("datetime"))
     )
     sizes = row_counts(shared, ["hydroweb", "month"])
     joined = lookup_join(
-        shared.drop("reachid"), complete.drop("reachid"), ["hydroweb", "month"], MAPPING_BYTES, sizes
+        shared.drop("reachid"), complete.drop("reachid"), ["hydroweb", "month"], sizes
     )
     return map_historical(joined, "value", "corrected").select(
         "hydroweb", "datetime", F.col("level").alias("obs"), F.col("value").alias("sim"), "corrected"
@@ -93,7 +92,7 @@ def _long(metrics: dict[str, list[tuple[str, Column]]]) -> Column:
     ]))
 
 
-def skill_metrics(pairs: DataFrame, whole_group: int | None = None) -> DataFrame:
+def skill_metrics(pairs: DataFrame, range_values: int | None = None) -> DataFrame:
     """The nine skill metrics of the corrected series: (hydroweb, metric, value).
 
     The pairs are stored first: ranking reads them several times and joins on computed values,
@@ -102,7 +101,7 @@ def skill_metrics(pairs: DataFrame, whole_group: int | None = None) -> DataFrame
     pairs = materialise(pairs, "pairs")
     basic = pairs.groupBy("hydroweb").agg(*_aggregates(F.col("corrected"), F.col("obs"), "c"))
     values = pairs.select("hydroweb", "corrected", "obs")
-    ranked = with_rank(with_rank(values, "hydroweb", "corrected", "rs", whole_group), "hydroweb", "obs", "ro", whole_group)
+    ranked = with_rank(with_rank(values, "hydroweb", "corrected", "rs", range_values), "hydroweb", "obs", "ro", range_values)
     spearman = ranked.groupBy("hydroweb").agg(F.corr("rs", "ro").alias("spearman"))
     metrics = {
         name: [("value", F.col("spearman") if name == "R (Spearman)" else _metric(name, "c"))] for name in SKILL

@@ -2,82 +2,61 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
-from stagecast.functions.search import MAX_LENGTH, count_below
-from stagecast.operators import lookup
-from stagecast.operators.lookup import lookup_join, split_join
+from stagecast.operators.lookup import split_join
 from stagecast.workspace import materialise
 
-CUTS_BYTES = 127 * 8 + 96  # station code and the cut points
-
-# Groups with fewer distinct values than this are ranked as one piece.
-WHOLE_GROUP = 1_000_000
-
+#: Distinct values of one range, about.
+RANGE_VALUES = 500_000
 
-def _counts(df: DataFrame, key: str, value: str) -> tuple[DataFrame, int, int]:
-    """Stored counts of equal values, the most distinct values of a group, the most equal values."""
-    counts = materialise(df.groupBy(key, value).agg(F.count(F.lit(1)).alias("n")), "value-counts")
-    groups = counts.groupBy(key).agg(F.count(F.lit(1)).alias("distinct"), F.max("n").alias("equal"))
-    largest = groups.agg(F.max("distinct").alias("distinct"), F.max("equal").alias("equal")).first()
-    return counts, largest["distinct"] or 0, largest["equal"] or 0
 
+def value_counts(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Rows per distinct value, as a stored table: (key, value, n)."""
+    return materialise(df.groupBy(key, value).agg(F.count(F.lit(1)).alias("n")), "value-counts")
 
-def _rank_whole(counts: DataFrame, key: str, value: str) -> DataFrame:
-    """Ranks where every group is small enough for one window."""
-    below = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("rank", F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / F.lit(2.0))
 
+def rank_counts(counts: DataFrame, key: str, value: str, range_values: int | None = None) -> DataFrame:
+    """Exact average-tie rank of every counted value: (key, value, n, rank).
 
-def _rank_in_ranges(counts: DataFrame, key: str, value: str, whole_group: int) -> DataFrame:
-    """Ranks where large groups are cut at approximate quantiles into up to 128 ranges.
-
-    Each range is summed on its own and shifted by the rows in the ranges below it. The cuts only
-    decide which task does the work: ranks stay exact.
+    The counts are range-partitioned by key and value, so a key of any size lies in neighbouring
+    ranges. Each range is summed on its own and shifted by what the key has in earlier ranges. Only
+    the first key of a range can have begun before it, so there is at most one shift per range.
     """
-    quantiles = F.array(*[F.lit((i + 1) / (MAX_LENGTH + 1)) for i in range(MAX_LENGTH)])
-    found = counts.groupBy(key).agg(
-        F.percentile_approx(value, quantiles, F.lit(10_000)).alias("_q"), F.count(F.lit(1)).alias("n")
-    )
-    none = F.array().cast("array<double>")
-    cuts = materialise(
-        found.select(key, "n", F.when(F.col("n") >= whole_group, F.array_sort(F.array_distinct("_q"))).otherwise(none).alias("_cuts")),
-        "rank-cuts",
+    ranges = max(1, math.ceil(counts.count() / (RANGE_VALUES if range_values is None else range_values)))
+    placed = counts.repartitionByRange(ranges, key, value).withColumn("_range", F.spark_partition_id())
+    ranged = materialise(placed, "ranged-values")
+    first = ranged.groupBy("_range").agg(F.min(key).alias(key)).select(key).distinct()
+    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = (
+        ranged.join(F.broadcast(first), key, "left_semi")  # at most one key per range
+        .groupBy(key, "_range").agg(F.sum("n").alias("_total"))
+        .select(key, "_range", F.sum("_total").over(before).alias("_shift"))
     )
-    sized = lookup_join(counts, cuts.drop("n"), [key], CUTS_BYTES, cuts.drop("_cuts"))
-    ranged = materialise(
-        count_below(sized, "_cuts", value, "_range", inclusive=True).select(key, value, "n", "_range"), "ranged-values"
-    )
-    totals = ranged.groupBy(key, "_range").agg(F.sum("n").alias("_total"))
-    below_range = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(key, "_range", F.coalesce(F.sum("_total").over(below_range), F.lit(0)).alias("_offset"))
-    below = Window.partitionBy(key, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.partitionBy("_range", key).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0)
     return (
-        ranged.withColumn("_below", F.coalesce(F.sum("n").over(below), F.lit(0)))
-        .join(offsets, [key, "_range"])
-        .select(key, value, "n", (F.col("_offset") + F.col("_below") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"))
+        ranged.withColumn("_below", F.coalesce(F.sum("n").over(below), none))
+        .join(F.broadcast(shifts), [key, "_range"], "left")
+        .select(key, value, "n", (F.coalesce("_shift", none) + F.col("_below") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"))
     )
 
 
-def _ranked(df: DataFrame, key: str, value: str, whole_group: int | None) -> tuple[DataFrame, DataFrame, int]:
-    whole_group = WHOLE_GROUP if whole_group is None else whole_group
-    counts, distinct, equal = _counts(df, key, value)
-    table = _rank_whole(counts, key, value) if distinct < whole_group else _rank_in_ranges(counts, key, value, whole_group)
-    return table, counts, equal
-
-
-def rank_table(df: DataFrame, key: str, value: str, whole_group: int | None = None) -> DataFrame:
+def rank_table(df: DataFrame, key: str, value: str, range_values: int | None = None) -> DataFrame:
     """Exact average-tie rank of every distinct value of a group: (key, value, n, rank).
 
     Equal values are counted before anything is ordered.
     """
-    return _ranked(df, key, value, whole_group)[0]
+    return rank_counts(value_counts(df, key, value), key, value, range_values)
 
 
-def with_rank(df: DataFrame, key: str, value: str, out: str, whole_group: int | None = None) -> DataFrame:
-    """Add ``out``, the average-tie rank of ``value`` within ``key``."""
-    table, counts, equal = _ranked(df, key, value, whole_group)
-    ranks = table.select(key, value, F.col("rank").alias(out))
-    if equal < lookup.HOT_ROWS:
-        return df.join(ranks, [key, value])
+def with_rank(df: DataFrame, key: str, value: str, out: str, range_values: int | None = None) -> DataFrame:
+    """Add ``out``, the average-tie rank of ``value`` within ``key``.
+
+    Values that very many rows share are joined in pieces.
+    """
+    counts = value_counts(df, key, value)
+    ranks = rank_counts(counts, key, value, range_values).select(key, value, F.col("rank").alias(out))
     return split_join(df, ranks, [key, value], counts)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from stagecast.operators import alerts, bias, climatology, clean, ensemble, extremes, metrics, series
+from stagecast.schemas import STATION
 from stagecast.sinks import writers
 from stagecast.sources import readers
-from stagecast.tables import Tables
+from stagecast.tables import Tables, ensemble_table, observed_table, records_table, simulation_table
 from stagecast.workspace import materialise
 
 
@@ -41,15 +43,40 @@ def open_refresh(spark: SparkSession, path: str) -> Refresh:
 
 
 def initial_load(
-    spark: SparkSession, stations: str, observations: str, qout: DataFrame, root: str
+    spark: SparkSession, stations: str, observations: str, qout: DataFrame, root: str,
+    forecasts: Mapping[str, DataFrame] | None = None,
 ) -> None:
-    """Station list, compiled observations and retrospective simulation into stored tables."""
+    """Station list, compiled observations, retrospective simulation and past runs into stored tables.
+
+    ``forecasts`` maps the moment of a run to its model output. Running the load again replaces what
+    it loaded before.
+    """
     station = readers.read_stations(spark, stations)
-    station.write.mode("append").parquet(f"{root}/station")
-    observed = readers.route_decades(readers.read_observed(spark, observations))
-    writers.write_partitioned(observed, f"{root}/waterlevel_data", "decade", "hydroweb")
-    simulation = readers.route_decades(readers.load_simulation(qout, station))
-    writers.write_partitioned(simulation, f"{root}/historical_simulation", "decade", "reachid")
+    station.write.mode("overwrite").parquet(f"{root}/station")
+    observed_table(root).load(readers.read_observed(spark, observations), replace=True)
+    simulation_table(root).load(readers.load_simulation(qout, station), replace=True)
+    for initialized, run in (forecasts or {}).items():
+        forecast_load(run, station, initialized, root)
+
+
+def forecast_load(qout: DataFrame, station: DataFrame, initialized: str, root: str) -> None:
+    """Model output of one run into the stored ensemble, and its first values into the records.
+
+    The run's reaches replace what was stored of them, so loading a run twice changes nothing.
+    Readers see each of the two tables as it was before the load or after it.
+    """
+    rows = materialise(readers.load_forecast(qout, station, initialized), "forecast")
+    writers.upsert_runs(records_table(root), ensemble.forecast_records(rows), "datetime")
+    writers.upsert_runs(ensemble_table(root), rows, "initialized")
+
+
+def daily_update(
+    spark: SparkSession, qout: DataFrame, initialized: str, root: str, state: Refresh, warnings: str
+) -> None:
+    """The daily job: load the new run, then score it for every station."""
+    station = spark.read.schema(STATION).parquet(f"{root}/station")
+    forecast_load(qout, station, initialized, root)
+    daily_warnings(readers.open_tables(spark, root, initialized), state, initialized, warnings)
 
 
 def observation_refresh(spark: SparkSession, products: str, station: DataFrame, out: str) -> DataFrame:
@@ -66,6 +93,11 @@ def daily_warnings(tables: Tables, state: Refresh, date: str, out: str) -> None:
     writers.write_warnings(alerts.warnings_wide(tables, state.model, date, state.thresholds), out)
 
 
+def map_alerts(spark: SparkSession, station: DataFrame, warnings: str, date: str) -> DataFrame:
+    """Stations with their stored warnings of one date; nothing is scored again."""
+    return alerts.water_level_alerts(station, readers.read_warnings(spark, warnings, date), date)
+
+
 @dataclass(frozen=True)
 class Charts:
     """The tables behind the charts of all stations."""
@@ -134,7 +166,7 @@ def export_forecast_stats(tables: Tables, state: Refresh, path: str) -> None:
 
 
 __all__ = [
-    "Charts", "Refresh", "charts", "daily_warnings", "export_corrected_simulation",
-    "export_forecast_stats", "export_observed", "export_simulation", "forecast_parts", "initial_load",
+    "Charts", "Refresh", "charts", "daily_update", "daily_warnings", "export_corrected_simulation",
+    "export_forecast_stats", "export_observed", "export_simulation", "forecast_load", "forecast_parts", "initial_load", "map_alerts",
     "observation_refresh", "open_refresh", "refresh", "save_refresh",
 ]

@@ -14,7 +14,6 @@ RETURN_PERIODS = (2, 5, 10, 25, 50, 100)
 ALERT_PERCENT = 40.0                           # share of members that raises an alert
 FLOOR = 0.1                                    # smallest level or discharge kept
 RECORD_DAYS = 8                                # days of past records shown with a forecast
-DECADES = (2000, 2010, 2020)                   # first years of the stored ten-year ranges
 ALERT_CLASSES = ("R0", "R2", "R5", "R10", "R25", "R50", "R100")
 ACTIVE_CLASSES = ("R2", "R5", "R10", "R25", "R50", "R100")
 

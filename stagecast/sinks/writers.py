@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stagecast.functions.scalar import decade
-from stagecast.tables import Tables
+from stagecast.sinks.loads import LoadedTable
+from stagecast.tables import Tables, ensemble_table, observed_table, records_table, simulation_table
+from stagecast.workspace import mark, materialise, release
 
 _NTZ = "yyyy-MM-dd HH:mm:ss"
 
@@ -23,22 +24,39 @@ def write_partitioned(df: DataFrame, path: str, partition: str, cluster: str, mo
     )
 
 
-def write_tables(tables: Tables, root: str, mode: str = "append") -> None:
-    """Write the base tables in their stored layout."""
-    tables.station.write.mode(mode).parquet(f"{root}/station")
-    by_decade = decade(F.col("datetime"))
-    write_partitioned(tables.observed.withColumn("decade", by_decade), f"{root}/waterlevel_data", "decade", "hydroweb", mode)
-    write_partitioned(tables.simulation.withColumn("decade", by_decade), f"{root}/historical_simulation", "decade", "reachid", mode)
-    write_ensemble(tables.ensemble, f"{root}/ensemble_forecast", mode)
-    write_partitioned(
-        tables.records.withColumn("year", F.year("datetime")), f"{root}/forecast_records", "year", "reachid", mode
-    )
+def write_tables(tables: Tables, root: str) -> None:
+    """Write the base tables in their stored layout; a second run replaces what it touches."""
+    tables.station.write.mode("overwrite").parquet(f"{root}/station")
+    observed_table(root).load(tables.observed, replace=True)
+    simulation_table(root).load(tables.simulation, replace=True)
+    ensemble_table(root).load(tables.ensemble, replace=True)
+    records_table(root).load(tables.records, replace=True)
+
 
+def upsert_runs(
+    table: LoadedTable, rows: DataFrame, run: str, stream: str | None = None, batch: int | None = None
+) -> bool:
+    """Load forecast rows into the runs they belong to; ``run`` is the column that dates a run.
 
-def write_ensemble(ensemble: DataFrame, path: str, mode: str = "append") -> None:
-    """Ensemble rows by the month of their run."""
-    monthly = ensemble.withColumn("init_month", F.date_format("initialized", "yyyy-MM"))
-    write_partitioned(monthly, path, "init_month", "reachid", mode)
+    The reaches among the rows replace what the run had of them; its other reaches stay. Loading
+    the same rows again changes nothing. Of rows that repeat a moment and member the largest value
+    stays.
+    """
+    spark, begun = rows.sparkSession, mark()
+    if stream is not None and table.seen(spark, stream, batch):
+        return False
+    keys = [f.name for f in table.schema.fields if f.name != "value"]
+    new = materialise(rows.groupBy(*keys).agg(F.max("value").alias("value")), "new-runs")
+    touched = [tuple(r) for r in table.partitions_of(new).collect()]  # the runs of one delivery
+    last = table.partition_columns[-1]
+    before = table.rows(spark, F.col(last).isin(*[t[-1] for t in touched])) if touched else None
+    loaded = new
+    if before is not None:
+        delivered = new.select(run, "reachid").distinct()
+        loaded = new.unionByName(before.join(delivered, [run, "reachid"], "left_anti"))
+    done = table.load(loaded, True, stream, batch)
+    release(spark, begun)
+    return done
 
 
 def write_warnings(warnings: DataFrame, path: str) -> None:
@@ -67,3 +85,32 @@ def write_stations(station: DataFrame, path: str) -> None:
 def write_geojson(features: DataFrame, path: str) -> None:
     """GeoJSON, one feature per line."""
     features.select("feature").write.text(path)
+
+
+def write_collection(lines: DataFrame, path: str) -> None:
+    """The lines of :func:`stagecast.operators.alerts.collection_lines` as ordered part files.
+
+    Read in the order of their names the files are one JSON document; see :func:`join_parts`.
+    """
+    lines.orderBy("place", "hydroweb", "feature", "copy").select("line").write.text(path)
+
+
+def join_parts(spark: SparkSession, path: str, target: str) -> None:
+    """One file from the part files of a folder, in the order of their names.
+
+    The file system appends them block by block: nothing but a buffer is held at a time.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source, out = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(target)
+    files = source.getFileSystem(conf)
+    parts = sorted(str(f.getPath()) for f in files.listStatus(source) if f.getPath().getName().startswith("part-"))
+    written = out.getFileSystem(conf).create(out, True)
+    try:
+        for part in parts:
+            opened = files.open(jvm.org.apache.hadoop.fs.Path(part))
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(opened, written, 1 << 20, False)
+            finally:
+                opened.close()
+    finally:
+        written.close()

@@ -8,14 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stagecast.functions.scalar import decade, display_name, present, second
 from stagecast.operators.lookup import lookup_join, row_counts
-from stagecast.schemas import (
-    COMPILED, DECADES, ENSEMBLE, OBSERVED, RECORDS, SIMULATION, STATION,
-)
-from stagecast.tables import Tables
+from stagecast.schemas import COMPILED, STATION, WARNING
+from stagecast.tables import Tables, ensemble_table, observed_table, records_table, simulation_table
+from stagecast.workspace import materialise
 
 _NTZ = "yyyy-MM-dd HH:mm:ss"
-KEY_BYTES = 32     # one number per row
-NAME_BYTES = 256   # names and codes of a station
 
 
 def read_stations(spark: SparkSession, path: str) -> DataFrame:
@@ -36,19 +33,9 @@ def read_observed(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def route_decades(df: DataFrame, decades: Iterable[int] = DECADES) -> DataFrame:
-    """Add the ten-year range of each row; rows outside the given ranges are dropped.
-
-    The bounds are stated on the stored column as well, so they reach the file scan.
-    """
-    starts = sorted(decades)
-    first = F.lit(f"{starts[0]}-01-01").cast("timestamp_ntz")
-    after = F.lit(f"{starts[-1] + 10}-01-01").cast("timestamp_ntz")
-    return (
-        df.where((F.col("datetime") >= first) & (F.col("datetime") < after))
-        .withColumn("decade", decade(F.col("datetime")))
-        .where(F.col("decade").isin(*starts))
-    )
+def route_decades(df: DataFrame) -> DataFrame:
+    """Add the ten-year range of each row, whatever its year; rows without a moment have none."""
+    return df.withColumn("decade", decade(F.col("datetime")))
 
 
 def reach_intersection(model: DataFrame, station: DataFrame) -> DataFrame:
@@ -61,7 +48,7 @@ def reach_intersection(model: DataFrame, station: DataFrame) -> DataFrame:
 def of_stations(rows: DataFrame, station: DataFrame) -> DataFrame:
     """Rows whose reach belongs to a station."""
     reaches = station.select("reachid").distinct()
-    return lookup_join(rows, reaches, ["reachid"], KEY_BYTES, row_counts(rows, ["reachid"]), "left_semi")
+    return lookup_join(rows, reaches, ["reachid"], row_counts(rows, ["reachid"]), "left_semi")
 
 
 def unpack_blocks(blocks: DataFrame) -> DataFrame:
@@ -124,36 +111,72 @@ def compile_observed(products: DataFrame, station: DataFrame) -> DataFrame:
     owners = station.select(
         F.concat(F.lit("R_"), F.upper("name"), F.lit("_exp")).alias("product"), "hydroweb", "reachid"
     )
-    joined = lookup_join(products, owners, ["product"], NAME_BYTES, row_counts(products, ["product"]))
+    joined = lookup_join(products, owners, ["product"], row_counts(products, ["product"]))
     return joined.select("datetime", "waterlevel", "hydroweb", "reachid")
 
 
 def series_scan(
-    simulation: DataFrame, station: DataFrame, hydroweb: Iterable[str] | None = None
+    simulation: DataFrame, station: DataFrame, hydroweb: Iterable[str] | DataFrame | None = None
 ) -> DataFrame:
     """Simulation of stations by way of their reach: (hydroweb, reachid, datetime, value).
 
-    Without ``hydroweb`` all stations are read. For given codes their reaches are looked up first
-    (one per code), so that the scan can skip files and row groups.
+    Without ``hydroweb`` all stations are read, else those of a list or of a table with that column.
+    Only the least and the largest wanted reach come to the driver: they let the scan skip row
+    groups. The join does the rest: a table that fits is broadcast, so other rows are dropped where
+    they are read; beyond that Spark sends the scan a Bloom filter of the table at run time.
     """
     wanted = station.select("hydroweb", "reachid")
-    if hydroweb is not None:
-        wanted = wanted.where(F.col("hydroweb").isin(*hydroweb))
-        simulation = simulation.where(F.col("reachid").isin(*[r.reachid for r in wanted.collect()]))
-    joined = lookup_join(simulation, wanted, ["reachid"], NAME_BYTES, row_counts(simulation, ["reachid"]))
+    if hydroweb is None:
+        joined = lookup_join(simulation, wanted, ["reachid"], row_counts(simulation, ["reachid"]))
+        return joined.select("hydroweb", "reachid", "datetime", "value")
+    if not isinstance(hydroweb, DataFrame):
+        hydroweb = station.sparkSession.createDataFrame([(code,) for code in hydroweb], "hydroweb string")
+    codes = hydroweb.select("hydroweb").distinct()
+    wanted = materialise(wanted.join(codes, "hydroweb", "left_semi"), "wanted-stations")
+    ends = wanted.agg(F.min("reachid").alias("first"), F.max("reachid").alias("last")).first()
+    simulation = simulation.where(F.col("reachid").between(F.lit(ends["first"]), F.lit(ends["last"])))
+    joined = lookup_join(simulation, wanted, ["reachid"], row_counts(simulation, ["reachid"]))
     return joined.select("hydroweb", "reachid", "datetime", "value")
 
 
-def open_tables(spark: SparkSession, root: str) -> Tables:
-    """Tables written by :func:`stagecast.sinks.writers.write_tables`."""
-    def read(name, schema, extra=""):
-        ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields) + extra
-        return spark.read.schema(ddl).parquet(f"{root}/{name}").select(*[f.name for f in schema.fields])
+def ensemble_scan(spark: SparkSession, root: str, initialized: str, reaches: Iterable[int] | None = None) -> DataFrame:
+    """One stored run, without its keys if one reach is asked for: (reachid, datetime, member, value).
+
+    The run's moment decides folders, the reaches decide row groups: rows lie in the order of
+    reach and moment within the files.
+    """
+    moment = F.lit(str(initialized)).cast("timestamp_ntz")
+    run = F.date_format(moment, "yyyyMMddHHmmss")
+    month = F.date_format(moment, "yyyy-MM")
+    rows = ensemble_table(root).read(spark, (F.col("init_month") == month) & (F.col("run") == run))
+    rows = rows.where(F.col("initialized") == moment)
+    if reaches is not None:
+        rows = rows.where(F.col("reachid").isin(*reaches))
+    return rows.select("reachid", "datetime", "member", "value")
 
+
+def open_tables(spark: SparkSession, root: str, initialized: str | None = None) -> Tables:
+    """Tables written by :func:`stagecast.sinks.writers.write_tables` and by the load jobs.
+
+    With ``initialized`` the ensemble is that run's only, read from its folder.
+    """
+    run = None
+    if initialized is not None:
+        run = F.col("run") == F.date_format(F.lit(str(initialized)).cast("timestamp_ntz"), "yyyyMMddHHmmss")
     return Tables(
-        station=read("station", STATION),
-        observed=read("waterlevel_data", OBSERVED, ", decade int"),
-        simulation=read("historical_simulation", SIMULATION, ", decade int"),
-        ensemble=read("ensemble_forecast", ENSEMBLE, ", init_month string"),
-        records=read("forecast_records", RECORDS, ", year int"),
+        station=spark.read.schema(STATION).parquet(f"{root}/station"),
+        observed=observed_table(root).rows(spark),
+        simulation=simulation_table(root).rows(spark),
+        ensemble=ensemble_table(root).rows(spark, run),
+        records=records_table(root).rows(spark),
     )
+
+
+def read_warnings(spark: SparkSession, path: str, date: str | None = None) -> DataFrame:
+    """Stored warnings of one moment, or of all; a moment reads the folder of its day only."""
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in WARNING.fields)
+    rows = spark.read.schema(f"{columns}, date date").parquet(path)
+    if date is not None:
+        moment = F.lit(str(date)).cast("timestamp_ntz")
+        rows = rows.where((F.col("date") == F.to_date(moment)) & (F.col("datetime") == moment))
+    return rows.drop("date")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stagecast.operators import alerts, bias, ensemble, extremes
 from stagecast.schemas import RETURN_PERIODS
+from stagecast.sinks import writers
 from tests.small import INIT, make_tables
 
 HOUR = pd.Timedelta(hours=1)
@@ -201,6 +202,47 @@ def test_geojson(spark):
     feature = json.loads(rows.first().feature)
     assert feature["type"] == "Feature" and feature["geometry"] == {"type": "Point", "coordinates": [-2.5, 1.5]}
     assert feature["properties"]["wd01"] == "R100" and feature["properties"]["wd14"] is None
-    parts = [json.loads(r.geojson) for r in alerts.feature_collections(rows.coalesce(1), 3).collect()]
-    assert sorted(len(p["features"]) for p in parts) == [1, 3, 3]
-    assert {f["id"] for p in parts for f in p["features"]} == {f"S{i}" for i in range(7)}
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 5000])
+def test_one_collection_of_any_size(spark, tmp_path, n):
+    """Features as they come, some twice, over many partitions: one valid document."""
+    import json
+
+    rows = spark.range(n).selectExpr("concat('S', id) AS hydroweb", "concat('{\"id\":', id, '}') AS feature").repartition(7)
+    rows = rows.unionByName(rows.where("hydroweb = 'S0'"))
+    path, target = str(tmp_path / "parts"), str(tmp_path / "layer.json")
+    writers.write_collection(alerts.collection_lines(rows), path)
+    writers.join_parts(spark, path, target)
+    with open(target) as opened:
+        layer = json.load(opened)
+    assert layer["type"] == "FeatureCollection" and len(layer["features"]) == n + (n > 0)
+    assert {f["id"] for f in layer["features"]} == set(range(n))
+
+
+def test_a_million_features_are_one_collection(spark, tmp_path):
+    import json
+
+    rows = spark.range(1_000_000).selectExpr("CAST(id AS STRING) AS hydroweb", "concat('{\"id\":', id, '}') AS feature")
+    path, target = str(tmp_path / "parts"), str(tmp_path / "layer.json")
+    writers.write_collection(alerts.collection_lines(rows), path)
+    writers.join_parts(spark, path, target)
+    with open(target) as opened:
+        layer = json.load(opened)
+    assert len(layer["features"]) == 1_000_000 and sum(f["id"] for f in layer["features"]) == 999_999 * 500_000
+
+
+def test_repeated_rows_leave_the_statistics_alone(spark):
+    rng = np.random.default_rng(5)
+    tables = flat_tables(spark, [(INIT + pd.Timedelta(hours=6 * k), 10, INIT, m, float(v)) for k in range(3) for m, v in enumerate(rng.random(52) * 40, 1)])
+    model, thresholds = state(tables)
+    twice = type(tables)(tables.station, tables.observed, tables.simulation, tables.ensemble.unionByName(tables.ensemble), tables.records)
+    results = []
+    for t in (tables, twice):
+        results.append([
+            sorted(map(str, ensemble.ensemble_stats(bias.corrected_forecast(t, model)).collect())),
+            sorted(map(str, ensemble.complete_rows(t.ensemble).collect())),
+            sorted(map(str, ensemble.probability_table(t, model, thresholds).collect())),
+            sorted(map(str, ensemble.exceedance_daily(t, model, thresholds).collect())),
+        ])
+    assert results[0] == results[1] and results[0][0] and results[0][1] and "None" not in results[0][0][0]

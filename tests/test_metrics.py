@@ -3,6 +3,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from stagecast.operators import bias, climatology, lookup, metrics, ranks, series
 from tests.small import INIT, make_tables
@@ -36,11 +37,11 @@ def expected(s, o):
     }
 
 
-@pytest.mark.parametrize("whole_group, hot_rows", [(1_000_000, 2_000_000), (1, 2_000_000), (1_000_000, 3), (1, 3)])
-def test_skill(spark, sample, whole_group, hot_rows, monkeypatch):
-    """``whole_group=1`` ranks every station in pieces, ``hot_rows=3`` cuts groups of equal values."""
+@pytest.mark.parametrize("range_values, hot_rows", [(1_000_000, 2_000_000), (7, 2_000_000), (1_000_000, 3), (7, 3)])
+def test_skill(spark, sample, range_values, hot_rows, monkeypatch):
+    """``range_values=7`` ranks every station in pieces, ``hot_rows=3`` cuts groups of equal values."""
     monkeypatch.setattr(lookup, "HOT_ROWS", hot_rows)
-    got = metrics.skill_metrics(spark.createDataFrame(sample), whole_group).toPandas()
+    got = metrics.skill_metrics(spark.createDataFrame(sample), range_values).toPandas()
     for key, part in sample.groupby("hydroweb"):
         want = expected(part.corrected.to_numpy(), part.obs.to_numpy())
         values = got[got.hydroweb == key].set_index("metric")["value"].to_dict()
@@ -57,15 +58,24 @@ def test_comparison(spark, sample):
         assert rows[column].to_dict() == pytest.approx({m: want[m] for m in metrics.COMPARED}, abs=1e-9)
 
 
-@pytest.mark.parametrize("whole_group", [1_000_000, 1])
-def test_tied_ranks(spark, whole_group):
+@pytest.mark.parametrize("range_values", [1_000_000, 30])
+def test_tied_ranks(spark, range_values):
     rng = np.random.default_rng(1)
     frame = pd.DataFrame({"k": "A", "v": np.r_[np.full(500, 0.1), rng.integers(0, 400, 1500)].astype(float)})
-    got = ranks.rank_table(spark.createDataFrame(frame), "k", "v", whole_group).toPandas().set_index("v")["rank"]
+    got = ranks.rank_table(spark.createDataFrame(frame), "k", "v", range_values).toPandas().set_index("v")["rank"]
     want = frame.assign(r=frame.v.rank()).drop_duplicates("v").set_index("v")["r"]
     assert got.sort_index().to_dict() == want.sort_index().to_dict()
 
 
+def test_three_million_values_of_one_station(spark):
+    """One group over many ranges, a smaller one beside it: i-th of n distinct values has rank i."""
+    big = spark.range(3_000_000).select(F.lit("A").alias("k"), ((F.col("id") * 7 + 3) % 3_000_000).cast("double").alias("v"))
+    small = spark.range(10).select(F.lit("B").alias("k"), (F.col("id") % 5).cast("double").alias("v"))
+    got = ranks.rank_table(big.unionByName(small), "k", "v")
+    assert got.where("k = 'A'").agg(F.count("*"), F.count_if(F.col("rank") == F.col("v") + 1)).first()[:] == (3_000_000, 3_000_000)
+    assert sorted((r.v, r["rank"]) for r in got.where("k = 'B'").collect()) == [(float(v), 2 * v + 1.5) for v in range(5)]
+
+
 def test_pairs_are_shared_moments(spark):
     days = [T0 + dt.timedelta(days=i) for i in range(28)]
     tables = make_tables(

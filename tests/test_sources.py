@@ -4,10 +4,12 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from stagecast.operators import alerts
+from stagecast.operators import alerts, bias, ensemble
 from stagecast.plans import jobs
+from stagecast.schemas import OBSERVED
 from stagecast.sinks import writers
 from stagecast.sources import readers
+from stagecast.tables import observed_table
 from tests.small import INIT, make_tables
 from tests.test_ensemble import flat_tables, members
 
@@ -34,9 +36,20 @@ def test_compiled_observations_drop_the_reach(spark, tmp_path):
 
 
 def test_decades(spark):
-    days = [NTZ(1999, 12, 31), NTZ(2000, 1, 1), NTZ(2009, 12, 31, 23, 59), NTZ(2010, 1, 1), NTZ(2029, 12, 31), NTZ(2030, 1, 1)]
+    days = [NTZ(1999, 12, 31), NTZ(2000, 1, 1), NTZ(2009, 12, 31, 23, 59), NTZ(2010, 1, 1), NTZ(2035, 6, 1), None]
     df = spark.createDataFrame([(d,) for d in days], "datetime timestamp_ntz")
-    assert [r.decade for r in readers.route_decades(df).orderBy("datetime").collect()] == [2000, 2000, 2010, 2020]
+    assert [r.decade for r in readers.route_decades(df).orderBy("datetime").collect()] == [None, 1990, 2000, 2000, 2010, 2030]
+
+
+def test_no_year_is_left_out_of_the_stored_tables(spark, tmp_path):
+    days = [NTZ(1895, 3, 1), NTZ(1999, 12, 31), NTZ(2035, 6, 1), None]
+    rows = spark.createDataFrame([(d, "A", 1.0) for d in days], OBSERVED)
+    table = observed_table(str(tmp_path))
+    table.load(rows, replace=True)
+    table.load(rows, replace=True)
+    assert sorted((str(r.datetime), r.decade) for r in table.read(spark).collect()) == [
+        ("1895-03-01 00:00:00", "1890"), ("1999-12-31 00:00:00", "1990"), ("2035-06-01 00:00:00", "2030"), ("None", None)
+    ]
 
 
 def test_altimetry_products(spark, tmp_path):
@@ -79,6 +92,16 @@ def test_reaches_and_scans(spark, tables):
     both = readers.series_scan(tables.simulation, tables.station)
     one = readers.series_scan(tables.simulation, tables.station, ["B"])
     assert both.count() == 3 * one.count() and {r.hydroweb for r in one.select("hydroweb").distinct().collect()} == {"B"}
+    assert readers.series_scan(tables.simulation, tables.station, []).count() == 0
+
+
+def test_scan_for_a_long_list_of_stations(spark, tables, tmp_path):
+    """100,000 codes stay a table: they are joined, never listed in the plan."""
+    codes = spark.range(100_000).selectExpr("CASE WHEN id = 7 THEN 'C' ELSE concat('X', id) END AS hydroweb")
+    got = readers.series_scan(tables.simulation, tables.station, codes)
+    assert {r.hydroweb for r in got.select("hydroweb").distinct().collect()} == {"C"}
+    plan = got._jdf.queryExecution().toString()
+    assert " IN (" not in plan and "INSET" not in plan
 
 
 def test_stored_layout(spark, tables, tmp_path):
@@ -89,8 +112,51 @@ def test_stored_layout(spark, tables, tmp_path):
         got = getattr(again, name)
         assert got.columns == table.columns
         assert got.exceptAll(table).count() == 0 and got.count() == table.count(), name
-    assert os.path.isdir(f"{root}/ensemble_forecast/init_month=2002-01")
-    assert os.path.isdir(f"{root}/historical_simulation/decade=2000")
+    assert os.path.isdir(f"{root}/ensemble_forecast/data/init_month=2002-01/run=20020128000000")
+    assert os.path.isdir(f"{root}/historical_simulation/data/decade=2000")
+    writers.write_tables(tables, root)  # again: nothing is doubled
+    assert readers.open_tables(spark, root).ensemble.count() == tables.ensemble.count()
+    assert readers.open_tables(spark, root).simulation.count() == tables.simulation.count()
+
+
+def test_scan_of_one_run_reads_its_folder_only(spark, tables, tmp_path):
+    root = str(tmp_path / "store")
+    runs = [str(INIT - dt.timedelta(days=d)) for d in range(3)]
+    for d, started in enumerate(runs):
+        qout = tables.ensemble.select(
+            (F.col("datetime") - F.expr(f"INTERVAL {d} DAYS")).alias("time"), F.col("reachid").alias("rivid"),
+            F.col("member").alias("ensemble"), (F.col("value") + d).alias("Qout"),
+        )
+        jobs.forecast_load(qout, tables.station, started, root)
+    scan = readers.ensemble_scan(spark, root, runs[1], [10])
+    want = tables.ensemble.where("reachid = 10").count()
+    assert scan.count() == want and scan.columns == ["reachid", "datetime", "member", "value"]
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters"):]
+    assert "run" in filters.split("]")[0] and "(reachid" in plan[plan.index("DataFilters"):].split("]")[0]
+    files = {r.f for r in scan.select(F.input_file_name().alias("f")).distinct().collect()}
+    assert files and all("run=20020127000000" in f for f in files)
+    assert readers.ensemble_scan(spark, root, "1990-01-01 00:00:00").count() == 0
+
+
+def test_loading_a_run_again_changes_nothing(spark, tables, tmp_path):
+    root, state = str(tmp_path / "store"), jobs.refresh(tables)
+    writers.write_tables(tables, root)
+    qout = tables.ensemble.select(F.col("datetime").alias("time"), F.col("reachid").alias("rivid"), F.col("member").alias("ensemble"), F.col("value").alias("Qout"))
+
+    def results():
+        stored = readers.open_tables(spark, root, str(INIT))
+        stats = ensemble.ensemble_stats(bias.corrected_forecast(stored, state.model))
+        return sorted(map(str, stats.collect())), sorted(map(str, stored.records.collect())), stored.ensemble.count()
+
+    jobs.daily_update(spark, qout, str(INIT), root, state, str(tmp_path / "w"))
+    first = results()
+    jobs.daily_update(spark, qout, str(INIT), root, state, str(tmp_path / "w"))
+    assert results() == first and first[2] == tables.ensemble.count() and len(first[0])
+    layer = jobs.map_alerts(spark, tables.station, str(tmp_path / "w"), str(INIT))
+    assert layer.count() == 3
+    plan = layer._jdf.queryExecution().executedPlan().toString()
+    assert "date" in plan[plan.index("PartitionFilters"):].split("]")[0]
 
 
 def test_keyed_scan_is_pushed_to_the_files(spark, tables, tmp_path):
@@ -125,9 +191,14 @@ def test_initial_load(spark, tables, tmp_path):
     tables.observed.withColumn("reachid", F.lit(1)).select("datetime", "waterlevel", "hydroweb", "reachid").write.option("header", True).option(
         "timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(compiled)
     qout = tables.simulation.select(F.col("datetime").alias("time"), F.col("reachid").alias("rivid"), F.col("value").alias("Qout"))
-    jobs.initial_load(spark, stations, compiled, qout, root)
-    assert spark.read.parquet(f"{root}/waterlevel_data").count() == tables.observed.count()
-    assert spark.read.parquet(f"{root}/historical_simulation").count() == tables.simulation.count()
+    run = tables.ensemble.select(F.col("datetime").alias("time"), F.col("reachid").alias("rivid"), F.col("member").alias("ensemble"), F.col("value").alias("Qout"))
+    for _ in range(2):
+        jobs.initial_load(spark, stations, compiled, qout, root, {str(INIT): run})
+        got = readers.open_tables(spark, root)
+        for name in ("station", "observed", "simulation", "ensemble"):
+            assert getattr(got, name).exceptAll(getattr(tables, name)).count() == 0, name
+            assert getattr(got, name).count() == getattr(tables, name).count(), name
+        assert got.records.count() == 1  # member 1 of the only reach
 
 
 def test_exports_read_back(spark, tables, tmp_path):

@@ -1,13 +1,20 @@
 import datetime as dt
 
-from stagecast.schemas import OBSERVED
+import pytest
+
+from stagecast.schemas import ENSEMBLE, OBSERVED
 from stagecast.streaming import ingest
+from stagecast.tables import daily_table, ensemble_table, readings_table, records_table
 
 T0 = dt.datetime(2024, 1, 1)
 
 
+def readings(spark, rows):
+    return spark.createDataFrame([(T0 + dt.timedelta(hours=h), s, v if v is None else float(v)) for h, s, v in rows], OBSERVED)
+
+
 def put(spark, path, rows):
-    spark.createDataFrame([(T0 + dt.timedelta(hours=h), s, float(v)) for h, s, v in rows], OBSERVED).coalesce(1).write.mode("append").parquet(path)
+    readings(spark, rows).coalesce(1).write.mode("append").parquet(path)
 
 
 def test_ingest_continues_from_its_checkpoint(spark, tmp_path):
@@ -18,24 +25,87 @@ def test_ingest_continues_from_its_checkpoint(spark, tmp_path):
     assert sorted(r.waterlevel for r in spark.read.parquet(out).collect()) == [1.0, 2.0, 3.0]
 
 
-def test_repeated_rows_are_dropped_across_runs(spark, tmp_path):
-    src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    for batch in ([(0, "A", 1), (0, "A", 1), (0, "B", 5)], [(0, "A", 1), (2, "A", 2)]):
+def test_a_reading_is_stored_once_however_late(spark, tmp_path):
+    src, state = str(tmp_path / "in"), str(tmp_path / "state")
+    table, late = readings_table(str(tmp_path / "t")), readings_table(str(tmp_path / "late"))
+    year = 24 * 366
+    for batch in (
+        [(0, "A", 1), (0, "A", 1), (0, "B", 5), (year, "A", 7)],
+        [(0, "A", 1), (2, "A", 2), (year, "A", 7)],          # hour 2 comes a year late, the others again
+        [(2, "A", 9), (year + 1, "B", None)],                  # a key that is stored keeps its level
+    ):
         put(spark, src, batch)
-        ingest.drain(ingest.without_duplicates(ingest.read_stream(spark, src, OBSERVED), "2 days"), out, state)
-    got = {(r.hydroweb, r.datetime, r.waterlevel) for r in spark.read.parquet(out).collect()}
-    assert len(got) == spark.read.parquet(out).count() == 3
+        ingest.ingest_readings(ingest.read_stream(spark, src, OBSERVED), table, state, late, "2 days")
+    got = sorted((r.hydroweb, r.datetime, r.waterlevel) for r in table.rows(spark).collect())
+    at = {h: T0 + dt.timedelta(hours=h) for h in (0, 2, year, year + 1)}
+    assert got == [("A", at[0], 1.0), ("A", at[2], 2.0), ("A", at[year], 7.0), ("B", at[0], 5.0), ("B", at[year + 1], None)]
+    assert [(r.hydroweb, r.datetime) for r in late.rows(spark).collect()] == [("A", at[2])]
 
 
-def test_daily_maximum_equals_batch_and_drops_late_rows(spark, tmp_path):
-    src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+def test_a_batch_delivered_again_changes_nothing(spark, tmp_path):
+    table, daily = readings_table(str(tmp_path / "t")), daily_table(str(tmp_path / "d"))
+    rows = readings(spark, [(0, "A", 1), (1, "A", 4)])
+    assert ingest.store_readings(table, None, rows, "s", 3, "2 days") and ingest.store_daily_maximum(daily, rows, "s", 3)
+    before = table.valid_loads(spark), daily.valid_loads(spark)
+    assert not ingest.store_readings(table, None, rows, "s", 3, "2 days") and not ingest.store_daily_maximum(daily, rows, "s", 3)
+    assert (table.valid_loads(spark), daily.valid_loads(spark)) == before
+    assert table.rows(spark).count() == 2
+
+
+def test_rows_of_a_load_that_was_never_listed_are_not_seen(spark, tmp_path):
+    table = readings_table(str(tmp_path / "t"))
+    table.load(readings(spark, [(0, "A", 1)]), replace=False)
+    # What a job that died before its last step leaves behind.
+    readings(spark, [(1, "A", 2)]).selectExpr("*", "'2024-01' AS month", "'99-dead' AS load").write.mode("append").partitionBy("month", "load").parquet(f"{table.path}/data")
+    assert table.rows(spark).count() == 1
+
+
+def test_replacing_adding_and_removing(spark, tmp_path):
+    table = readings_table(str(tmp_path / "t"))
+    table.load(readings(spark, [(0, "A", 1), (24 * 40, "A", 2)]), replace=True)
+    table.load(readings(spark, [(1, "B", 3)]), replace=False)
+    assert sorted(r.waterlevel for r in table.rows(spark).collect()) == [1.0, 2.0, 3.0]
+    table.load(readings(spark, [(2, "C", 4)]), replace=True)      # January again, February stays
+    assert sorted(r.waterlevel for r in table.rows(spark).collect()) == [2.0, 4.0]
+    assert table.remove_superseded(spark) == 2
+    assert sorted(r.waterlevel for r in table.rows(spark).collect()) == [2.0, 4.0]
+    assert table.rows(spark).columns == OBSERVED.names
+    assert readings_table(str(tmp_path / "never")).rows(spark).count() == 0
+
+
+@pytest.mark.parametrize("files", [1, None])
+def test_daily_maximum_is_complete_with_late_rows(spark, tmp_path, files):
+    src, state, table = str(tmp_path / "in"), str(tmp_path / "state"), daily_table(str(tmp_path / "d"))
     first = [(h, s, (h * 7 + len(s)) % 23) for h in range(0, 24 * 6, 5) for s in ("A", "BB")]
-    for batch in (first, [(1, "A", 999), (24 * 8, "A", 0)]):     # hour 1 comes six days late
+    late = [(1, "A", 999), (24 * 8, "A", 0), (2, "C", None), (0, "A", 0)]     # hour 1 comes eight days late
+    for batch in (first, late):
         put(spark, src, batch)
-        ingest.drain(ingest.daily_maximum(ingest.read_stream(spark, src, OBSERVED), "2 days"), out, state)
+        ingest.ingest_daily_maximum(ingest.read_stream(spark, src, OBSERVED, files), table, state)
     want = {}
-    for h, s, v in first:
+    for h, s, v in first + late:
         key = (s, (T0 + dt.timedelta(hours=h)).date())
-        want[key] = max(want.get(key, 0), float(v))
-    got = {(r.hydroweb, r.day): r.max_level for r in spark.read.parquet(out).collect()}
+        want[key] = max((float(x) for x in (want.get(key), v) if x is not None), default=None)
+    got = {(r.hydroweb, r.day): r.max_level for r in table.rows(spark).collect()}
     assert got == want
+
+
+def test_forecast_runs_arrive_in_parts_and_again(spark, tmp_path):
+    src, state = str(tmp_path / "in"), str(tmp_path / "state")
+    ensemble, records = ensemble_table(str(tmp_path / "e")), records_table(str(tmp_path / "r"))
+
+    def arrive(run, reaches, value):
+        start = T0 + dt.timedelta(days=run)
+        rows = [(start + dt.timedelta(hours=6 * k), r, start, m, value + m) for r in reaches for k in range(2) for m in (1, 2)]
+        spark.createDataFrame(rows, ENSEMBLE).coalesce(1).write.mode("append").parquet(src)
+        ingest.ingest_forecasts(ingest.read_stream(spark, src, ENSEMBLE), ensemble, records, state)
+
+    arrive(0, (10, 12), 0.0)
+    arrive(0, (14,), 0.0)            # more reaches of the same run
+    arrive(1, (10,), 5.0)
+    arrive(0, (12,), 100.0)          # a reach of the first run again, with other values
+    rows = ensemble.rows(spark).collect()
+    assert len(rows) == 4 * 4 and len({(r.reachid, r.initialized, r.datetime, r.member) for r in rows}) == 16
+    assert {r.value for r in rows if r.reachid == 12} == {101.0, 102.0}
+    assert sorted((r.datetime.day, r.reachid, r.value) for r in records.rows(spark).collect()) == [
+        (1, 10, 1.0), (1, 12, 101.0), (1, 14, 1.0), (2, 10, 6.0)
+    ]

@@ -136,7 +136,7 @@ STEPS: dict[str, str] = {
     "obs": """
       SELECT l_shipdate AS datetime, 'HW-' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS hydroweb,
              100 + max(l_quantity) AS waterlevel
-      FROM lineitem WHERE l_linenumber = 1 GROUP BY l_shipdate, l_suppkey""",
+      FROM lineitem GROUP BY l_shipdate, l_suppkey""",
     "sim": """
       SELECT l_shipdate AS datetime, CAST(l_suppkey - l_suppkey % 2 AS INTEGER) AS reachid,
              CAST(floor(max(l_extendedprice)) AS DOUBLE) / 1000 AS value
@@ -150,6 +150,10 @@ STEPS: dict[str, str] = {
                   ELSE CAST(((r.reachid * 7919 + step * 104729 + member * 15485863) % 100000)
                             * (60 + 10 * ((r.reachid + (step // 8)) % 17)) AS DOUBLE) / 100000 END AS value
       FROM reaches r, range(120) s(step), range(1, 53) m(member)""",
+    "ens3": """
+      SELECT e.reachid, e.initialized - d.d * INTERVAL 1 DAY AS initialized, e.member,
+             e.datetime - d.d * INTERVAL 1 DAY AS datetime, e.value + d.d AS value
+      FROM ens e, range(3) d(d)""",
     "rec": _records("2002-01-08", 21),
     "rec2": _records("2001-12-20", 40),
     # distributions
@@ -326,12 +330,31 @@ _skill = ("ME", "RMSE", "NRMSE (Mean)", "NSE", "KGE (2009)", "KGE (2012)", "R (P
 _compared = ("ME", "RMSE", "NRMSE (Mean)", "MAPE", "NSE", "KGE (2009)", "KGE (2012)")
 _raw_map = "hydroweb, initialized, datetime, member, {v} AS value, {m} AS mapped".format(v=_r("value"), m=_r("mapped"))
 
+_feature = (
+    """
+      SELECT CAST(to_json(struct_pack(
+        id := hydroweb, type := 'Feature',
+        properties := struct_pack(hydroweb := hydroweb, reachid := reachid, basin := basin, river := river, name := name,
+          latitude := latitude, longitude := longitude, state := state, country := country,
+          datetime := strftime(datetime, '%Y-%m-%dT%H:%M:%S'), """
+                      + ", ".join(f"wd{d:02d} := wd{d:02d}" for d in _DAYS)
+                      + """),
+        geometry := struct_pack(type := 'Point', coordinates := [longitude, latitude]),
+        bbox := [longitude, latitude, longitude, latitude])) AS VARCHAR) AS feature, hydroweb FROM wla"""
+)
+
 FINAL: dict[str, str] = {
     "station_dim": "SELECT *, upper(replace(replace(name, '-', ' '), '_', ' ')) AS display_name FROM station",
     "observed_load": "SELECT datetime, hydroweb, waterlevel FROM obs",
     "partition_route": """
-      SELECT CAST(year(datetime) - year(datetime) % 10 AS INTEGER) AS decade, hydroweb, datetime, waterlevel FROM obs
-      WHERE datetime >= TIMESTAMP '2000-01-01' AND datetime < TIMESTAMP '2030-01-01'""",
+      SELECT CAST(year(datetime) - year(datetime) % 10 AS INTEGER) AS decade, hydroweb, datetime, waterlevel FROM obs""",
+    "forecast_load": """
+      SELECT reachid, initialized, datetime, count(*) AS n_rows, max(value) AS largest,
+             CASE WHEN count(value) FILTER (member <= 51) = 51 THEN CAST(51 AS BIGINT) END AS n_members
+      FROM ens3 GROUP BY reachid, initialized, datetime""",
+    "stored_records": "SELECT datetime, reachid, value FROM ens3 WHERE member = 1 AND datetime = initialized",
+    "ensemble_scan": "SELECT reachid, datetime, member, value FROM ens",
+    "stream_forecast_ingest": "SELECT datetime, reachid, initialized, member, value FROM ens3",
     "simulation_load": "SELECT datetime, reachid, value FROM sim WHERE datetime >= TIMESTAMP '2000-01-01' AND reachid IN (SELECT reachid FROM station)",
     "ensemble_wide": "SELECT datetime, reachid, initialized, "
                      + ", ".join(f"max(value) FILTER (member = {m}) AS ensemble_{m:02d}" for m in range(1, 53))
@@ -405,16 +428,11 @@ FINAL: dict[str, str] = {
       SELECT reachid, initialized, CAST(d.d + 1 AS INTEGER) AS day_no,
              CAST(CAST(initialized AS DATE) + CAST(d.d AS INTEGER) AS DATE) AS date FROM runs, range(15) d(d)""",
     "water_level_alerts": "SELECT * FROM wla",
-    "alerts_geojson": """
-      SELECT CAST(to_json(struct_pack(
-        id := hydroweb, type := 'Feature',
-        properties := struct_pack(hydroweb := hydroweb, reachid := reachid, basin := basin, river := river, name := name,
-          latitude := latitude, longitude := longitude, state := state, country := country,
-          datetime := strftime(datetime, '%Y-%m-%dT%H:%M:%S'), """
-                      + ", ".join(f"wd{d:02d} := wd{d:02d}" for d in _DAYS)
-                      + """),
-        geometry := struct_pack(type := 'Point', coordinates := [longitude, latitude]),
-        bbox := [longitude, latitude, longitude, latitude])) AS VARCHAR) AS feature FROM wla""",
+    "alerts_geojson": f"SELECT feature FROM ({_feature})",
+    "alerts_collection": f"""
+      SELECT '{{"type":"FeatureCollection","features":[' AS line
+      UNION ALL SELECT CASE WHEN row_number() OVER (ORDER BY hydroweb) = 1 THEN '' ELSE ',' END || feature FROM ({_feature})
+      UNION ALL SELECT ']}}'""",
     "alerts_for_day": "SELECT * EXCLUDE (day_no) FROM wla_day WHERE day_no = 1",
     "alerts_by_class": "SELECT * FROM wla_day WHERE alert = 'R100'",
     "alerts_active_classes": "SELECT * FROM wla_day WHERE alert IN ('R2', 'R5', 'R10', 'R25', 'R50', 'R100')",
@@ -449,8 +467,7 @@ FINAL: dict[str, str] = {
     "stream_dedup": "SELECT DISTINCT * FROM readings",
     "stream_daily_max": """
       SELECT hydroweb, CAST(datetime AS DATE) AS day, max(waterlevel) AS max_level FROM readings
-      GROUP BY hydroweb, CAST(datetime AS DATE)
-      HAVING CAST(datetime AS DATE) + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(datetime)) - INTERVAL 2 DAY FROM readings)""",
+      GROUP BY hydroweb, CAST(datetime AS DATE)""",
 }
 STEPS["readings"] = """
       SELECT 'HW-' || lpad(CAST(user_id % 10 AS VARCHAR), 6, '0') AS hydroweb, ts AS datetime, value AS waterlevel FROM events"""

@@ -15,7 +15,7 @@ from stagecast.schemas import RETURN_PERIODS
 from stagecast.sinks import writers
 from stagecast.sources import readers
 from stagecast.streaming import ingest
-from stagecast.tables import Tables
+from stagecast.tables import Tables, daily_table, ensemble_table, observed_table, readings_table, records_table
 from stagecast.workspace import fresh_dir
 
 _contexts: dict[tuple[str, str], "_Context"] = {}
@@ -65,8 +65,24 @@ class _Context:
     def warnings(self) -> DataFrame:
         return alerts.warnings_wide(self.tables, self.model(), INITIALIZED, self.state().thresholds)
 
+    @cached_property
+    def stored_warnings(self) -> str:
+        """Folder of the warnings that the daily job has left."""
+        path = self.dir("daily-warnings")
+        jobs.daily_warnings(self.tables, self.state(), INITIALIZED, path)
+        return path
+
+    @cached_property
+    def store(self) -> str:
+        """Folder of forecast tables with three runs, the middle one loaded twice."""
+        root = self.dir("store")
+        runs = self.fx.runs()
+        for started, qout in [*runs, runs[1]]:
+            jobs.forecast_load(qout, self.tables.station, started, root)
+        return root
+
     def station_alerts(self) -> DataFrame:
-        return alerts.water_level_alerts(self.tables.station, self.warnings(), INITIALIZED)
+        return jobs.map_alerts(self.spark, self.tables.station, self.stored_warnings, INITIALIZED)
 
     def pairs(self) -> DataFrame:
         return metrics.sim_obs_pairs(self.tables, self.model())
@@ -94,8 +110,10 @@ def observed_load(c: _Context) -> DataFrame:
 
 def partition_route(c: _Context) -> DataFrame:
     path = c.dir("routed")
-    writers.write_partitioned(readers.route_decades(c.tables.observed), path, "decade", "hydroweb")
-    return c.spark.read.parquet(path).select("decade", "hydroweb", "datetime", "waterlevel")
+    table = observed_table(path)
+    for _ in range(2):  # loading again replaces
+        table.load(c.tables.observed, replace=True)
+    return table.read(c.spark).select(F.col("decade").cast("int").alias("decade"), "hydroweb", "datetime", "waterlevel")
 
 
 def simulation_load(c: _Context) -> DataFrame:
@@ -105,6 +123,24 @@ def simulation_load(c: _Context) -> DataFrame:
     return readers.load_simulation(qout, c.tables.station)
 
 
+def forecast_load(c: _Context) -> DataFrame:
+    """What three loaded runs give, one of them loaded twice: complete moments of every run."""
+    rows = ensemble_table(c.store).rows(c.spark)
+    totals = rows.groupBy("reachid", "initialized", "datetime").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max("value").alias("largest")
+    )
+    return totals.join(ensemble.complete_rows(rows), ["reachid", "initialized", "datetime"], "left")
+
+
+def stored_records(c: _Context) -> DataFrame:
+    """The records that the loaded runs leave."""
+    return records_table(c.store).rows(c.spark)
+
+
+def ensemble_scan(c: _Context) -> DataFrame:
+    return readers.ensemble_scan(c.spark, c.store, INITIALIZED)
+
+
 def ensemble_wide(c: _Context) -> DataFrame:
     return ensemble.ensemble_wide(c.tables.ensemble)
 
@@ -114,8 +150,8 @@ def forecast_records(c: _Context) -> DataFrame:
 
 
 def _altimetry_folder(c: _Context) -> str:
-    """Product texts: a header of 40 lines, then 'date time level uncertainty'; one folder per product."""
-    path = c.dir("altimetry")
+    """Product texts ``hydroprd_*.txt``: a header of 40 lines, then 'date time level uncertainty'."""
+    path, texts = c.dir("altimetry"), c.dir("altimetry-texts")
     named = c.tables.station.select(
         "hydroweb", F.concat(F.lit("hydroprd_R_"), F.upper("name"), F.lit("_exp.txt")).alias("product")
     )
@@ -126,12 +162,25 @@ def _altimetry_folder(c: _Context) -> str:
         "product", F.concat(F.lit("# line "), F.col("i").cast("string")).alias("value")
     )
     header.unionByName(rows).repartitionByRange("product", "value").write.partitionBy("product").text(path)
-    return path
+    # Spark names its files itself: give each the name of its product, in a folder of its own.
+    hadoop = c.spark.sparkContext._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(path).getFileSystem(c.spark.sparkContext._jsc.hadoopConfiguration())
+    names = {escaped(r["product"]): r["product"] for r in named.select("product").collect()}
+    for folder in files.listStatus(hadoop.Path(path)):
+        product = names.get(folder.getPath().getName().partition("=")[2])
+        for k, part in enumerate(files.listStatus(folder.getPath()) if product else []):
+            files.mkdirs(hadoop.Path(f"{texts}/{k}"))
+            files.rename(part.getPath(), hadoop.Path(f"{texts}/{k}", product))
+    return texts
+
+
+def escaped(value: str) -> str:
+    """A partition value as Spark writes it into a path."""
+    return value.replace("%", "%25").replace("#", "%23")
 
 
 def altimetry_text(c: _Context) -> DataFrame:
-    lines = c.spark.read.text(_altimetry_folder(c))
-    return readers.parse_altimetry(lines.select("value", F.col("product").alias("file")))
+    return readers.read_altimetry(c.spark, _altimetry_folder(c))
 
 
 def observed_compile(c: _Context) -> DataFrame:
@@ -139,7 +188,7 @@ def observed_compile(c: _Context) -> DataFrame:
 
 
 def series_scan(c: _Context) -> DataFrame:
-    return readers.series_scan(c.tables.simulation, c.tables.station)
+    return readers.series_scan(c.tables.simulation, c.tables.station, c.tables.station.select("hydroweb"))
 
 
 def export_simulation(c: _Context) -> DataFrame:
@@ -314,6 +363,13 @@ def alerts_geojson(c: _Context) -> DataFrame:
     return c.spark.read.text(path).withColumnRenamed("value", "feature")
 
 
+def alerts_collection(c: _Context) -> DataFrame:
+    """The map layer as one FeatureCollection, line by line."""
+    path = c.dir("collection")
+    writers.write_collection(alerts.collection_lines(alerts.features(c.station_alerts())), path)
+    return c.spark.read.text(path).withColumnRenamed("value", "line")
+
+
 def alerts_for_day(c: _Context) -> DataFrame:
     return alerts.alerts_for_day(c.station_alerts(), 1)
 
@@ -397,32 +453,47 @@ def stream_ingest(c: _Context) -> DataFrame:
 
 def stream_dedup(c: _Context) -> DataFrame:
     path, readings = _stream_input(c, copies=True)
-    out = c.dir("deduplicated")
-    stream = ingest.without_duplicates(ingest.read_stream(c.spark, path, readings.schema), "40 days")
-    ingest.drain(stream, out, c.dir("dedup-state"))
-    return c.spark.read.parquet(out)
+    table, late = readings_table(c.dir("deduplicated")), readings_table(c.dir("late"))
+    stream = ingest.read_stream(c.spark, path, readings.schema, files_per_batch=1)  # copies come in later batches
+    ingest.ingest_readings(stream, table, c.dir("dedup-state"), late, "1 hour")
+    return table.rows(c.spark)
 
 
 def stream_daily_max(c: _Context) -> DataFrame:
     path, readings = _stream_input(c, copies=True)
-    out = c.dir("daily-max")
-    stream = ingest.daily_maximum(ingest.read_stream(c.spark, path, readings.schema), "2 days")
-    ingest.drain(stream, out, c.dir("daily-max-state"))
-    return c.spark.read.parquet(out)
+    table = daily_table(c.dir("daily-max"))
+    ingest.ingest_daily_maximum(ingest.read_stream(c.spark, path, readings.schema, files_per_batch=1), table, c.dir("daily-max-state"))
+    return table.rows(c.spark)
+
+
+def stream_forecast_ingest(c: _Context) -> DataFrame:
+    """Three runs that arrive as files, each in two parts, and the first of them once more."""
+    path, root, rows = c.dir("arrivals"), c.dir("streamed"), None
+    for started, qout in c.fx.runs():
+        rows = readers.load_forecast(qout, c.tables.station, started)
+        # Files of one writer arrive in one order: even and odd reaches of a station pair.
+        rows.repartitionByRange(2, "reachid").write.mode("append").parquet(path)
+    again = readers.load_forecast(c.fx.runs()[0][1], c.tables.station, c.fx.runs()[0][0])
+    again.coalesce(1).write.mode("append").parquet(path)
+    stream = ingest.read_stream(c.spark, path, rows.schema, files_per_batch=2)
+    ingest.ingest_forecasts(stream, ensemble_table(root), records_table(root), c.dir("forecast-state"))
+    return ensemble_table(root).rows(c.spark)
 
 
 _QUERIES = (
-    station_dim, observed_load, partition_route, simulation_load, ensemble_wide, forecast_records,
+    station_dim, observed_load, partition_route, simulation_load, forecast_load, stored_records, ensemble_scan,
+    ensemble_wide, forecast_records,
     altimetry_text, observed_compile, series_scan, export_simulation, export_observed,
     export_corrected_sim, export_forecast_stats, clamp_floor, datum_shift, monthly_extremes,
     monthly_histogram, monthly_cdf, corrected_simulation, forecast_clip_factors, corrected_forecast_raw,
     corrected_forecast_last_month, corrected_forecast, corrected_records, corrected_records_new_year,
     annual_maxima, gumbel_quantile, return_periods, return_period_bands, ensemble_complete_rows,
     ensemble_stats, ensemble_daily_max, exceedance_daily, alerts_long, warnings_wide, warning_status,
-    warning_sink, probability_table, forecast_date_range, water_level_alerts, alerts_geojson,
+    warning_sink, probability_table, forecast_date_range, water_level_alerts, alerts_geojson, alerts_collection,
     alerts_for_day, alerts_by_class, alerts_active_classes, daily_average, monthly_average,
     climatology_band, sim_obs_pairs, skill_metrics, metrics_comparison, historical_series,
     recent_records, forecast_series, reach_intersection, stream_ingest, stream_dedup, stream_daily_max,
+    stream_forecast_ingest,
 )
 
 
