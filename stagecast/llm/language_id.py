@@ -6,10 +6,11 @@ product over words of a forward recursion over the lattice of pieces inside the
 result for all languages is remembered by the worker. Characters without a piece are the product
 of their byte pieces, so every text has a probability.
 
-Words are runs of letters in lower case, cut after ``RUN`` letters. Training takes a bounded sample
-of labelled documents (``sampled``, chosen by hash) and estimates the pieces by expectation
-maximisation: word counts per language are merged across tasks, and each round sends back the
-expected piece counts, a table bounded by the vocabulary. Prediction needs no shuffle.
+Words are runs of letters in lower case, however long. Training takes a bounded sample of labelled
+documents (about ``per_language`` of each language, chosen by a 64-bit hash; words there are cut
+after ``RUN`` letters) and estimates the pieces by expectation maximisation: word counts per
+language are merged across tasks, and each round sends back the expected piece counts, a table
+bounded by the vocabulary. Priors count all labelled documents. Prediction needs no shuffle.
 
 Defined results: NULL texts and texts without a letter are ``und`` with score 0, and so is every
 text if nothing was learned. Training rows with a NULL language or text are skipped.
@@ -17,6 +18,7 @@ text if nothing was learned. Training rows with a NULL language or text are skip
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,12 +28,14 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from stagecast.llm.common import grouped_rows, materialise, ready
 
 RUN = 64
-_LETTERS = regex.compile(r"\p{L}{1,%d}" % RUN)
+_LETTERS = regex.compile(r"\p{L}+")
+_SCALED = 16  # positions after which a long forward recursion is scaled
+_SEGMENT = 20_000
 _START = "▁"  # as the vocabulary marks the start of a word
 _AT_ONCE = 8192
 _REMEMBERED = 200_000
@@ -56,6 +60,7 @@ class Pieces:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.ids[model.id_to_piece(i)] = i
         self.size = model.get_piece_size()
+        self.longest = max(map(len, self.ids), default=1)
         self._length = np.zeros(self.size, np.int64)
         self._length[list(self.ids.values())] = [len(piece) for piece in self.ids]
 
@@ -146,23 +151,22 @@ class LanguageModel:
     probability: np.ndarray
 
 
-def _is_kept(salted: Column, share: float) -> Column:
-    return F.pmod(F.xxhash64(salted), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
-
-
 def train(
-    labelled: DataFrame, model_file: str, sampled: int = 12_000, rounds: int = 3, smoothing: float = 0.05,
+    labelled: DataFrame, model_file: str, per_language: int = 3_000, rounds: int = 3, smoothing: float = 0.05,
     text_col: str = "text", lang_col: str = "lang",
 ) -> LanguageModel:
-    """Learn from rows with a text and a language, of which about ``sampled`` are used."""
+    """Learn from rows with a text and a language, of which about ``per_language`` of each are used."""
     spark = ready(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    chosen = rows.where(_is_kept(F.col("text"), min(1.0, sampled / max(rows.count(), 1))))
+    docs = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
+    # The share of a language as a bound on its 64-bit hashes: exact however many rows there are.
+    bounds = [(x, min((1 << 64) * per_language // n, (1 << 64) - 1) - (1 << 63)) for x, n in docs.items()]
+    bound = F.broadcast(spark.createDataFrame(bounds, "lang string, bound long"))
+    chosen = rows.join(bound, "lang").where(F.xxhash64("text") <= F.col("bound")).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts, langs in grouped_rows(batches, ["text", "lang"]):
-            counts = Counter((lang, w) for text, lang in zip(texts, langs) for w in words(text))
-            counts.update((lang, None) for lang in langs)  # documents
+            counts = Counter((lang, w[k : k + RUN]) for text, lang in zip(texts, langs) for w in words(text) for k in range(0, len(w), RUN))
             pairs = list(counts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string()), pa.array(counts.values(), pa.int64())],
@@ -172,13 +176,12 @@ def train(
     table = materialise(
         chosen.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words"
     )
-    docs = {r.lang: r.n for r in table.where("word IS NULL").collect()}
     languages = sorted(docs)
     size = pieces(model_file).size
-    prior = np.log([max(docs[x], 1) / sum(docs.values()) for x in languages]) if languages else np.zeros(0)
+    prior = np.log([docs[x] / sum(docs.values()) for x in languages]) if languages else np.zeros(0)
     probability = np.full((size + 1, len(languages)), 1.0 / size)
     probability[size] = 1.0
-    counted = table.where("word IS NOT NULL").repartition(F.col("word"))
+    counted = table.repartition(F.col("word"))
     for _ in range(rounds if languages else 0):
         held = spark.sparkContext.broadcast((languages, probability))
 
@@ -220,10 +223,37 @@ class Scorer:
             self.table[first : first + len(part)] = np.log(lattice.totals(lattice.forward(edge)))
             self.known.update(zip(part, range(first, first + len(part))))
 
+    def long(self, word: str) -> np.ndarray:
+        """Log probability of a word of any length: the forward vector is carried on, scaled, from position to position."""
+        reach = self.pieces.longest
+        alpha = np.zeros((len(word) + 2, len(self.model.languages)))
+        alpha[0], scale = 1.0, np.zeros(len(self.model.languages))
+        for a in range(0, len(word) + 1, _SEGMENT):  # position 0 is the start mark
+            first = max(0, a - reach)
+            lattice = self.pieces.lattice([word[first : a + _SEGMENT - 1]])
+            edge = self.model.probability[lattice.ids].prod(axis=1)
+            start, end = lattice.start + first, lattice.end + first
+            # The mark in front of a later segment isn't one of the word.
+            real = (end > a) & ((lattice.start > 0) | (first == 0))
+            start, end, edge = start[real], end[real], edge[real]
+            cuts = np.searchsorted(end, np.arange(a + 1, min(a + _SEGMENT, len(word) + 1) + 2))
+            for k in range(len(cuts) - 1):
+                at, j = slice(cuts[k], cuts[k + 1]), a + 1 + k
+                alpha[j] = (alpha[start[at]] * edge[at]).sum(axis=0)
+                if j % _SCALED == 0:
+                    held = slice(max(0, j - reach), j + 1)
+                    by = alpha[held].max(axis=0)
+                    alpha[held] /= by
+                    scale += np.log(by)
+        return np.log(alpha[len(word) + 1]) + scale
+
     def score(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
         """Log probability of each text by language, with the prior; None without a letter."""
         for text in texts:
             found, total = words(text), self.model.prior
+            for word in (w for w in found if len(w) > RUN):  # too rare to be remembered
+                total = total + self.long(word)
+            anything, found = bool(found), [w for w in found if len(w) <= RUN]
             for at in range(0, len(found), _REMEMBERED):  # a long text by parts
                 part = found[at : at + _REMEMBERED]
                 new = [w for w in dict.fromkeys(part) if w not in self.known]
@@ -232,7 +262,18 @@ class Scorer:
                     new = list(dict.fromkeys(part))
                 self._learn(new)
                 total = total + self.table[[self.known[w] for w in part]].sum(axis=0)
-            yield total if found else None
+            yield total if anything else None
+
+
+_scorers: dict[str, Scorer] = {}
+
+
+def _scorer(name: str, model: LanguageModel, model_file: str) -> Scorer:
+    """The scorer of a model, kept by the worker for the tasks that follow."""
+    if name not in _scorers:
+        _scorers.clear()
+        _scorers[name] = Scorer(model, model_file)
+    return _scorers[name]
 
 
 def identify(docs: DataFrame, model: LanguageModel, model_file: str, text_col: str = "text") -> DataFrame:
@@ -240,16 +281,16 @@ def identify(docs: DataFrame, model: LanguageModel, model_file: str, text_col: s
 
     The text column stays behind; columns with the names of the results are replaced.
     """
-    held = ready(docs.sparkSession).sparkContext.broadcast(model)
+    held, name = ready(docs.sparkSession).sparkContext.broadcast(model), uuid.uuid4().hex
     kept = [c for c in docs.columns if c not in (text_col, "lang_pred", "score")]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(held.value, model_file)
+        scorer = _scorer(name, held.value, model_file)
         for batch in batches:
             names, scores = [], []
-            texts = batch.column("_text").to_pylist()
+            texts = batch.column(len(kept)).to_pylist()
             # New words of a batch are learned together.
-            together = {w for text in texts for w in words(text)}.difference(scorer.known)
+            together = {w for text in texts for w in words(text) if len(w) <= RUN}.difference(scorer.known)
             if len(scorer.known) + len(together) <= _REMEMBERED:
                 scorer._learn(sorted(together))
             for total in scorer.score(texts):
@@ -261,9 +302,9 @@ def identify(docs: DataFrame, model: LanguageModel, model_file: str, text_col: s
                     names.append(held.value.languages[best])
                     scores.append(float(1.0 / np.exp(total - total[best]).sum()))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"]
+                [*batch.columns[: len(kept)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"]
             )
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("_text"))
-    schema = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes if c != "_text")
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`"))
+    schema = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes[: len(kept)])
     return rows.mapInArrow(predict, f"{schema}, lang_pred string, score double" if schema else "lang_pred string, score double")
