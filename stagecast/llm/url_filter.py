@@ -83,10 +83,11 @@ def fit(labelled: DataFrame, rows: int = LABELLED_ROWS) -> UrlFilter:
     if len(kinds) < 2:
         return UrlFilter(None, next(iter(kinds), ALLOW))
     # Half of the rows for each label, chosen by hash, so that a lost task chooses the same ones.
-    share = F.lit(0.0)
+    # The share is a bound on 64-bit hashes: exact however many rows there are.
+    bound = F.lit(-(1 << 63))
     for kind, count in kinds.items():
-        share = F.when(F.col("label") == kind, F.lit(min(1.0, rows / 2 / count))).otherwise(share)
-    chosen = labelled.where(F.pmod(F.xxhash64("host", "path"), F.lit(1 << 20)) < share * (1 << 20))
+        bound = F.when(F.col("label") == kind, F.lit(min((1 << 63) * rows // count, (1 << 64) - 1) - (1 << 63))).otherwise(bound)
+    chosen = labelled.where(F.xxhash64("host", "path") <= bound)
     known = F.when(F.col("label") == BLOCK, F.lit(1.0)).otherwise(F.lit(0.0)).alias("_label")
     small = materialise(features(chosen.select("host", "path", known)).select("_label", "_features").coalesce(8), "url-labels")
     return UrlFilter(
@@ -104,9 +105,10 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], model: UrlFilter
     """
     host, path = host_path(F.col(f"`{url_col}`"))
     kept = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    rows = pages.select(*kept, host.alias("host"), path.alias("path"))
+    # The page's own columns travel as one, so no name of theirs meets a name used here.
+    rows = pages.select(F.struct(*kept).alias("_page"), host.alias("host"), path.alias("path"))
     rule, verdict = longest_rule(rules)
     rows = rows.withColumn("rule", rule).withColumn("_ruled", verdict)
     if model is None:
         model = fit(rows.where(F.col("_ruled").isNotNull()).select("host", "path", F.col("_ruled").alias("label")))
-    return model.judge(rows).withColumn("verdict", F.coalesce("_ruled", "_judged")).drop("_ruled", "_judged")
+    return model.judge(rows).select("_page.*", "host", "path", "rule", F.coalesce("_ruled", "_judged").alias("verdict"))
