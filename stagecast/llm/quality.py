@@ -72,9 +72,10 @@ def _repeat_words(docs: DataFrame) -> DataFrame:
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the measurements of its texts."""
+    # The row's own columns travel as one, so no name of theirs meets a name used here.
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in MEASURES]
     text = F.col("_text")
-    docs = docs.select(*kept, text_of(f"`{text_col}`").alias("_text")).withColumn("_words", words_of(text))
+    docs = docs.select(F.struct(*kept).alias("_row"), text_of(f"`{text_col}`").alias("_text")).withColumn("_words", words_of(text))
     docs = docs.withColumn("_lines", F.filter(F.split(text, "\n", -1), lambda line: line.rlike(NOT_SPACE)))
     measured = F.struct(
         F.size("_words").cast("long").alias("n_words"),
@@ -91,7 +92,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     # Rows come out of a generator of one row: a filter on a measurement stays above it, where it would
     # otherwise be moved down and repeat the measuring inside itself.
-    return _repeat_words(docs).select(*kept, F.inline(F.array(measured)))
+    return _repeat_words(docs).select("_row", F.inline(F.array(measured))).select("_row.*", *MEASURES)
 
 
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
