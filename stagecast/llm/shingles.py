@@ -103,7 +103,9 @@ def slot_summary(
         for batch in batches:
             for wide, gaps, more in zip(*(batch.column(c).to_pylist() for c in ("wide", "gaps", "counts"))):
                 at = np.cumsum(np.frombuffer(gaps, f"<u{wide}").astype(np.int64))
-                counts[at] += np.frombuffer(more, f"<u{wide}")
+                # Counts stop at the largest number instead of beginning anew.
+                total = counts[at].astype(np.uint64) + np.frombuffer(more, f"<u{wide}")
+                counts[at] = np.minimum(total, np.uint64(0xFFFFFFFF)).astype(np.uint32)
         yield pa.RecordBatch.from_arrays(
             [pa.array([key[0].as_py()], pa.int32()), pa.array([summarise(counts).tobytes()], pa.binary())], ["range", "summary"]
         )

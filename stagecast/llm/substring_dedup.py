@@ -238,16 +238,17 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
 
     own = ("n_words", "n_removed", "kept_text")
     kept = [c for c in docs.columns if c not in own]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(id_col).cast("long").alias("__doc"), F.xxhash64(text_col).alias("__hash"))
-    once = repeats.groupBy("doc", "hash").agg(F.first("starts").alias("__starts"))
-    met = keyed.join(once, (F.col("__doc") == F.col("doc")) & (F.col("__hash") == F.col("hash")), "left").select(
-        *[F.col(f"`{c}`") for c in kept], F.col("__starts")
-    )
+    # The row's own columns travel as one, so no name of theirs meets a name used here.
+    row = F.struct(*[F.col(f"`{c}`") for c in kept])
+    keyed = docs.select(row.alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc"), F.xxhash64(f"`{text_col}`").alias("hash"))
+    once = repeats.groupBy("doc", "hash").agg(F.first("starts").alias("starts"))
+    met = keyed.join(once, ["doc", "hash"], "left").select("row", "starts")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[int, int, str]] = []
-            for text, starts in zip(batch.column(text_col).to_pylist(), batch.column("__starts").to_pylist()):
+            held = batch.column(0)
+            for text, starts in zip(held.field(text_col).to_pylist(), batch.column(1).to_pylist()):
                 words, n_removed = word_list(text), 0
                 n_words = len(words)
                 if starts:
@@ -261,9 +262,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
                 out.append((n_words, n_removed, " ".join(words)))
             columns = list(zip(*out)) if out else [(), (), ()]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())],
-                [*kept, *own],
+                [held, pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], ["row", *own]
             )
 
-    schema = ", ".join(f"`{c}` {k}" for c, k in met.dtypes if c != "__starts")
-    return met.mapInArrow(remove, f"{schema}, n_words long, n_removed long, kept_text string")
+    kind = "struct<" + ",".join(f"`{c}`:{k}" for c, k in docs.dtypes if c in kept) + ">"
+    removed = met.mapInArrow(remove, f"row {kind}, n_words long, n_removed long, kept_text string")
+    return removed.select("row.*", *own)
