@@ -17,9 +17,22 @@ def _averages(observed: DataFrame, corrected: DataFrame, key: Column, name: str)
     return obs.unionByName(sim).groupBy("hydroweb", name).agg(F.avg("o").alias("obs"), F.avg("s").alias("sim"))
 
 
+def _day_of_year(moment: str) -> Column:
+    """Month and day as one number, which rows are grouped by."""
+    return F.month(moment) * 100 + F.day(moment)
+
+
+def _day_label(number: Column, between: str) -> Column:
+    """The number as text, written once per group instead of once per row."""
+    part = lambda n: F.lpad(n.cast("string"), 2, "0")
+    return F.concat_ws(between, part(F.floor(number / 100)), part(number % 100))
+
+
 def daily_average(observed: DataFrame, corrected: DataFrame) -> DataFrame:
     """Mean per day of the year: (hydroweb, day 'MM/dd', obs, sim)."""
-    return _averages(observed, corrected, F.date_format("datetime", "MM/dd"), "day")
+    return _averages(observed, corrected, _day_of_year("datetime"), "_day").select(
+        "hydroweb", F.when(F.col("_day").isNotNull(), _day_label(F.col("_day"), "/")).alias("day"), "obs", "sim"
+    )
 
 
 def monthly_average(observed: DataFrame, corrected: DataFrame) -> DataFrame:
@@ -28,8 +41,8 @@ def monthly_average(observed: DataFrame, corrected: DataFrame) -> DataFrame:
 
 
 def day_extremes(observed: DataFrame) -> DataFrame:
-    """Lowest and highest observed level per day of the year: (hydroweb, month_day, ..)."""
-    return observed.groupBy("hydroweb", F.date_format("datetime", "MM-dd").alias("month_day")).agg(
+    """Lowest and highest observed level per day of the year: (hydroweb, month_day as a number, ..)."""
+    return observed.groupBy("hydroweb", _day_of_year("datetime").alias("month_day")).agg(
         F.min("level").alias("level_min"), F.max("level").alias("level_max")
     )
 
@@ -43,5 +56,5 @@ def calendar_values(spans: DataFrame, climatology: DataFrame) -> DataFrame:
     days = spans.select(
         "hydroweb", "initialized",
         F.explode(F.sequence("start", "end", F.expr("INTERVAL 1 DAY"))).alias("datetime"),
-    ).withColumn("month_day", F.date_format("datetime", "MM-dd"))
+    ).withColumn("month_day", _day_of_year("datetime"))
     return days.join(climatology, ["hydroweb", "month_day"], "left").drop("month_day")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stagecast.operators import alerts, bias, climatology, clean, ensemble, extremes, metrics, series
-from stagecast.schemas import STATION
+from stagecast.schemas import RECORD_DAYS, STATION
 from stagecast.sinks import writers
 from stagecast.sources import readers
 from stagecast.tables import Tables, ensemble_table, observed_table, records_table, simulation_table
@@ -115,9 +115,10 @@ def forecast_parts(tables: Tables, state: Refresh) -> dict[str, DataFrame]:
 
     The statistics are stored once: four of the results read them.
     """
+    # Stations without thresholds go before their members are corrected.
     complete = state.thresholds.select("hydroweb")
-    corrected = bias.corrected_forecast(tables, state.model).join(complete, "hydroweb", "left_semi")
-    stats = materialise(ensemble.ensemble_stats(corrected), "ensemble-stats")
+    model = bias.Model(state.model.mapping.join(complete, "hydroweb", "left_semi"))
+    stats = materialise(ensemble.ensemble_stats(bias.corrected_forecast(tables, model)), "ensemble-stats")
     span = series.stats_span(stats)
     records = bias.corrected_records(tables.records, state.model)
     recent = series.recent_records(records, span)
@@ -143,6 +144,17 @@ def charts(tables: Tables, state: Refresh) -> Charts:
     )
 
 
+def station_charts(spark: SparkSession, root: str, state: Refresh, hydroweb: str, initialized: str) -> Charts:
+    """The charts of one station and one run, from the stored tables.
+
+    The run decides folders; station and reach decide row groups, as rows lie in their order within
+    the files. Records are read from the months around the run.
+    """
+    tables = readers.station_tables(spark, root, hydroweb, initialized, RECORD_DAYS)
+    own = F.col("hydroweb") == hydroweb
+    return charts(tables, Refresh(bias.Model(state.model.mapping.where(own)), state.thresholds.where(own)))
+
+
 def export_simulation(tables: Tables, path: str) -> None:
     """Raw simulation as CSV per reach."""
     writers.write_csv(tables.simulation.select("reachid", "datetime", "value"), path, "reachid")
@@ -153,9 +165,12 @@ def export_observed(tables: Tables, path: str) -> None:
     writers.write_csv(tables.observed.select("hydroweb", "datetime", "waterlevel"), path, "hydroweb")
 
 
-def export_corrected_simulation(tables: Tables, path: str) -> None:
-    """Corrected simulation as CSV per station, on the original datum of the observations."""
-    model = bias.fit(tables, shift_min=False)
+def export_corrected_simulation(tables: Tables, path: str, model: bias.Model | None = None) -> None:
+    """Corrected simulation as CSV per station, on the original datum of the observations.
+
+    ``model`` is ``bias.fit(tables, shift_min=False)``; exports of one refresh can share it.
+    """
+    model = bias.fit(tables, shift_min=False) if model is None else model
     corrected = bias.corrected_simulation(tables, model).select("hydroweb", "datetime", "corrected")
     writers.write_csv(corrected, path, "hydroweb")
 
@@ -168,5 +183,5 @@ def export_forecast_stats(tables: Tables, state: Refresh, path: str) -> None:
 __all__ = [
     "Charts", "Refresh", "charts", "daily_update", "daily_warnings", "export_corrected_simulation",
     "export_forecast_stats", "export_observed", "export_simulation", "forecast_load", "forecast_parts", "initial_load", "map_alerts",
-    "observation_refresh", "open_refresh", "refresh", "save_refresh",
+    "observation_refresh", "open_refresh", "refresh", "save_refresh", "station_charts",
 ]

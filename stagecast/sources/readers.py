@@ -172,6 +172,26 @@ def open_tables(spark: SparkSession, root: str, initialized: str | None = None)
     )
 
 
+def station_tables(spark: SparkSession, root: str, hydroweb: str, initialized: str, record_days: int) -> Tables:
+    """What the stored tables hold of one station and one run: its reach comes to the driver, no more."""
+    every = open_tables(spark, root, initialized)
+    station = every.station.where(F.col("hydroweb") == hydroweb)
+    row = station.select("reachid").first()
+    reach = F.col("reachid") == F.lit(row["reachid"] if row else None).cast("int")
+    start = F.lit(str(initialized)).cast("timestamp_ntz")
+    day = F.expr("INTERVAL 1 DAY")
+    run = lambda moment: F.date_format(moment, "yyyyMMddHHmmss")
+    # A run may have statistics only later than its start, never earlier than it.
+    near = (F.col("run") >= run(start - day * record_days)) & (F.col("run") <= run(start + day * 16))
+    return Tables(
+        station=station,
+        observed=every.observed.where(F.col("hydroweb") == hydroweb),
+        simulation=every.simulation.where(reach),
+        ensemble=every.ensemble.where(reach),
+        records=records_table(root).rows(spark, near).where(reach),
+    )
+
+
 def read_warnings(spark: SparkSession, path: str, date: str | None = None) -> DataFrame:
     """Stored warnings of one moment, or of all; a moment reads the folder of its day only."""
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in WARNING.fields)

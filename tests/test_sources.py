@@ -1,6 +1,7 @@
 import datetime as dt
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,3 +219,29 @@ def test_charts_have_rows(spark):
     counts = {name: table.count() for name, table in vars(charts).items()}
     assert counts["historical"] == 112 and counts["skill"] == 9 and counts["monthly"] == 1
     assert {r.series for r in charts.forecast.select("series").distinct().collect()} >= {"flow_max", "high_res", "records", "return_period_100"}
+
+
+def test_charts_of_one_station_are_those_of_all(spark, tmp_path):
+    days = [dt.datetime(y, 1, d) for y in (2000, 2001) for d in range(1, 29)]
+    stations = [("A", 10), ("B", 12)]
+    both = [(INIT + pd.Timedelta(days=d, hours=6 * k), r, INIT, m, float(m + d + k + r)) for d in range(2) for k in range(3) for r in (10, 12) for m in range(1, 53)]
+    tables = make_tables(
+        spark, stations, [(t, s, float(t.day)) for t in days for s, _ in stations], [(t, r, float(t.day + t.year - 2000 + r)) for t in days for _, r in stations],
+        both, [((INIT - dt.timedelta(days=3)).to_pydatetime(), r, 4.0) for r in (10, 12)],
+    )
+    root = str(tmp_path / "store")
+    writers.write_tables(tables, root)
+    state = jobs.refresh(tables)
+    one, every = jobs.station_charts(spark, root, state, "B", str(INIT)), jobs.charts(tables, state)
+
+    def rows(df):  # sums may differ in the last bits
+        return sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.collect())
+
+    for name, table in vars(one).items():
+        assert rows(table) == rows(getattr(every, name).where("hydroweb = 'B'")) != [], name
+    scan = readers.station_tables(spark, root, "B", str(INIT), 8)
+    plan = scan.ensemble._jdf.queryExecution().executedPlan().toString()
+    assert "run" in plan[plan.index("PartitionFilters"):].split("]")[0] and "(reachid" in plan[plan.index("DataFilters"):].split("]")[0]
+    plan = scan.observed._jdf.queryExecution().executedPlan().toString()
+    assert "(hydroweb" in plan[plan.index("DataFilters"):].split("]")[0]
+    assert readers.station_tables(spark, root, "nowhere", str(INIT), 8).simulation.count() == 0

@@ -469,6 +469,13 @@ FINAL: dict[str, str] = {
       SELECT hydroweb, CAST(datetime AS DATE) AS day, max(waterlevel) AS max_level FROM readings
       GROUP BY hydroweb, CAST(datetime AS DATE)""",
 }
+_first = "hydroweb = (SELECT min(hydroweb) FROM station)"
+FINAL["station_charts"] = (
+    f"SELECT hydroweb, series, datetime, value FROM ({FINAL['historical_series']}) WHERE {_first} UNION ALL "
+    + " UNION ALL ".join(
+        f"SELECT hydroweb, '{c}', datetime, {_r(c)} FROM st_done WHERE {c} IS NOT NULL AND {_first}" for c in _STATS
+    )
+)
 STEPS["readings"] = """
       SELECT 'HW-' || lpad(CAST(user_id % 10 AS VARCHAR), 6, '0') AS hydroweb, ts AS datetime, value AS waterlevel FROM events"""
 

@@ -15,7 +15,7 @@ from stagecast.schemas import RETURN_PERIODS
 from stagecast.sinks import writers
 from stagecast.sources import readers
 from stagecast.streaming import ingest
-from stagecast.tables import Tables, daily_table, ensemble_table, observed_table, readings_table, records_table
+from stagecast.tables import Tables, daily_table, ensemble_table, observed_table, readings_table, records_table, simulation_table
 from stagecast.workspace import fresh_dir
 
 _contexts: dict[tuple[str, str], "_Context"] = {}
@@ -75,8 +75,10 @@ class _Context:
     @cached_property
     def store(self) -> str:
         """Folder of forecast tables with three runs, the middle one loaded twice."""
-        root = self.dir("store")
-        runs = self.fx.runs()
+        root, tables, runs = self.dir("store"), self.tables, self.fx.runs()
+        tables.station.write.parquet(f"{root}/station")
+        observed_table(root).load(tables.observed, replace=True)
+        simulation_table(root).load(tables.simulation, replace=True)
         for started, qout in [*runs, runs[1]]:
             jobs.forecast_load(qout, self.tables.station, started, root)
         return root
@@ -428,6 +430,16 @@ def forecast_series(c: _Context) -> DataFrame:
     return rounded(series.forecast_series(parts["stats"], parts["recent"], parts["bands"], parts["extent"]))
 
 
+def station_charts(c: _Context) -> DataFrame:
+    """The series of one station and run, found by their keys in the stored tables."""
+    hydroweb = c.tables.station.agg(F.min("hydroweb")).first()[0]
+    found = jobs.station_charts(c.spark, c.store, c.state(), hydroweb, INITIALIZED)
+    shown = found.forecast.where(F.col("series").like("flow%") | (F.col("series") == "high_res"))
+    return found.historical.select("hydroweb", "series", "datetime", "value").unionByName(
+        rounded(shown.select("hydroweb", "series", "datetime", "value"))
+    )
+
+
 def reach_intersection(c: _Context) -> DataFrame:
     return readers.reach_intersection(c.tables.simulation, c.tables.station)
 
@@ -492,7 +504,7 @@ _QUERIES = (
     warning_sink, probability_table, forecast_date_range, water_level_alerts, alerts_geojson, alerts_collection,
     alerts_for_day, alerts_by_class, alerts_active_classes, daily_average, monthly_average,
     climatology_band, sim_obs_pairs, skill_metrics, metrics_comparison, historical_series,
-    recent_records, forecast_series, reach_intersection, stream_ingest, stream_dedup, stream_daily_max,
+    recent_records, forecast_series, station_charts, reach_intersection, stream_ingest, stream_dedup, stream_daily_max,
     stream_forecast_ingest,
 )
 
