@@ -18,6 +18,7 @@ text if nothing was learned. Training rows with a NULL language or text are skip
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -38,12 +39,19 @@ _SCALED = 16  # positions after which a long forward recursion is scaled
 _SEGMENT = 20_000
 _START = "▁"  # as the vocabulary marks the start of a word
 _AT_ONCE = 8192
-_REMEMBERED = 200_000
+_REMEMBERED = 600_000
 UNDETERMINED = "und"
 
 
+#: Runs of letters and of the few numerals that are no digits: faster to find, and mostly the same.
+_NEARLY = re.compile(r"[^\W\d_]+")
+
+
 def words(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
+    if not text:
+        return []
+    found = _NEARLY.findall(lower := text.lower())
+    return found if not found or "".join(found).isalpha() else _LETTERS.findall(lower)
 
 
 class Pieces:
@@ -249,19 +257,33 @@ class Scorer:
 
     def score(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
         """Log probability of each text by language, with the prior; None without a letter."""
-        for text in texts:
-            found, total = words(text), self.model.prior
-            for word in (w for w in found if len(w) > RUN):  # too rare to be remembered
-                total = total + self.long(word)
-            anything, found = bool(found), [w for w in found if len(w) <= RUN]
-            for at in range(0, len(found), _REMEMBERED):  # a long text by parts
-                part = found[at : at + _REMEMBERED]
-                new = [w for w in dict.fromkeys(part) if w not in self.known]
+        return self.score_words([words(text) for text in texts])
+
+    def score_words(self, texts: list[list[str]]) -> Iterator[np.ndarray | None]:
+        """The same for texts given as their words. New words of all texts are learned together."""
+        counted = [Counter(found) for found in texts]
+        every = {w for w in set(chain.from_iterable(counted)) if len(w) <= RUN}
+        together = every.difference(self.known)
+        if len(self.known) + len(together) > _REMEMBERED:
+            self.known.clear()
+            together = every
+        if len(together) <= _REMEMBERED:
+            self._learn(list(together))
+        for counts in counted:
+            total, anything = self.model.prior, bool(counts)
+            for word in [w for w in counts if len(w) > RUN]:  # too rare to be remembered
+                total = total + counts.pop(word) * self.long(word)
+            unique = list(counts)
+            for at in range(0, len(unique), _REMEMBERED):  # a long text by parts
+                part = unique[at : at + _REMEMBERED]
+                new = set(part).difference(self.known)
                 if len(self.known) + len(new) > _REMEMBERED:
                     self.known.clear()
-                    new = list(dict.fromkeys(part))
-                self._learn(new)
-                total = total + self.table[[self.known[w] for w in part]].sum(axis=0)
+                    new = set(part)
+                if new:
+                    self._learn(list(new))
+                times = np.fromiter(map(counts.__getitem__, part), np.float64, len(part))
+                total = total + times @ self.table[np.fromiter(map(self.known.__getitem__, part), np.int64, len(part))]
             yield total if anything else None
 
 
@@ -288,12 +310,7 @@ def identify(docs: DataFrame, model: LanguageModel, model_file: str, text_col: s
         scorer = _scorer(name, held.value, model_file)
         for batch in batches:
             names, scores = [], []
-            texts = batch.column(len(kept)).to_pylist()
-            # New words of a batch are learned together.
-            together = {w for text in texts for w in words(text) if len(w) <= RUN}.difference(scorer.known)
-            if len(scorer.known) + len(together) <= _REMEMBERED:
-                scorer._learn(sorted(together))
-            for total in scorer.score(texts):
+            for total in scorer.score(batch.column(len(kept)).to_pylist()):
                 if total is None or not len(total):
                     names.append(UNDETERMINED)
                     scores.append(0.0)
