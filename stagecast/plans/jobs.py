@@ -12,7 +12,7 @@ from stagecast.schemas import RECORD_DAYS, STATION
 from stagecast.sinks import writers
 from stagecast.sources import readers
 from stagecast.tables import Tables, ensemble_table, observed_table, records_table, simulation_table
-from stagecast.workspace import materialise
+from stagecast.workspace import mark, materialise, release
 
 
 @dataclass(frozen=True)
@@ -65,9 +65,11 @@ def forecast_load(qout: DataFrame, station: DataFrame, initialized: str, root: s
     The run's reaches replace what was stored of them, so loading a run twice changes nothing.
     Readers see each of the two tables as it was before the load or after it.
     """
+    begun = mark()
     rows = materialise(readers.load_forecast(qout, station, initialized), "forecast")
     writers.upsert_runs(records_table(root), ensemble.forecast_records(rows), "datetime")
     writers.upsert_runs(ensemble_table(root), rows, "initialized")
+    release(qout.sparkSession, begun)
 
 
 def daily_update(

@@ -4,14 +4,25 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 
-#: Folders handed out so far, oldest first; None where they were removed.
-_made: list[str | None] = []
+_of_thread = threading.local()
+
+
+def _made() -> list[str | None]:
+    """Folders handed out to this thread so far, oldest first; None where they were removed.
+
+    Micro-batches of several streams run in threads of their own, and none may remove what another
+    still reads.
+    """
+    if not hasattr(_of_thread, "made"):
+        _of_thread.made = []
+    return _of_thread.made
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -33,8 +44,9 @@ def shared_root(spark: SparkSession) -> str:
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no other run uses."""
-    _made.append(f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}")
-    return _made[-1]
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _made().append(path)
+    return path
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -50,14 +62,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def mark() -> int:
-    """A point in the sequence of scratch folders, for ``release``."""
-    return len(_made)
+    """A point in this thread's sequence of scratch folders, for ``release``."""
+    return len(_made())
 
 
 def release(spark: SparkSession, since: int, until: int | None = None) -> None:
-    """Remove the scratch folders made between two marks, once no unread result depends on them."""
-    for k in range(since, len(_made) if until is None else until):
-        if _made[k]:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made[k])
+    """Remove the scratch folders this thread made between two marks, once no unread result depends on them."""
+    made = _made()
+    for k in range(since, len(made) if until is None else until):
+        if made[k]:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(made[k])
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-            _made[k] = None
+            made[k] = None

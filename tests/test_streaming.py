@@ -109,3 +109,24 @@ def test_forecast_runs_arrive_in_parts_and_again(spark, tmp_path):
     assert sorted((r.datetime.day, r.reachid, r.value) for r in records.rows(spark).collect()) == [
         (1, 10, 1.0), (1, 12, 101.0), (1, 14, 1.0), (2, 10, 6.0)
     ]
+
+
+def test_scratch_of_another_thread_stays(spark):
+    """Two streams at once: neither removes what the other is reading."""
+    import threading
+
+    from stagecast.workspace import mark, materialise, release
+
+    begun, held = mark(), {}
+
+    def other():
+        held["table"] = materialise(spark.range(7), "other")
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    thread.join()
+    mine = materialise(spark.range(3), "mine")
+    release(spark, begun)
+    assert held["table"].count() == 7 and mark() == begun + 1
+    with pytest.raises(Exception):
+        mine.count()
