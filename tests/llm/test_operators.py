@@ -65,6 +65,8 @@ def empty(spark, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("none"))
     spark.createDataFrame([], SCHEMA).write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{root}/pages.parquet")
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{root}/conversations.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
     return root
 
 
