@@ -68,7 +68,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     A text that loses nothing stays as it is; another is its remaining words, joined by a space.
     """
-    cut = substring_dedup.remove_repeats(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "doc_id", "text"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    cut = substring_dedup.remove_repeats(docs.select(F.struct(*others).alias("_doc"), "doc_id", "text"))
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     changed = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("_doc")["n_chars"])}
     return cut.select(*[changed[c].alias(c) if c in changed else F.col("_doc")[c].alias(c) for c in docs.columns])
