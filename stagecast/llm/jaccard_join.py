@@ -9,8 +9,11 @@ first n - ceil(t n) + 1 of each. The order is cut into fragments.
    stream: the first set with a token becomes the token's pivot, later ones are noted with it. So
    a token of a third of all sets costs one row each, in no more memory than its first.
 3. Each set is compared with the pivot it shares most tokens with; links make components.
-4. What is left are tokens whose sets lie in several components. Only pairs across components are
-   compared, so a large group of copies is never expanded into its pairs. Common leading tokens
+4. What is left are tokens whose sets lie in several components. In rounds, each token takes a pivot of
+   its largest component, the set that shares most tokens with others, and sets of other components
+   are compared with it, one comparison for each set and round. Rounds go on while many sets link.
+5. Pairs of sets across the components that remain are compared, so a large group of copies is never
+   expanded into its pairs. Common leading tokens
    of a pair are counted, and a pair with too few to reach the threshold is done. Every pair that
    shares enough is then compared or already connected: no link that would join two components
    is missed.
@@ -29,7 +32,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,9 @@ FRAGMENT_TOKENS = 500_000
 FRAGMENTS = 8
 #: A list of documents up to this length is sent to all tasks (16 MB); a longer one is joined.
 SENT_IDS = 2_000_000
+#: Rounds of comparisons with pivots go on while this share of the compared sets links, up to so many.
+LINKING = 0.05
+ROUNDS = 8
 
 def leading(n: int, num: int, den: int) -> int:
     """How many leading tokens of ``n`` one must look at: overlap is at least ceil(n num / den)."""
@@ -195,12 +200,9 @@ def _segments(docs: Chosen, n: int) -> DataFrame:
     return docs.mapInArrow(cut, "doc long, fragment int, tokens array<long>")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Of the pairs (a, a_n, b, b_n), the linked ones: partial overlaps, summed."""
+def _links(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
+    """Of the stored pairs (a, a_n, b, b_n), the linked ones: partial overlaps, summed."""
     begun = mark()
-    pairs = materialise(pairs, "pairs")
-    wanted = materialise(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct(), "wanted")
-    segments = materialise(_segments(only(docs, wanted), n), "segments")
 
     def overlaps(some: DataFrame, which: Column) -> DataFrame:
         part = segments.where(which)
@@ -218,7 +220,7 @@ def _links(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> Dat
     total = first.unionByName(others).groupBy("a", "a_n", "b", "b_n").agg(F.sum("shared").alias("shared"))
     done = mark()
     links = materialise(total.where(reach(F.col("shared"))).select("a", "b"), "links")
-    release(docs.sparkSession, begun, done)
+    release(pairs.sparkSession, begun, done)
     return links
 
 
@@ -249,14 +251,17 @@ def similar_groups(
     near = shared.where(_near(F.col("pivot_n"), F.col("n"), num, den))
     counted = near.groupBy("doc", "n", "pivot", "pivot_n").agg(F.count("*").alias("c"))
     best = counted.groupBy("doc", "n").agg(F.max_by(F.struct("pivot", "pivot_n"), F.struct("c", -F.col("pivot"))).alias("p"))
-    first_links = _links(best.select(F.col("p.pivot").alias("a"), F.col("p.pivot_n").alias("a_n"), F.col("doc").alias("b"), F.col("n").alias("b_n")), rows, shingle_words, num, den)
+    pairs = materialise(
+        best.select(F.col("p.pivot").alias("a"), F.col("p.pivot_n").alias("a_n"), F.col("doc").alias("b"), F.col("n").alias("b_n")), "pairs"
+    )
+    compared = materialise(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct(), "compared")
+    begun = mark()
+    segments = materialise(_segments(only(rows, compared), shingle_words), "segments")
+    first_links = _links(pairs, segments, num, den)
+    release(spark, begun, begun + 1)
     copies = member.where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
     found = materialise(components(first_links.unionByName(copies)), "components")
-
-    later_links = _links(_across(shared, found, best, num, den), rows, shingle_words, num, den)
-    if not later_links.isEmpty():
-        stars = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
-        found = materialise(components(later_links.unionByName(stars)), "components")
+    found = _joined(shared, found, rows, shingle_words, num, den)
     return sets.join(found, sets["doc"] == found["node"], "left").select(
         sets["doc"].alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id")
     )
@@ -273,23 +278,74 @@ def one_of_each_group(
     return kept.mapInArrow(lambda batches: batches, rows.schema).select("_row.*")
 
 
-def _across(shared: DataFrame, found: DataFrame, tried: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of documents that share a leading token, may be similar and aren't connected yet."""
+def _mixed(holders: DataFrame, found: DataFrame) -> DataFrame:
+    """token, doc, n, c (its component) for tokens whose documents lie in several components."""
+    rows = holders.join(found.select(F.col("node").alias("doc"), F.col("component").alias("c")), "doc", "left")
+    rows = materialise(rows.select("token", "doc", "n", F.coalesce("c", "doc").alias("c")), "holders")
+    several = rows.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("token")
+    return materialise(rows.join(several, "token", "left_semi"), "mixed")
+
+
+def _largest(mixed: DataFrame) -> DataFrame:
+    """token, top: the component with most documents of a token."""
+    return mixed.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("top"))
+
+
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of ``found`` (which has both ends of every link) joined by links."""
     named = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"{side}_c"))
-    rows = shared.join(named("doc"), "doc", "left").join(named("pivot"), "pivot", "left")
-    rows = materialise(
-        rows.withColumn("doc_c", F.coalesce("doc_c", "doc")).withColumn("pivot_c", F.coalesce("pivot_c", "pivot")), "token-components"
-    )
-    mixed = rows.groupBy("token").agg(F.max(F.col("doc_c") != F.col("pivot_c")).alias("m")).where("m").select("token")
-    some = rows.join(mixed, "token", "left_semi")
-    holders = some.select("token", "doc", "n", F.col("doc_c").alias("c")).unionByName(
-        some.select("token", F.col("pivot").alias("doc"), F.col("pivot_n").alias("n"), F.col("pivot_c").alias("c"))
+    between = links.join(named("a"), "a").join(named("b"), "b").select(F.col("a_c").alias("a"), F.col("b_c").alias("b"))
+    new = components(between).select(F.col("node").alias("component"), F.col("component").alias("new"))
+    return materialise(found.join(new, "component", "left").select("node", F.coalesce("new", "component").alias("component")), "components")
+
+
+def _joined(shared: DataFrame, found: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """``found`` with all links across its components."""
+    holders = shared.select("token", "doc", "n").unionByName(
+        shared.select("token", F.col("pivot").alias("doc"), F.col("pivot_n").alias("n"))
     ).distinct()
-    holders = materialise(holders, "holders")
+    mixed = _mixed(holders, found)
+    weight = materialise(mixed.groupBy("doc").agg(F.count("*").alias("weight")), "weights")
+    alone = weight.join(found.select(F.col("node").alias("doc")), "doc", "left_anti").select(F.col("doc").alias("node"), F.col("doc").alias("component"))
+    found = materialise(found.unionByName(alone), "components")
+    begun = mark()
+    segments = materialise(_segments(only(docs, materialise(weight.select("doc"), "compared")), n), "segments")
+    for k in range(ROUNDS):
+        pairs = materialise(_with_pivots(mixed, weight, k, num, den), "pairs")
+        links = _links(pairs, segments, num, den)
+        n_pairs, n_links = pairs.count(), links.count()
+        if n_links:
+            found = _merged(found, links)
+            mixed = _mixed(mixed.drop("c"), found)
+        if n_links <= LINKING * n_pairs:
+            break
+    links = _links(materialise(_across(mixed, num, den), "pairs"), segments, num, den)
+    if not links.isEmpty():
+        found = _merged(found, links)
+    release(docs.sparkSession, begun, begun + 2)
+    return found
+
+
+def _with_pivots(mixed: DataFrame, weight: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """For each document outside the largest component of a token one pivot of such a component.
+
+    A token's pivot is the document with most tokens in common with others; from the second round on
+    chance, the same one for all tokens, has a part in it.
+    """
+    rows = mixed.join(weight, "doc").join(_largest(mixed), "token")
+    chance = F.lit(1.0) if not k else 0.5 + F.pmod(F.xxhash64("doc", F.lit(k)), F.lit(1 << 20)) / float(1 << 21)
+    of_top = rows.where("c = top").groupBy("token").agg(F.max_by(F.struct("doc", "n"), F.struct(F.col("weight") * chance, -F.col("doc"))).alias("p"))
+    met = rows.where("c <> top").join(of_top, "token").where(_near(F.col("p.n"), F.col("n"), num, den))
+    counted = met.groupBy("doc", "n", "p").agg(F.count("*").alias("shared"))
+    best = counted.groupBy("doc", "n").agg(F.max_by("p", F.struct("shared", -F.col("p.doc"))).alias("p"))
+    return best.select(F.col("p.doc").alias("a"), F.col("p.n").alias("a_n"), F.col("doc").alias("b"), F.col("n").alias("b_n"))
+
+
+def _across(mixed: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of documents that share a leading token, may be similar and aren't connected yet."""
     # The largest component of a token is met by the others and never by itself.
-    top = holders.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("top"))
     named = lambda rows, side: rows.withColumnsRenamed({"doc": side, "n": f"{side}_n", "c": f"{side}_c"})
-    left, right = named(holders.join(top, "token").where("c <> top"), "a"), named(holders, "b")
+    left, right = named(mixed.join(_largest(mixed), "token").where("c <> top"), "a"), named(mixed, "b")
     met = left.join(right, "token").where(
         (F.col("a_c") != F.col("b_c")) & ((F.col("b_c") == F.col("top")) | (F.col("a_c") < F.col("b_c")))
         & _near(F.col("a_n"), F.col("b_n"), num, den)
@@ -298,7 +354,4 @@ def _across(shared: DataFrame, found: DataFrame, tried: DataFrame, num: int, den
     forward = F.col("a_c") < F.col("b_c")
     pairs = met.groupBy(F.when(forward, a).otherwise(b).alias("x"), F.when(forward, b).otherwise(a).alias("y")).agg(F.count("*").alias("shared"))
     pairs = pairs.select(*[F.col(f"{s}.{f}").alias(to) for s, f, to in (("x", "d", "a"), ("x", "n", "a_n"), ("y", "d", "b"), ("y", "n", "b_n"))], "shared")
-    pairs = pairs.where(_enough(F.col("shared"), F.col("a_n"), F.col("b_n"), num, den)).drop("shared")
-    done = tried.select(F.col("p.pivot").alias("x"), F.col("doc").alias("y"))
-    both = reduce(DataFrame.unionByName, [done.select(F.col("x").alias("a"), F.col("y").alias("b")), done.select(F.col("y").alias("a"), F.col("x").alias("b"))])
-    return pairs.join(both, ["a", "b"], "left_anti")
+    return pairs.where(_enough(F.col("shared"), F.col("a_n"), F.col("b_n"), num, den)).drop("shared")
