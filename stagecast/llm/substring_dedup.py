@@ -53,7 +53,7 @@ SHARD_BYTES = 3_000_000
 #: Bytes of all texts for each range of anchors: about a million anchors.
 RANGE_BYTES = 32_000_000
 #: Bytes of the texts of one block, but for a longer single text: what a task holds at a time.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 12_000_000
 
 
 def _squeeze(*parts: bytes) -> bytes:
@@ -159,17 +159,16 @@ class _Windows:
         n = max(0, len(hashes) - window + 1)
         gram = min(GRAM, window)
         grams = run_hashes(hashes, gram)
-        best, at = grams[:n].copy(), np.arange(n)
+        best, at = grams[:n].copy(), np.zeros(n, np.min_scalar_type(window))
         for k in range(1, window - gram + 1):
             other = grams[k : k + n]
             less = other < best
             np.copyto(best, other, where=less)
-            np.copyto(at, np.arange(k, n + k), where=less)
+            np.copyto(at, at.dtype.type(k), where=less)
         lengths = np.diff(block.ends, prepend=0)
         counted = pc.is_valid(block.rows.column("doc")).to_numpy()
-        stop = np.repeat(np.where(counted, block.ends, 0), lengths)[:n]
-        starts = np.flatnonzero(np.arange(window, n + window) <= stop)
-        at = at[starts]
+        starts = _filled(block.ends - lengths, np.where(counted, np.maximum(lengths - window + 1, 0), 0))
+        at = starts + at[starts]
         runs = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else at
         anchors = best[starts[runs]]
         known, number = np.unique(anchors >> np.uint64(64 - ANCHOR_BITS), return_inverse=True)
@@ -254,9 +253,11 @@ def _segments(blocks: DataFrame, live: DataFrame, window: int, ranges: int, shar
         length = np.r_[sizes[plain], np.ones(len(lone), np.int64)] + window - 1
         alone = run_hashes(found.hashes, window)[found.starts[lone]] if len(lone) else np.empty(0, np.uint64)
         place = np.r_[found.anchors[plain], alone]
-        text = held.codes.astype("<i4").tobytes()
+        text = memoryview(held.codes.astype("<i4", copy=False)).cast("B")
         known: dict[bytes, int] = {}
-        seg = np.array([known.setdefault(text[a:b], len(known)) for a, b in zip((4 * first).tolist(), (4 * (first + length)).tolist())], "<i4")
+        cuts = zip(map(int, 4 * first), map(int, 4 * (first + length)))
+        seg = np.fromiter((known.setdefault(bytes(text[a:b]), len(known)) for a, b in cuts), "<i4", len(first))
+        del known
         docs = held.docs[held.row_of(first)]
         _, shown = np.unique(seg, return_index=True)
         least, most = docs[shown].copy(), docs[shown].copy()
