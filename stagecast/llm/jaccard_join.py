@@ -44,8 +44,8 @@ from stagecast.llm.common import grouped_rows, mark, materialise, ready, release
 from stagecast.llm.components import components
 from stagecast.llm.shingles import shingle_set, slot_summary
 
-#: Slots of the frequency table: 16 MB, whatever the corpus.
-SLOT_BITS = 24
+#: Slots of the frequency table, four bits each: 64 MB, whatever the corpus.
+SLOT_BITS = 27
 #: Leading tokens of one candidate fragment, and fragments into which a set is cut to be compared.
 FRAGMENT_TOKENS = 500_000
 FRAGMENTS = 8
@@ -60,6 +60,17 @@ def leading(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den) + 1
 
 
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """How many bits each count has, 15 at most, two levels in a byte."""
+    level = np.minimum(np.frexp(counts.astype(np.float32))[1], 15).astype(np.uint8)
+    return level[::2] << 4 | level[1::2]
+
+
+def _level(packed: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    slot = tokens >> np.uint64(64 - SLOT_BITS)
+    return packed[slot >> np.uint64(1)] >> (4 * (1 - (slot & np.uint64(1)))).astype(np.uint8) & 15
+
+
 def _sets(docs: DataFrame, n: int) -> DataFrame:
     """doc, n, digest of each document's set of shingles."""
 
@@ -112,7 +123,6 @@ def only(rows: DataFrame, ids: DataFrame, present: bool = True) -> Chosen:
 def _postings(docs: Chosen, n: int, num: int, den: int, fragments: int, level: np.ndarray) -> DataFrame:
     """Leading tokens with their documents and set sizes, as arrays by fragment."""
     held = docs.sparkSession.sparkContext.broadcast(level)
-    shift = np.uint64(64 - SLOT_BITS)
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in grouped_rows(batches, ["doc", "text"]):
@@ -120,7 +130,7 @@ def _postings(docs: Chosen, n: int, num: int, den: int, fragments: int, level: n
             for doc, text in zip(ids, texts):
                 found = shingle_set(text, n)
                 if len(found):
-                    order = np.argsort(held.value[found >> shift], kind="stable")  # sets are sorted by hash
+                    order = np.argsort(_level(held.value, found), kind="stable")  # sets are sorted by hash
                     tokens.append(found[order[: leading(len(found), num, den)]])
                     owner.append(np.full(len(tokens[-1]), doc))
                     sizes.append(np.full(len(tokens[-1]), len(found)))
@@ -241,7 +251,7 @@ def similar_groups(
     def tokens(batch: pa.RecordBatch) -> np.ndarray:
         return np.concatenate([np.empty(0, np.uint64), *(shingle_set(t, shingle_words) for t in batch.column("text").to_pylist())])
 
-    level = slot_summary(used, tokens, SLOT_BITS, lambda counts: np.frexp(counts.astype(np.float64))[1].astype(np.uint8))
+    level = slot_summary(used, tokens, SLOT_BITS, _levels)
     total = member.where("doc = rep").agg(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1)).first()[0] or 0
     fragments = max(1, math.ceil(total / FRAGMENT_TOKENS))
     fragments = max(fragments, int(spark.conf.get("spark.sql.shuffle.partitions")))
