@@ -6,9 +6,9 @@ text has a proper probability. Words with few or no occurrences need their exact
 never sent to all tasks.
 
 Training is Baum-Welch: tasks run the forward-backward recursion over their texts and send
-expected counts, added up by ranges of the vocabulary. Rounds on a bounded sample of texts
-(``warm_texts``) separate the states first, then ``rounds`` run over every training text. For
-training, a text is cut after ``CUT`` tokens, and what was cut off starts from the stationary distribution of
+expected counts, added up by ranges of the vocabulary. ``warm_rounds`` rounds, each over its own
+part of the training texts and together over all of them, separate the states first; then ``rounds``
+run over every training text. For training, a text is cut after ``CUT`` tokens, and what was cut off starts from the stationary distribution of
 the states. Scoring is the scaled forward recursion over the whole text.
 
 Defined results: NULL and empty texts are one end. Rows are scored as they come. A row with a NULL
@@ -227,11 +227,12 @@ def baum_welch(encoded: DataFrame, model: Model, share: np.ndarray, general: flo
 
 
 def score(
-    docs: DataFrame, held_out: str, vocabulary: int = VOCABULARY, warm_texts: int = 2000, warm_rounds: int = 5, rounds: int = 2,
+    docs: DataFrame, held_out: str, vocabulary: int = VOCABULARY, warm_texts: int | None = None, warm_rounds: int = 5, rounds: int = 2,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score; ``held_out`` is a boolean
-    column of ``docs`` that keeps a row out of training."""
+    column of ``docs`` that keeps a row out of training. With ``warm_texts`` the warm rounds all run over
+    about that many texts instead of over parts of all."""
     spark = ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(held_out), F.lit(False)).alias("held_out"))
     counted = materialise(count_words(rows.where("NOT held_out")), "word-counts")
@@ -263,10 +264,13 @@ def score(
     training, share = encoded.where("NOT held_out"), counts.share()
     model, n = initial(share), max(counts.n_end, 1)
     # By a hash of the text's ids, so that the choice doesn't depend on how rows are dealt out.
-    bound = min((1 << 64) * warm_texts // n, (1 << 64) - 1) - (1 << 63)
-    chosen = materialise(training.where(F.xxhash64("ids") <= F.lit(bound)).select("ids"), "warm")
-    for k in range(warm_rounds + rounds):
-        model = baum_welch(chosen if k < warm_rounds else training, model, share)
+    if warm_texts is None:
+        warm = [training.where(F.pmod(F.xxhash64("ids"), F.lit(warm_rounds)) == k) for k in range(warm_rounds)]
+    else:
+        bound = min((1 << 64) * warm_texts // n, (1 << 64) - 1) - (1 << 63)
+        warm = [materialise(training.where(F.xxhash64("ids") <= F.lit(bound)).select("ids"), "warm")] * warm_rounds
+    for texts in [*warm, *[training] * rounds]:
+        model = baum_welch(texts, model, share)
 
     n_rare = counts.total - int(counts.n.sum()) - counts.n_end
     kinds_rare = counts.distinct - len(counts.words) - (counts.n_end > 0)

@@ -93,3 +93,11 @@ def test_hmm_scores_do_not_depend_on_partitions(spark):
         {r.doc_id: r.score for r in hmm_lm.score(docs.repartition(n), "held", warm_texts=200, warm_rounds=2, rounds=1).collect()} for n in (2, 7)
     ]
     assert scores[0] == pytest.approx(scores[1], rel=1e-3)
+
+
+def test_warm_rounds_take_every_training_text(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i % 7} river{i % 11} stone{i} word{i % 7}", i % 10 == 0) for i in range(300)], "doc_id long, text string, held boolean")
+    taken, learn = [], hmm_lm.baum_welch
+    monkeypatch.setattr(hmm_lm, "baum_welch", lambda texts, *rest: (taken.append(texts.count()), learn(texts, *rest))[1])
+    hmm_lm.score(docs, "held", warm_rounds=5, rounds=1)
+    assert sum(taken[:5]) == 270 and max(taken[:5]) < 270 and taken[5] == 270
