@@ -246,3 +246,20 @@ def test_repeated_rows_leave_the_statistics_alone(spark):
             sorted(map(str, ensemble.exceedance_daily(t, model, thresholds).collect())),
         ])
     assert results[0] == results[1] and results[0][0] and results[0][1] and "None" not in results[0][0][0]
+
+
+def test_wide_form_takes_one_shuffle(spark):
+    wide = ensemble.ensemble_wide(flat_tables(spark, [(INIT, 10, INIT, 1, 1.0)]).ensemble)
+    assert wide._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_packed_moments_hold_every_row(spark):
+    later = INIT + 3 * HOUR
+    rows = [
+        (INIT, 10, INIT, 1, 1.0), (INIT, 10, INIT, 1, 3.0), (INIT, 10, INIT, 7, None), (INIT, 10, INIT, 52, 5.0),
+        (INIT, 10, INIT, 53, 6.0), (INIT, 10, INIT, None, 7.0), (later, 10, INIT, 0, None), (later, None, INIT, 2, 8.0),
+    ]
+    moments = ensemble.packed(flat_tables(spark, rows).ensemble)
+    got = {(r.datetime, r.reachid, r.member, r.value) for r in ensemble.unpacked(moments).collect()}
+    assert got == {(t.to_pydatetime(), r, m, v) for t, r, _, m, v in rows if (m, v) != (1, 1.0)}
+    assert [tuple(r) for r in ensemble.packed_records(moments).collect()] == [(INIT.to_pydatetime(), 10, 3.0)]

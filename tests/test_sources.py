@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from stagecast.operators import alerts, bias, ensemble
 from stagecast.plans import jobs
-from stagecast.schemas import OBSERVED
+from stagecast.schemas import ENSEMBLE, OBSERVED
 from stagecast.sinks import writers
 from stagecast.sources import readers
-from stagecast.tables import observed_table
+from stagecast.tables import ensemble_table, observed_table
 from tests.small import INIT, make_tables
 from tests.test_ensemble import flat_tables, members
+from verification import queries
 
 NTZ = dt.datetime
 
@@ -245,3 +246,28 @@ def test_charts_of_one_station_are_those_of_all(spark, tmp_path):
     plan = scan.observed._jdf.queryExecution().executedPlan().toString()
     assert "(hydroweb" in plan[plan.index("DataFilters"):].split("]")[0]
     assert readers.station_tables(spark, root, "nowhere", str(INIT), 8).simulation.count() == 0
+
+
+def test_texts_are_written_where_they_are_made(spark, tmp_path):
+    lines = spark.createDataFrame([("hydroprd_R_A_exp.txt", "# head"), ("hydroprd_R_A_exp.txt", "2001-01-01 10:30 5.5 0.05"), ("hydroprd_R_B_exp.txt", "# head")], "product string, value string")
+    sorted_lines = lines.coalesce(1).sortWithinPartitions("product", "value")
+    assert sorted_lines.mapInArrow(queries._text_writer(str(tmp_path)), "files long").first()[0] == 2
+    assert (tmp_path / "0" / "hydroprd_R_A_exp.txt").read_text() == "# head\n2001-01-01 10:30 5.5 0.05\n"
+    assert [tuple(r)[::2] for r in readers.read_altimetry(spark, str(tmp_path)).collect()] == [("R_A_exp", 5.5)]
+
+
+def test_partitions_known_beforehand_are_loaded(spark, tmp_path):
+    table = ensemble_table(str(tmp_path))
+    row = lambda start, value: spark.createDataFrame([(dt.datetime(2002, 1, 1), 4, start, 1, value)], ENSEMBLE)
+    start = dt.datetime(2002, 1, 1)
+    parts = {("2002-01", "20020101000000"): [row(start, 1.0), row(start, 2.0)], (None, None): [row(None, 3.0)]}
+    for batch in (0, 0, 1):
+        table.load_partitions(list(parts), parts.get, True, "s", batch)
+    assert sorted((r.value, r.initialized == start) for r in table.rows(spark).collect()) == [(1.0, True), (2.0, True), (3.0, False)]
+
+
+def test_missing_keys_of_an_export_share_a_folder(spark, tmp_path):
+    rows = [(dt.datetime(2002, 1, 1), k, v) for k, v in (("A", 1.0), (None, 2.0), ("", 3.0))]
+    writers.write_csv(spark.createDataFrame(rows, OBSERVED).select("hydroweb", "datetime", "waterlevel"), str(tmp_path / "out"), "hydroweb")
+    got = spark.read.schema("datetime timestamp_ntz, waterlevel double, hydroweb string").option("header", True).csv(str(tmp_path / "out"))
+    assert sorted((r.waterlevel, r.hydroweb) for r in got.collect()) == [(1.0, "A"), (2.0, None), (3.0, None)]
