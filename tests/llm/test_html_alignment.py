@@ -86,3 +86,14 @@ def test_a_page_that_breaks_stops_no_query(spark):
     rows = [(k, f"http://h.example/{k}", page(k)) for k in range(6)] + [(9, "http://h.example/9", "<![foo[x]]><p>y</p>"), (10, None, None)]
     got = {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert len(got) == 8 and got[9] == "y" and got[10] == "" and all(got[k].startswith(f"Story {k} ") for k in range(6))
+
+
+def test_every_page_of_a_host_decides_its_template(spark):
+    """A notice that one page in three words otherwise is template all the same, whichever pages are looked at first."""
+    usual, other = "The usual notice of this site stands here. " * 12, "Today another notice stands here. " * 17
+    pages = [page(k).replace("The same long introduction", (usual if k % 3 else other) + "The introduction") for k in range(400)]
+    rows = [(k, f"http://h{k // 40}.example/{k}", p) for k, p in enumerate(pages)] * 2
+    got = html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 800 and all(r.text.startswith(f"Story {r.page_id} part 0") and "notice" not in r.text for r in got)
+    copies = spark.createDataFrame([("h", pages[1])] * 5 + [(None, pages[1]), ("e", ""), ("n", None)], "host string, html string")
+    assert {r.wrapper for r in html.wrappers(copies.where("host IS NOT NULL")).collect()} == {"null"}
