@@ -40,11 +40,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 from xxhash import xxh3_128_hexdigest
 
-from stagecast.llm.common import grouped_rows, mark, materialise, ready, release
+from stagecast.llm.common import fresh_dir, grouped_rows, mark, materialise, ready, release
 from stagecast.llm.components import components
-from stagecast.llm.shingles import shingle_set, slot_summary
+from stagecast.llm.shingles import SlotTable, shingle_set
 
-#: Slots of the frequency table, four bits each: 64 MB, whatever the corpus.
+#: Slots of the frequency table, four bits each: 64 MB, whatever the corpus. It is a stored table, read by tasks alone.
 SLOT_BITS = 27
 #: Leading tokens of one candidate fragment, and fragments into which a set is cut to be compared.
 FRAGMENT_TOKENS = 500_000
@@ -116,13 +116,12 @@ def only(rows: DataFrame, ids: DataFrame, present: bool = True) -> Chosen:
     """Rows whose ``doc`` is (not) in the stored table ``ids``."""
     if ids.count() > SENT_IDS:
         return Chosen(rows.join(ids, "doc", "left_semi" if present else "left_anti"))
-    known = np.sort(np.array([r[0] for r in ids.toLocalIterator()], dtype=np.int64))
+    known = np.sort(np.fromiter((r[0] for r in ids.toLocalIterator()), dtype=np.int64))
     return Chosen(rows, rows.sparkSession.sparkContext.broadcast(known), present)
 
 
-def _postings(docs: Chosen, n: int, num: int, den: int, fragments: int, level: np.ndarray) -> DataFrame:
+def _postings(docs: Chosen, n: int, num: int, den: int, fragments: int, level: SlotTable) -> DataFrame:
     """Leading tokens with their documents and set sizes, as arrays by fragment."""
-    held = docs.sparkSession.sparkContext.broadcast(level)
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in grouped_rows(batches, ["doc", "text"]):
@@ -130,7 +129,7 @@ def _postings(docs: Chosen, n: int, num: int, den: int, fragments: int, level: n
             for doc, text in zip(ids, texts):
                 found = shingle_set(text, n)
                 if len(found):
-                    order = np.argsort(_level(held.value, found), kind="stable")  # sets are sorted by hash
+                    order = np.argsort(_level(level.read(), found), kind="stable")  # sets are sorted by hash
                     tokens.append(found[order[: leading(len(found), num, den)]])
                     owner.append(np.full(len(tokens[-1]), doc))
                     sizes.append(np.full(len(tokens[-1]), len(found)))
@@ -251,7 +250,7 @@ def similar_groups(
     def tokens(batch: pa.RecordBatch) -> np.ndarray:
         return np.concatenate([np.empty(0, np.uint64), *(shingle_set(t, shingle_words) for t in batch.column("text").to_pylist())])
 
-    level = slot_summary(used, tokens, SLOT_BITS, _levels)
+    level = SlotTable.of(used, tokens, SLOT_BITS, _levels, fresh_dir(spark, "levels"))
     total = member.where("doc = rep").agg(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1)).first()[0] or 0
     fragments = max(1, math.ceil(total / FRAGMENT_TOKENS))
     fragments = max(fragments, int(spark.conf.get("spark.sql.shuffle.partitions")))

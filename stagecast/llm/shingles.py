@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pa_fs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_64_intdigest
 
 from stagecast.llm.common import WORD
@@ -75,16 +80,10 @@ def _blobs(slots: np.ndarray, bits: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["range", "wide", "gaps", "counts"])
 
 
-def slot_summary(
-    rows, tokens: Callable[[pa.RecordBatch], np.ndarray], bits: int, summarise: Callable[[np.ndarray], np.ndarray]
-) -> np.ndarray:
-    """Count hashed tokens of all rows (a DataFrame, or what has its ``mapInArrow``) in 2**bits slots (a token's slot is its top bits).
-
-    A slot's count is that of its tokens together, so at least that of each. Tasks merge what
-    they have read before the shuffle and send a few bytes per token; each range of slots is added
-    up by one task. ``summarise`` turns the counts of a range into bytes. What comes back has a
-    fixed size, whatever the input.
-    """
+def _summaries(
+    rows, tokens: Callable[[pa.RecordBatch], np.ndarray], bits: int, keep: Callable[[int, np.ndarray], bytes]
+) -> DataFrame:
+    """range, summary: what ``keep`` makes of the counts of each range of slots that has tokens."""
     shift = np.uint64(64 - bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,13 +106,71 @@ def slot_summary(
                 total = counts[at].astype(np.uint64) + np.frombuffer(more, f"<u{wide}")
                 counts[at] = np.minimum(total, np.uint64(0xFFFFFFFF)).astype(np.uint32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([key[0].as_py()], pa.int32()), pa.array([summarise(counts).tobytes()], pa.binary())], ["range", "summary"]
+            [pa.array([key[0].as_py()], pa.int32()), pa.array([keep(key[0].as_py(), counts)], pa.binary())], ["range", "summary"]
         )
 
     add.__annotations__ = {
         "key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]
     }
-    got = rows.mapInArrow(count, _BLOBS).groupBy("range").applyInArrow(add, "range int, summary binary").collect()
+    return rows.mapInArrow(count, _BLOBS).groupBy("range").applyInArrow(add, "range int, summary binary")
+
+
+def slot_summary(
+    rows, tokens: Callable[[pa.RecordBatch], np.ndarray], bits: int, summarise: Callable[[np.ndarray], np.ndarray]
+) -> np.ndarray:
+    """Count hashed tokens of all rows (a DataFrame, or what has its ``mapInArrow``) in 2**bits slots (a token's slot is its top bits).
+
+    A slot's count is that of its tokens together, so at least that of each. Tasks merge what
+    they have read before the shuffle and send a few bytes per token; each range of slots is added
+    up by one task. ``summarise`` turns the counts of a range into bytes. What comes back has a
+    fixed size, whatever the input.
+    """
+    got = _summaries(rows, tokens, bits, lambda _, counts: summarise(counts).tobytes()).collect()
     empty = summarise(np.zeros(1 << (bits - 6), np.uint32))
     parts = {r["range"]: np.frombuffer(r["summary"], empty.dtype) for r in got}
     return np.concatenate([parts.get(r, empty) for r in range(_RANGES)])
+
+
+#: The last table that this process has read.
+_read: dict[str, np.ndarray] = {}
+
+
+@dataclass(frozen=True)
+class SlotTable:
+    """A :func:`slot_summary` in a shared folder, a file per range, which no one but tasks write or read."""
+
+    folder: str
+    empty: np.ndarray
+
+    @classmethod
+    def of(
+        cls, rows, tokens: Callable[[pa.RecordBatch], np.ndarray], bits: int, summarise: Callable[[np.ndarray], np.ndarray], folder: str
+    ) -> SlotTable:
+        place = re.sub("^file:/+", "/", folder)
+
+        def keep(part: int, counts: np.ndarray) -> bytes:
+            files, root = pa_fs.FileSystem.from_uri(place)
+            files.create_dir(root, recursive=True)
+            # A task that runs twice leaves one whole file.
+            own = f"{root}/.{part}-{TaskContext.get().taskAttemptId()}"
+            with files.open_output_stream(own) as out:
+                out.write(summarise(counts).tobytes())
+            files.move(own, f"{root}/{part}")
+            return b""
+
+        _summaries(rows, tokens, bits, keep).agg(F.count(F.lit(1))).collect()
+        return cls(place, summarise(np.zeros(1 << (bits - 6), np.uint32)))
+
+    def read(self) -> np.ndarray:
+        """The whole table, once per process."""
+        if self.folder not in _read:
+            files, root = pa_fs.FileSystem.from_uri(self.folder)
+            table = np.tile(self.empty, _RANGES)
+            for part in files.get_file_info(pa_fs.FileSelector(root, allow_not_found=True)):
+                if part.base_name.isdigit():
+                    at = int(part.base_name) * len(self.empty)
+                    with files.open_input_stream(part.path) as found:
+                        table[at : at + len(self.empty)] = np.frombuffer(found.read(), self.empty.dtype)
+            _read.clear()
+            _read[self.folder] = table
+        return _read[self.folder]

@@ -1,5 +1,6 @@
 """Extra columns with the names that operators use inside, and results that don't depend on partitions."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,19 @@ def test_warm_rounds_take_every_training_text(spark, monkeypatch):
     monkeypatch.setattr(hmm_lm, "baum_welch", lambda texts, *rest: (taken.append(texts.count()), learn(texts, *rest))[1])
     hmm_lm.score(docs, "held", warm_rounds=5, rounds=1)
     assert sum(taken[:5]) == 270 and max(taken[:5]) < 270 and taken[5] == 270
+
+
+def test_a_stored_slot_table_is_what_the_summary_would_be(spark):
+    """The table of op4 stays with the tasks: 64 MB of it took the driver beyond its memory."""
+    import numpy as np
+
+    from stagecast.workspace import fresh_dir
+
+    rows = spark.range(5000).repartition(3)
+    held = lambda batch: (batch.column("id").to_numpy() % 700).astype(np.uint64) << np.uint64(54)
+    table = shingles.SlotTable.of(rows, held, 12, lambda c: c.astype(np.uint8), fresh_dir(spark, "slots"))
+    want = shingles.slot_summary(rows, held, 12, lambda c: c.astype(np.uint8))
+    read = lambda batches: (pa.RecordBatch.from_arrays([pa.array([table.read().tobytes()])], ["t"]) for _ in batches)
+    assert want.sum() > 0 and {bytes(r.t) for r in rows.mapInArrow(read, "t binary").collect()} == {want.tobytes()}
+    empty = shingles.SlotTable.of(rows.where("id < 0"), held, 12, lambda c: c.astype(np.uint8), fresh_dir(spark, "slots"))
+    assert not empty.read().any() and len(empty.read()) == 4096
