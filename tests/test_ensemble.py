@@ -263,3 +263,19 @@ def test_packed_moments_hold_every_row(spark):
     got = {(r.datetime, r.reachid, r.member, r.value) for r in ensemble.unpacked(moments).collect()}
     assert got == {(t.to_pydatetime(), r, m, v) for t, r, _, m, v in rows if (m, v) != (1, 1.0)}
     assert [tuple(r) for r in ensemble.packed_records(moments).collect()] == [(INIT.to_pydatetime(), 10, 3.0)]
+
+
+def test_a_member_counts_once_however_many_rows_it_has(spark):
+    rows = [(1, 1, 0), (1, 1, 3), (1, 1, 3), (1, 52, 1), (1, None, 6), (1, None, 6), (1, 99, 2), (1, 5, None), (2, None, None)]
+    got = ensemble.exceedance_counts(spark.createDataFrame(rows, "k int, member int, level int"), ["k"])
+    assert sorted(map(tuple, got.collect())) == [(1, 4, 3, 2, 1, 1, 1), (2, 0, 0, 0, 0, 0, 0)]
+
+
+def test_daily_maxima_meet_days_not_members(spark):
+    moment = dt.datetime(2002, 1, 28)
+    rows = [("a", moment, moment + dt.timedelta(days=d), m, v) for d, m, v in [(0, 1, 2.0), (0, 1, 3.0), (2, 1, None), (3, 52, 4.0), (1, 99, 5.0)]]
+    daily = ensemble.daily_maximum(spark.createDataFrame(rows, "hydroweb string, initialized timestamp_ntz, datetime timestamp_ntz, member int, corrected double"))
+    assert "member" not in daily._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [hydroweb")[1].split("]")[0]
+    got = {(r.day.day, r.member): r.max_value for r in daily.collect()}
+    value = {(28, 1): 3.0, (31, 52): 4.0, (29, 99): 5.0}
+    assert got == {(d, m): value.get((d, m)) for d in (28, 29, 30, 31) for m in (1, 52, 99)}
