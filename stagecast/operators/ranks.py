@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from stagecast.operators.lookup import split_join
+from stagecast.operators.lookup import row_counts, split_join
 from stagecast.workspace import materialise
 
 #: Distinct values of one range, about.
@@ -53,10 +53,25 @@ def rank_table(df: DataFrame, key: str, value: str, range_values: int | None = N
 
 
 def with_rank(df: DataFrame, key: str, value: str, out: str, range_values: int | None = None) -> DataFrame:
-    """Add ``out``, the average-tie rank of ``value`` within ``key``.
+    """Add ``out``, the average-tie rank of ``value`` within ``key``; rows without key or value have none and go.
 
-    Values that very many rows share are joined in pieces.
+    Groups of no more rows than a range has values are sorted as they are, and several ranks of the
+    same key share one shuffle. In larger groups equal values are counted first, and values that very many rows
+    share are joined in pieces.
     """
-    counts = value_counts(df, key, value)
+    rows = df.where(F.col(key).isNotNull() & F.col(value).isNotNull())
+    sizes = row_counts(rows, [key]).where(F.col("n") > (RANGE_VALUES if range_values is None else range_values))
+    large = materialise(sizes.select(key), "large-groups")
+    if large.isEmpty():
+        return _sorted_rank(rows, key, value, out)
+    counted = rows.join(large, key, "left_semi")
+    counts = value_counts(counted, key, value)
     ranks = rank_counts(counts, key, value, range_values).select(key, value, F.col("rank").alias(out))
-    return split_join(df, ranks, [key, value], counts)
+    ranked = split_join(counted, ranks, [key, value], counts)
+    return _sorted_rank(rows.join(large, key, "left_anti"), key, value, out).unionByName(ranked)
+
+
+def _sorted_rank(rows: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """Average-tie ranks of groups that each fit a task."""
+    below, ties = Window.partitionBy(key).orderBy(value), Window.partitionBy(key, value)
+    return rows.withColumn(out, F.rank().over(below)).withColumn(out, F.col(out) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0))

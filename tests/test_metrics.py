@@ -108,3 +108,17 @@ def test_recent_records_and_extent(spark):
     assert sorted(r.corrected for r in recent.collect()) == [0.0, 3.0, 8.0]
     starts = {r.hydroweb: r.start for r in series.chart_span(span, recent).collect()}
     assert starts == {"A": (INIT - pd.Timedelta(days=8)).to_pydatetime(), "B": INIT.to_pydatetime()}
+
+
+@pytest.mark.parametrize("range_values", [1000, 100, 7])
+def test_ranks_of_groups_that_fit_a_task_share_one_shuffle(spark, range_values):
+    rng = np.random.default_rng(3)
+    frame = pd.DataFrame({"k": ["A"] * 200 + ["B"] * 50 + [None], "x": rng.integers(0, 20, 251).astype(float), "y": rng.integers(0, 9, 251).astype(float)})
+    frame.loc[[3, 210], "x"] = np.nan
+    rows = spark.createDataFrame(frame).withColumn("x", F.when(~F.isnan("x"), F.col("x"))).localCheckpoint()
+    got = ranks.with_rank(ranks.with_rank(rows, "k", "x", "rx", range_values), "k", "y", "ry", range_values)
+    left = frame.dropna()
+    want = left.assign(rx=left.groupby("k").x.rank(), ry=left.groupby("k").y.rank())
+    assert sorted(map(tuple, got.select("k", "x", "y", "rx", "ry").collect())) == sorted(want.itertuples(index=False, name=None))
+    if range_values == 1000:
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
