@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from stagecast.operators import alerts, bias, ensemble, extremes
+from stagecast.operators import alerts, bias, ensemble, extremes, lookup
 from stagecast.schemas import RETURN_PERIODS
 from stagecast.sinks import writers
 from tests.small import INIT, make_tables
@@ -279,3 +279,42 @@ def test_daily_maxima_meet_days_not_members(spark):
     got = {(r.day.day, r.member): r.max_value for r in daily.collect()}
     value = {(28, 1): 3.0, (31, 52): 4.0, (29, 99): 5.0}
     assert got == {(d, m): value.get((d, m)) for d in (28, 29, 30, 31) for m in (1, 52, 99)}
+
+
+@pytest.mark.parametrize("broadcast", [lookup.BROADCAST_BYTES, 0])
+def test_forecast_statistics_correct_the_places_they_read(spark, monkeypatch, broadcast):
+    """As of all corrected members, for stations whose correction keeps the order of values and one whose doesn't."""
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", broadcast)
+    rng = np.random.default_rng(8)
+    days = [dt.datetime(y, 1, d) for y in (2000, 2001, 2002) for d in range(1, 29)]
+    # Classes are 8, so 8 to 16 has steps of 1 and the lowest value lies on an edge; observations of A start above the first class.
+    simulated = [(t, r, v) for r in (10, 20) for t, v in zip(days, [8.0, 16.0, *rng.uniform(8, 16, 82).tolist()])]
+    observed = [(t, h, v) for h, base in (("A", 104.0), ("B", 100.0), ("C", 100.0)) for t, v in zip(days, [base, base + 8, *rng.uniform(base, base + 8, 82).tolist()])]
+    rows = [(INIT + 3 * i * HOUR, r, INIT, m, float(v)) for r in (10, 20) for i in range(4) for m, v in enumerate(rng.uniform(-2, 25, 52).round(2), 1)]
+    rows = [(t, r, s, m, 8.0 if m % 5 == 0 else v) for t, r, s, m, v in rows if (m, t) != (9, INIT)]
+    rows += [(INIT + 3 * HOUR, 10, INIT, 4, 8.0), (INIT + 3 * HOUR, 10, INIT, 4, 8.5), (INIT + 6 * HOUR, 20, INIT, 52, None)]
+    tables = make_tables(spark, [("A", 10), ("B", 10), ("C", 20)], [*observed, (dt.datetime(2001, 2, 1), "A", 100.0)], simulated, rows)
+    model = bias.fit(tables)
+    runs = bias.forecast_runs(bias.forecast_rows(tables.ensemble))
+    flags = {r.hydroweb: r.ordered for r in bias.with_order(bias.run_mapping(runs, model)).collect()}
+    assert flags == {"A": False, "B": True, "C": True}
+    got = ensemble.forecast_stats(tables, model)
+    want = ensemble.ensemble_stats(bias.corrected_forecast(tables, model))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 12
+    shuffled = got._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [hydroweb")[1].split("\n")[0]
+    assert "ensemble_" not in shuffled and "AS _25" in shuffled
+
+
+def test_a_station_of_two_reaches_has_no_order(spark):
+    rows = [(INIT, r, INIT, m, float(m + r)) for r in (10, 20) for m in range(1, 53)]
+    tables = flat_tables(spark, rows, stations=(("A", 10), ("A", 20), ("B", 20)))
+    model = bias.fit(tables)
+    got, want = ensemble.forecast_stats(tables, model), ensemble.ensemble_stats(bias.corrected_forecast(tables, model))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 2
+
+
+def test_windows_are_made_of_moments_before_their_members(spark):
+    tables = flat_tables(spark, members(52, days=3))
+    model, thresholds = state(tables)
+    plan = ensemble.probability_table(tables, model, thresholds)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("posexplode") < plan.index("explode(array_distinct") < plan.index("Join Inner")  # the top comes first
