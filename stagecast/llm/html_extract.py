@@ -28,6 +28,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -43,6 +44,8 @@ from stagecast.operators.lookup import lookup_join, row_counts
 KEPT_CHARS = 4_000_000
 #: Levels of a page that are aligned node by node.
 DEPTH = 60
+#: Paired children of two nodes that are kept for the way back; more are paired once more.
+KEPT_PAIRS = 32
 
 # Fixed values of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -73,19 +76,30 @@ _SCOPES = {"ul", "ol", "table", "dl", "article", "section", "div", "body", "main
 class Node:
     """An element: label (tag with class and role), children, which are nodes and texts."""
 
-    __slots__ = ("boilerplate", "children", "label", "tag")
+    __slots__ = ("boilerplate", "children", "inner", "label", "tag")
 
     def __init__(self, tag: str, attrs: list[tuple[str, str | None]] = ()):
-        named = {k: (v or "") for k, v in attrs}
-        marks = " ".join(named.get(k, "") for k in ("class", "id", "role")).lower()
-        # An id names one element of one page, so it is no part of what pages have in common.
-        shared = " ".join(named[k] for k in ("class", "role") if named.get(k, "").strip()).lower()
-        self.tag, self.label = tag, f"{tag}.{shared}" if shared else tag
-        self.boilerplate = tag in NEVER or bool(marks and _MARKS.search(marks)) or "hidden" in named
+        self.tag, (self.label, self.boilerplate) = tag, _named(tag, tuple(attrs))
         self.children: list[Node | str] = []
+        self.inner: list[Node] = []  # those children that are elements
+
+    def add(self, child: "Node | str") -> None:
+        self.children.append(child)
+        if isinstance(child, Node):
+            self.inner.append(child)
 
     def elements(self) -> list["Node"]:
-        return [c for c in self.children if isinstance(c, Node)]
+        return self.inner
+
+
+@lru_cache(maxsize=4096)
+def _named(tag: str, attrs: tuple[tuple[str, str | None], ...]) -> tuple[str, bool]:
+    """Label of an element and whether it is boilerplate. Pages of a host repeat their elements, so many are known."""
+    named = {k: (v or "") for k, v in attrs}
+    marks = " ".join(named.get(k, "") for k in ("class", "id", "role")).lower()
+    # An id names one element of one page, so it is no part of what pages have in common.
+    shared = " ".join(named[k] for k in ("class", "role") if named.get(k, "").strip()).lower()
+    return f"{tag}.{shared}" if shared else tag, tag in NEVER or bool(marks and _MARKS.search(marks)) or "hidden" in named
 
 
 class _Builder(HTMLParser):
@@ -97,10 +111,11 @@ class _Builder(HTMLParser):
     def _close(self, tags: set[str], scopes: set[str]) -> None:
         """Close the innermost open element of ``tags``, with all it holds, unless a scope is between."""
         for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth].tag in tags:
+            tag = self.open[depth].tag
+            if tag in tags:
                 del self.open[depth:]
                 return
-            if self.open[depth].tag in scopes:
+            if tag in scopes:
                 return
 
     def handle_starttag(self, tag, attrs):
@@ -109,7 +124,7 @@ class _Builder(HTMLParser):
         if tag in _ENDS:
             self._close(_ENDS[tag], {"ul", "ol", "table", "dl", "select"} if tag != "tr" else {"table"})
         node = Node(tag, attrs)
-        self.open[-1].children.append(node)
+        self.open[-1].add(node)
         if tag not in VOID:
             self.open.append(node)
 
@@ -122,7 +137,10 @@ class _Builder(HTMLParser):
         self._close({tag}, set())
 
     def handle_data(self, data):
-        self.open[-1].children.append(data)
+        self.open[-1].add(data)
+
+    def updatepos(self, i, j):
+        return j  # nobody asks for line numbers
 
     def parse_html_declaration(self, i):
         # Only "<!DOCTYPE" and "<!--" mean anything in HTML; "<![if ..]>" and the like are comments.
@@ -172,7 +190,7 @@ def text_of_node(node: Node) -> str:
 
 
 def _leaf(node: Node) -> bool:
-    return node.boilerplate or not node.elements()
+    return node.boilerplate or not node.inner
 
 
 def _trim(left: list[Node], right: list[Node]) -> tuple[int, int]:
@@ -185,7 +203,11 @@ def _trim(left: list[Node], right: list[Node]) -> tuple[int, int]:
     return begin, end
 
 
-def _children_matched(a: Node, b: Node, depth: int, sizes: dict[tuple[int, int], int]) -> tuple[int, list[tuple[Node, Node]]]:
+#: For two nodes, the size of their match and the children it pairs.
+_Sizes = dict[tuple[int, int], tuple[int, list[tuple[Node, Node]] | None]]
+
+
+def _children_matched(a: Node, b: Node, depth: int, sizes: _Sizes) -> tuple[int, list[tuple[Node, Node]]]:
     """Size of the best match of two child lists, and the children it pairs.
 
     Rows of the table are vectors: a row is the running maximum of what each pair would add. Of
@@ -207,7 +229,8 @@ def _children_matched(a: Node, b: Node, depth: int, sizes: dict[tuple[int, int],
             for j in np.flatnonzero(equal & ~right_leaf).tolist():
                 gain[j] = _matched(x, right[j], depth + 1, sizes)
         paired = np.where(equal, row[:-1] + gain, 0)
-        fresh = np.maximum.accumulate(np.r_[0, np.maximum(row[1:], paired)])
+        fresh = np.zeros(len(right) + 1, np.int64)
+        np.maximum.accumulate(np.maximum(row[1:], paired), out=fresh[1:])
         moved.append(np.packbits(fresh[1:] == fresh[:-1]))     # the right one may stay alone
         taken.append(np.packbits(fresh[1:] == row[1:]))        # the left one may stay alone
         row = fresh
@@ -224,12 +247,15 @@ def _children_matched(a: Node, b: Node, depth: int, sizes: dict[tuple[int, int],
     return begin + end + int(row[-1]), pairs
 
 
-def _matched(a: Node, b: Node, depth: int, sizes: dict[tuple[int, int], int]) -> int:
+def _matched(a: Node, b: Node, depth: int, sizes: _Sizes) -> int:
     key = id(a), id(b)
     if key not in sizes:
-        flat = depth > DEPTH or _leaf(a) or _leaf(b)
-        sizes[key] = 1 if flat else 1 + _children_matched(a, b, depth, sizes)[0]
-    return sizes[key]
+        if depth > DEPTH or _leaf(a) or _leaf(b):
+            sizes[key] = 1, []
+        else:
+            most, pairs = _children_matched(a, b, depth, sizes)
+            sizes[key] = 1 + most, pairs if len(pairs) <= KEPT_PAIRS else None
+    return sizes[key][0]
 
 
 def tree_matching(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
@@ -237,18 +263,19 @@ def tree_matching(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
 
     Roots match if their labels are equal; then the children are aligned by dynamic programming
     over the sizes of their own matches. Boilerplate is aligned as a whole, and so is what lies
-    ``DEPTH`` levels deep, where no region begins. Memory is a number per pair of inner nodes with
-    equal labels and a bit or two per pair of siblings.
+    ``DEPTH`` levels deep, where no region begins. Memory is a number and up to ``KEPT_PAIRS`` paired children per
+    pair of inner nodes with equal labels, and a bit or two per pair of siblings.
     """
     if a.label != b.label:
         return 0, []
-    sizes: dict[tuple[int, int], int] = {}
+    sizes: _Sizes = {}
     total, pairs, open_pairs = _matched(a, b, 0, sizes), [], [(a, b, 0)]
     while open_pairs:  # only what is part of the match is walked again for its pairs
         x, y, depth = open_pairs.pop()
         pairs.append((x, y))
         if depth <= DEPTH and not _leaf(x) and not _leaf(y):
-            open_pairs.extend((u, v, depth + 1) for u, v in _children_matched(x, y, depth, sizes)[1])
+            held = sizes[id(x), id(y)][1] if (id(x), id(y)) in sizes else None
+            open_pairs.extend((u, v, depth + 1) for u, v in (_children_matched(x, y, depth, sizes)[1] if held is None else held))
     return total, pairs
 
 

@@ -97,3 +97,15 @@ def test_every_page_of_a_host_decides_its_template(spark):
     assert len(got) == 800 and all(r.text.startswith(f"Story {r.page_id} part 0") and "notice" not in r.text for r in got)
     copies = spark.createDataFrame([("h", pages[1])] * 5 + [(None, pages[1]), ("e", ""), ("n", None)], "host string, html string")
     assert {r.wrapper for r in html.wrappers(copies.where("host IS NOT NULL")).collect()} == {"null"}
+
+
+def test_children_are_paired_once(monkeypatch):
+    """Pairs of two nodes' children are found once and kept for the way back, unless there are very many."""
+    page = "<div>" + "".join(f"<section><p>a{i}<b>x</b></p><p>c<i>y</i></p></section>" for i in range(6)) + "</div>"
+    a, b = html.parse(page), html.parse(page.replace("<section>", "<section><h2>t<u>z</u></h2>", 3))
+    paired, calls = html._children_matched, []
+    monkeypatch.setattr(html, "_children_matched", lambda x, y, *rest: calls.append((id(x), id(y))) or paired(x, y, *rest))
+    kept = html.tree_matching(a, b)
+    assert len(calls) == len(set(calls))
+    monkeypatch.setattr(html, "KEPT_PAIRS", 0)
+    assert html.tree_matching(a, b)[0] == kept[0] and set(html.tree_matching(a, b)[1]) == set(kept[1])
