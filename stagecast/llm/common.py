@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import io
 import re
 import tempfile
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stagecast.workspace import fresh_dir, mark, materialise, release
 
-__all__ = ["BATCH_ROWS", "NOT_SPACE", "WORD", "fresh_dir", "grouped_rows", "lower_az", "mark", "materialise", "ready", "release", "text_of", "words_of"]
+__all__ = ["BATCH_ROWS", "NOT_SPACE", "WORD", "fresh_dir", "grouped_rows", "lower_az", "mark", "materialise", "ready", "release", "text_of", "tidy", "words_of"]
 
 #: Words are runs of anything but the six ASCII white-space characters.
 NOT_SPACE = r"[^\x20\x09-\x0D]"
@@ -64,6 +66,18 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({NOT_SPACE}+)"), F.lit(1))
 
 
+def tidy() -> None:
+    """Give memory that tasks of this process have freed back to the system.
+
+    A Python worker outlives its task, and what it keeps counts beside the next stage of its executor.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
 _TO_LOWER = str.maketrans(_UPPER, _LOWER)
 
 

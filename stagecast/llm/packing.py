@@ -30,7 +30,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stagecast.llm.common import grouped_rows, materialise, ready
+from stagecast.llm.common import grouped_rows, materialise, ready, tidy
+from stagecast.llm.shingles import forget
 
 #: Chunks between these characters are tokenised independently; other white space stays inside.
 _CHUNK = re.compile(r"[^ \t\n\r]+")
@@ -191,6 +192,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id: int, id_co
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"]
             )
+        forget()  # what an earlier stage has left in this worker
+        tidy()
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tokenise, _PIECES)
 

@@ -135,6 +135,11 @@ def slot_summary(
 _read: dict[str, np.ndarray] = {}
 
 
+def forget() -> None:
+    """Let go of the table that this process has read."""
+    _read.clear()
+
+
 @dataclass(frozen=True)
 class SlotTable:
     """A :func:`slot_summary` in a shared folder, a file per range, which no one but tasks write or read."""

@@ -41,3 +41,22 @@ def test_nothing_comes_of_nothing(spark, tmp_path):
         stage(spark, docs, SMALL).write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         assert docs.count() == 0
+
+
+def test_packing_leaves_no_table_of_other_stages_in_its_worker(spark, monkeypatch):
+    """A worker outlives its task: what it has freed goes back to the system, tables of earlier stages go."""
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+
+    from stagecast.llm import packing, shingles
+
+    tasks, tidied = [], []
+    rows = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda df, function, schema: tasks.append(function) or df)
+    packing.pieces(rows, public_tokenizers.path("word_bpe_49k.json"), 2048, 1, "doc_id", "text")
+    monkeypatch.setitem(shingles._read, "folder", np.zeros(1))
+    monkeypatch.setattr(packing, "tidy", lambda: tidied.append(1))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["one two", None]})
+    made = list(tasks[0](iter([batch])))
+    assert made[0].num_rows == 2 and not shingles._read and tidied == [1]
