@@ -9,14 +9,17 @@ first n - ceil(t n) + 1 of each. The order is cut into fragments.
    stream: the first set with a token becomes the token's pivot, later ones are noted with it. So
    a token of a third of all sets costs one row each, in no more memory than its first.
 3. Each set is compared with the pivot it shares most tokens with; links make components.
-4. What is left are tokens whose sets lie in several components. In rounds, each token takes a pivot of
-   its largest component, the set that shares most tokens with others, and sets of other components
-   are compared with it, one comparison for each set and round. Rounds go on while many sets link.
+4. What is left are tokens whose sets lie in several components. In rounds, each token takes pivots of
+   some of its largest components, the sets that share most tokens with others, and sets of smaller
+   components are compared with them, a few comparisons for each set and round. No pair is compared twice.
+   Rounds go on while many sets link.
 5. Pairs of sets across the components that remain are compared, so a large group of copies is never
-   expanded into its pairs. Common leading tokens
-   of a pair are counted, and a pair with too few to reach the threshold is done. Every pair that
-   shares enough is then compared or already connected: no link that would join two components
-   is missed.
+   expanded into its pairs. No link that would join two components is missed.
+
+Two sets meet in a token only if it could be their first common one: all they share then stands from
+there on in both, so the shorter of the two rests has to reach the overlap that the threshold asks for.
+Sets of a large group of near copies that differ by too many rare tokens of their own hold the tokens of
+the group too far behind, and don't meet.
 
 A pair is compared fragment by fragment: the sets are cut vertically, overlaps of a fragment are
 counted on their own, pairs that can't reach the threshold any more are dropped after the first,
@@ -52,8 +55,10 @@ FRAGMENTS = 8
 #: A list of documents up to this length is sent to all tasks (16 MB); a longer one is joined.
 SENT_IDS = 2_000_000
 #: Rounds of comparisons with pivots go on while this share of the compared sets links, up to so many.
-LINKING = 0.05
+LINKING = 0.02
 ROUNDS = 8
+#: Pivots of a token in a round, each of another component.
+PIVOTS = 8
 
 def leading(n: int, num: int, den: int) -> int:
     """How many leading tokens of ``n`` one must look at: overlap is at least ceil(n num / den)."""
@@ -121,11 +126,11 @@ def only(rows: DataFrame, ids: DataFrame, present: bool = True) -> Chosen:
 
 
 def _postings(docs: Chosen, n: int, num: int, den: int, fragments: int, level: SlotTable) -> DataFrame:
-    """Leading tokens with their documents and set sizes, as arrays by fragment."""
+    """Leading tokens with documents, set sizes and how many tokens of the set stand from there on, as arrays by fragment."""
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in grouped_rows(batches, ["doc", "text"]):
-            tokens, owner, sizes = [np.empty(0, np.uint64)], [], []
+            tokens, owner, sizes, rests = [np.empty(0, np.uint64)], [], [], []
             for doc, text in zip(ids, texts):
                 found = shingle_set(text, n)
                 if len(found):
@@ -133,62 +138,54 @@ def _postings(docs: Chosen, n: int, num: int, den: int, fragments: int, level: S
                     tokens.append(found[order[: leading(len(found), num, den)]])
                     owner.append(np.full(len(tokens[-1]), doc))
                     sizes.append(np.full(len(tokens[-1]), len(found)))
+                    rests.append(len(found) - np.arange(len(tokens[-1])))
             token = np.concatenate(tokens)
             if len(token):
-                doc, size = np.concatenate(owner).astype(np.int64), np.concatenate(sizes).astype(np.int32)
+                doc, size, rest = np.concatenate(owner).astype(np.int64), np.concatenate(sizes).astype(np.int32), np.concatenate(rests).astype(np.int32)
                 place = (token % np.uint64(fragments)).astype(np.int64)
                 order = np.argsort(place, kind="stable")
                 present, starts = np.unique(place[order], return_index=True)
                 parts = np.split(order, starts[1:])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(present), *(pa.array([c[p].tobytes() for p in parts], pa.binary()) for c in (token, doc, size))],
-                    ["fragment", "tokens", "docs", "sizes"],
+                    [pa.array(present), *(pa.array([c[p].tobytes() for p in parts], pa.binary()) for c in (token, doc, size, rest))],
+                    ["fragment", "tokens", "docs", "sizes", "rests"],
                 )
 
-    return docs.mapInArrow(lead, "fragment long, tokens binary, docs binary, sizes binary")
+    return docs.mapInArrow(lead, "fragment long, tokens binary, docs binary, sizes binary, rests binary")
 
 
 def _shared(postings: DataFrame, fragments: int) -> DataFrame:
-    """token, pivot, pivot_n, doc, n for every posting but the first of its token."""
+    """token, pivot, pivot_n, pivot_rest, doc, n, rest for every posting but the first of its token."""
+    kinds = {"tokens": np.uint64, "docs": np.int64, "sizes": np.int32, "rests": np.int32}
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen_token, seen_doc, seen_n = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
+        seen = [np.empty(0, kind) for kind in kinds.values()]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, doc, n = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), kind)
-                for c, kind in (("tokens", np.uint64), ("docs", np.int64), ("sizes", np.int32))
-            )
-            token, doc, n = np.concatenate([seen_token, token]), np.concatenate([seen_doc, doc]), np.concatenate([seen_n, n])
-            order = np.argsort(token, kind="stable")  # pivots come first among equal tokens
-            token, doc, n = token[order], doc[order], n[order]
+            more = (np.frombuffer(b"".join(batch.column(c).to_pylist()), kind) for c, kind in kinds.items())
+            held = [np.concatenate(both) for both in zip(seen, more)]
+            order = np.argsort(held[0], kind="stable")  # pivots come first among equal tokens
+            token, doc, n, rest = (column[order] for column in held)
             new = np.r_[True, token[1:] != token[:-1]]
-            pivot = np.flatnonzero(new)[np.cumsum(new) - 1]
-            rest = ~new
-            seen_token, seen_doc, seen_n = token[new], doc[new], n[new]
+            later = ~new
+            pivot = (np.flatnonzero(new)[np.cumsum(new) - 1])[later]
+            seen = [column[new] for column in (token, doc, n, rest)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (token[rest].view(np.int64), doc[pivot[rest]], n[pivot[rest]], doc[rest], n[rest])],
-                ["token", "pivot", "pivot_n", "doc", "n"],
+                [pa.array(x) for x in (token[later].view(np.int64), doc[pivot], n[pivot], rest[pivot], doc[later], n[later], rest[later])],
+                ["token", "pivot", "pivot_n", "pivot_rest", "doc", "n", "rest"],
             )
 
     tasks = min(fragments, 4 * int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return postings.repartition(tasks, "fragment").mapInArrow(stream, "token long, pivot long, pivot_n int, doc long, n int")
-
+    return postings.repartition(tasks, "fragment").mapInArrow(stream, "token long, pivot long, pivot_n int, pivot_rest int, doc long, n int, rest int")
 
-def _near(m: Column, n: Column, num: int, den: int) -> Column:
-    """Sizes that allow the similarity."""
-    return F.least(m, n) * den >= F.greatest(m, n) * num
 
+def _meets(m: Column, m_rest: Column, n: Column, n_rest: Column, num: int, den: int) -> Column:
+    """Whether sets of ``m`` and ``n`` tokens can have the similarity if this token is their first common one.
 
-def _enough(shared: Column, m: Column, n: Column, num: int, den: int) -> Column:
-    """Whether ``shared`` common leading tokens allow the similarity.
-
-    Every other common token lies, in the global order, behind the leading ones of the set whose
-    leading ones end first, so there are at most as many as that set has behind them.
+    In the global order all common tokens then stand from it on in both sets.
     """
-    behind = F.greatest(F.ceil(m * num / den), F.ceil(n * num / den)) - 1
-    return (shared + behind) * (num + den) >= (m + n).cast("long") * num
+    return F.least(m_rest, n_rest).cast("long") * (num + den) >= (m + n).cast("long") * num
 
 
 def _segments(docs: Chosen, n: int) -> DataFrame:
@@ -257,8 +254,8 @@ def similar_groups(
     shared = materialise(
         _shared(_postings(used, shingle_words, num, den, fragments, level), fragments).where("pivot <> doc"), "shared-tokens"
     )
-    near = shared.where(_near(F.col("pivot_n"), F.col("n"), num, den))
-    counted = near.groupBy("doc", "n", "pivot", "pivot_n").agg(F.count("*").alias("c"))
+    meets = _meets(F.col("pivot_n"), F.col("pivot_rest"), F.col("n"), F.col("rest"), num, den)
+    counted = shared.groupBy("doc", "n", "pivot", "pivot_n").agg(F.count("*").alias("c"), F.max(meets).alias("meets")).where("meets")
     best = counted.groupBy("doc", "n").agg(F.max_by(F.struct("pivot", "pivot_n"), F.struct("c", -F.col("pivot"))).alias("p"))
     pairs = materialise(
         best.select(F.col("p.pivot").alias("a"), F.col("p.pivot_n").alias("a_n"), F.col("doc").alias("b"), F.col("n").alias("b_n")), "pairs"
@@ -270,7 +267,7 @@ def similar_groups(
     release(spark, begun, begun + 1)
     copies = member.where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
     found = materialise(components(first_links.unionByName(copies)), "components")
-    found = _joined(shared, found, rows, shingle_words, num, den)
+    found = _joined(shared, found, pairs, rows, shingle_words, num, den)
     return sets.join(found, sets["doc"] == found["node"], "left").select(
         sets["doc"].alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id")
     )
@@ -287,12 +284,17 @@ def one_of_each_group(
     return kept.mapInArrow(lambda batches: batches, rows.schema).select("_row.*")
 
 
-def _mixed(holders: DataFrame, found: DataFrame) -> DataFrame:
-    """token, doc, n, c (its component) for tokens whose documents lie in several components."""
+def _mixed(holders: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
+    """token, doc, n, rest, c (its component) for tokens whose documents lie in several components.
+
+    Sets that can't meet any other in the token are left out; its smallest set and those just similar in size ask for least.
+    """
     rows = holders.join(found.select(F.col("node").alias("doc"), F.col("component").alias("c")), "doc", "left")
-    rows = materialise(rows.select("token", "doc", "n", F.coalesce("c", "doc").alias("c")), "holders")
-    several = rows.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("token")
-    return materialise(rows.join(several, "token", "left_semi"), "mixed")
+    rows = materialise(rows.select("token", "doc", "n", "rest", F.coalesce("c", "doc").alias("c")), "holders")
+    several = rows.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.min("n").alias("least")).where("x <> y").select("token", "least")
+    least = F.greatest(F.col("least"), F.ceil(F.col("n") * num / den).cast("int"))
+    rows = rows.join(several, "token").where(_meets(F.col("n"), F.col("rest"), least, F.col("rest"), num, den))
+    return materialise(rows.drop("least"), "mixed")
 
 
 def _largest(mixed: DataFrame) -> DataFrame:
@@ -308,59 +310,75 @@ def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(found.join(new, "component", "left").select("node", F.coalesce("new", "component").alias("component")), "components")
 
 
-def _joined(shared: DataFrame, found: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """``found`` with all links across its components."""
-    holders = shared.select("token", "doc", "n").unionByName(
-        shared.select("token", F.col("pivot").alias("doc"), F.col("pivot_n").alias("n"))
+def _joined(shared: DataFrame, found: DataFrame, tried: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """``found`` with all links across its components; the pairs ``tried`` have been compared."""
+    tried = _pairs(tried)
+    holders = shared.select("token", "doc", "n", "rest").unionByName(
+        shared.select("token", F.col("pivot").alias("doc"), F.col("pivot_n").alias("n"), F.col("pivot_rest").alias("rest"))
     ).distinct()
-    mixed = _mixed(holders, found)
+    mixed = _mixed(holders, found, num, den)
     weight = materialise(mixed.groupBy("doc").agg(F.count("*").alias("weight")), "weights")
     alone = weight.join(found.select(F.col("node").alias("doc")), "doc", "left_anti").select(F.col("doc").alias("node"), F.col("doc").alias("component"))
     found = materialise(found.unionByName(alone), "components")
     begun = mark()
     segments = materialise(_segments(only(docs, materialise(weight.select("doc"), "compared")), n), "segments")
     for k in range(ROUNDS):
-        pairs = materialise(_with_pivots(mixed, weight, k, num, den), "pairs")
+        pairs = materialise(_with_pivots(mixed, weight, tried, k, num, den), "pairs")
+        tried = tried.unionByName(pairs)
         links = _links(pairs, segments, num, den)
         n_pairs, n_links = pairs.count(), links.count()
         if n_links:
             found = _merged(found, links)
-            mixed = _mixed(mixed.drop("c"), found)
+            mixed = _mixed(mixed.drop("c"), found, num, den)
         if n_links <= LINKING * n_pairs:
             break
-    links = _links(materialise(_across(mixed, num, den), "pairs"), segments, num, den)
+    links = _links(materialise(_across(mixed, num, den).join(tried, PAIR, "left_anti"), "pairs"), segments, num, den)
     if not links.isEmpty():
         found = _merged(found, links)
     release(docs.sparkSession, begun, begun + 2)
     return found
 
 
-def _with_pivots(mixed: DataFrame, weight: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """For each document outside the largest component of a token one pivot of such a component.
+PAIR = ["a", "a_n", "b", "b_n"]
 
-    A token's pivot is the document with most tokens in common with others; from the second round on
-    chance, the same one for all tokens, has a part in it.
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """The distinct pairs (a, a_n, b, b_n) of ``rows``, the smaller identifier first."""
+    first, second = F.struct(F.col("a").alias("d"), F.col("a_n").alias("n")), F.struct(F.col("b").alias("d"), F.col("b_n").alias("n"))
+    pairs = rows.select(F.least(first, second).alias("x"), F.greatest(first, second).alias("y")).distinct()
+    return pairs.select(F.col("x.d").alias("a"), F.col("x.n").alias("a_n"), F.col("y.d").alias("b"), F.col("y.n").alias("b_n"))
+
+
+def _with_pivots(mixed: DataFrame, weight: DataFrame, tried: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Pairs of documents with pivots of larger components of their tokens that were not ``tried``, at most ``PIVOTS`` for each document.
+
+    The components of a token are dealt to places, anew in each round, and the largest of each place has a
+    pivot: the document with most tokens in common with others, from the second round on one by chance.
     """
-    rows = mixed.join(weight, "doc").join(_largest(mixed), "token")
-    chance = F.lit(1.0) if not k else 0.5 + F.pmod(F.xxhash64("doc", F.lit(k)), F.lit(1 << 20)) / float(1 << 21)
-    of_top = rows.where("c = top").groupBy("token").agg(F.max_by(F.struct("doc", "n"), F.struct(F.col("weight") * chance, -F.col("doc"))).alias("p"))
-    met = rows.where("c <> top").join(of_top, "token").where(_near(F.col("p.n"), F.col("n"), num, den))
-    counted = met.groupBy("doc", "n", "p").agg(F.count("*").alias("shared"))
-    best = counted.groupBy("doc", "n").agg(F.max_by("p", F.struct("shared", -F.col("p.doc"))).alias("p"))
-    return best.select(F.col("p.doc").alias("a"), F.col("p.n").alias("a_n"), F.col("doc").alias("b"), F.col("n").alias("b_n"))
+    size = mixed.groupBy("token", "c").agg(F.count("*").alias("size"))
+    rows = mixed.join(weight, "doc").join(size, ["token", "c"]).withColumn("place", F.pmod(F.xxhash64("c", F.lit(k)), F.lit(PIVOTS)))
+    first = F.xxhash64("doc", "token", F.lit(k)) if k else F.col("weight")
+    pivot = F.struct(*[F.col(x).alias(f"a_{x}") for x in ("doc", "n", "rest", "size", "c")])
+    pivots = rows.groupBy("token", "place").agg(F.max_by(pivot, F.struct("size", "c", first, -F.col("doc"))).alias("p"))
+    met = rows.drop("place").join(pivots.select("token", "place", "p.*"), "token").where(
+        ((F.col("size") < F.col("a_size")) | ((F.col("size") == F.col("a_size")) & (F.col("c") < F.col("a_c"))))
+        & _meets(F.col("n"), F.col("rest"), F.col("a_n"), F.col("a_rest"), num, den)
+    )
+    both = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("b_n").alias("a_n"), F.col("a").alias("b"), F.col("a_n").alias("b_n")))
+    both = both.withColumnsRenamed({"a": "a_doc", "b": "doc", "b_n": "n"})
+    counted = met.groupBy("doc", "n", "place", "a_doc", "a_n").agg(F.count("*").alias("shared")).join(both, ["doc", "n", "a_doc", "a_n"], "left_anti")
+    best = counted.groupBy("doc", "n", "place").agg(F.max_by(F.struct("a_doc", "a_n"), F.struct("shared", -F.col("a_doc"))).alias("p"))
+    return _pairs(best.select(F.col("p.a_doc").alias("a"), "p.a_n", F.col("doc").alias("b"), F.col("n").alias("b_n")))
 
 
 def _across(mixed: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of documents that share a leading token, may be similar and aren't connected yet."""
+    """Pairs of documents that may be similar and aren't connected yet, by their first common tokens."""
+    rows = mixed.join(_largest(mixed), "token")
     # The largest component of a token is met by the others and never by itself.
-    named = lambda rows, side: rows.withColumnsRenamed({"doc": side, "n": f"{side}_n", "c": f"{side}_c"})
-    left, right = named(mixed.join(_largest(mixed), "token").where("c <> top"), "a"), named(mixed, "b")
+    named = lambda rows, side: rows.withColumnsRenamed({name: f"{side}_{name}" for name in ("n", "rest", "c")} | {"doc": side})
+    left, right = named(rows.where("c <> top").drop("top"), "a"), named(rows, "b")
     met = left.join(right, "token").where(
         (F.col("a_c") != F.col("b_c")) & ((F.col("b_c") == F.col("top")) | (F.col("a_c") < F.col("b_c")))
-        & _near(F.col("a_n"), F.col("b_n"), num, den)
+        & _meets(F.col("a_n"), F.col("a_rest"), F.col("b_n"), F.col("b_rest"), num, den)
     )
-    a, b = (F.struct(F.col(side).alias("d"), F.col(f"{side}_n").alias("n")) for side in ("a", "b"))
-    forward = F.col("a_c") < F.col("b_c")
-    pairs = met.groupBy(F.when(forward, a).otherwise(b).alias("x"), F.when(forward, b).otherwise(a).alias("y")).agg(F.count("*").alias("shared"))
-    pairs = pairs.select(*[F.col(f"{s}.{f}").alias(to) for s, f, to in (("x", "d", "a"), ("x", "n", "a_n"), ("y", "d", "b"), ("y", "n", "b_n"))], "shared")
-    return pairs.where(_enough(F.col("shared"), F.col("a_n"), F.col("b_n"), num, den)).drop("shared")
+    return _pairs(met)

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -13,7 +14,7 @@ import tiktoken
 from tiktoken.load import load_tiktoken_bpe
 from tokenizers import Tokenizer
 
-from stagecast.llm import html_extract, queries
+from stagecast.llm import html_extract, jaccard_join, queries
 from stagecast.llm.hmm_lm import initial, log_likelihood
 from stagecast.llm.packing import best_fit_decreasing
 
@@ -110,6 +111,29 @@ def test_jaccard_components(spark, docs, folder):
     assert got == {k: (len(sets[k]), find(k)) for k in sets}
 
 
+@pytest.mark.parametrize("changed, places, most_rows, most_pairs", [(2, 40, 3000, 4000), (3, 150, 200, 800)])
+def test_jaccard_large_group_near_the_threshold(spark, monkeypatch, changed, places, most_rows, most_pairs):
+    """Near copies without their original, of which few link: neither their pairs are compared nor tokens that can't be a first common one held."""
+    chance, texts = random.Random(7), {}
+    for k in range(1, 151):
+        own = {place: f"own{k}x{place}" for place in chance.sample(range(places), changed)}
+        texts[k] = " ".join(own.get(place, f"word{place}") for place in range(150))
+    held, compared, across, links = [], [], jaccard_join._across, jaccard_join._links
+    monkeypatch.setattr(jaccard_join, "_across", lambda mixed, *more: held.append(mixed.count()) or across(mixed, *more))
+    monkeypatch.setattr(jaccard_join, "_links", lambda pairs, *more: compared.append(pairs.count()) or links(pairs, *more))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar_groups(docs, 4, 85, 100).collect()}
+    sets = {k: {tuple(t.split()[i : i + 4]) for i in range(147)} for k, t in texts.items()}
+    root = {k: k for k in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and root[a] != root[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                old, new = sorted((root[a], root[b]))[::-1]
+                root = {k: new if r == old else r for k, r in root.items()}
+    assert got == root
+    assert sum(held) <= most_rows and sum(compared) <= most_pairs
+
+
 def test_hmm_counts_and_base(spark, docs, folder):
     tokens = {k: [*words(lower(t or "")), None] for k, t in docs.items()}
     held = {k: zlib.crc32(str(k).encode()) % 10 == 0 for k in docs}
