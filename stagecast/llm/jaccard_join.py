@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
-from xxhash import xxh3_128_hexdigest
+from xxhash import xxh3_64_intdigest, xxh3_128_hexdigest
 
 from stagecast.llm.common import fresh_dir, grouped_rows, mark, materialise, ready, release
 from stagecast.llm.components import components
@@ -59,6 +59,7 @@ LINKING = 0.02
 ROUNDS = 8
 #: Pivots of a token in a round, each of another component.
 PIVOTS = 8
+PAIR = ["a", "a_n", "b", "b_n"]
 
 def leading(n: int, num: int, den: int) -> int:
     """How many leading tokens of ``n`` one must look at: overlap is at least ceil(n num / den)."""
@@ -189,7 +190,7 @@ def _meets(m: Column, m_rest: Column, n: Column, n_rest: Column, num: int, den:
 
 
 def _segments(docs: Chosen, n: int) -> DataFrame:
-    """doc, fragment, tokens: the sets cut vertically by ranges of hash."""
+    """doc, n, version, fragment, tokens: the sets cut vertically by ranges of hash; ``version`` tells texts of one identifier apart."""
     cuts = (np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(64 - FRAGMENTS.bit_length() + 1))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,35 +198,36 @@ def _segments(docs: Chosen, n: int) -> DataFrame:
             rows = []
             for doc, text in zip(ids, texts):
                 found = shingle_set(text, n)
-                rows += [(doc, f, part.view(np.int64)) for f, part in enumerate(np.split(found, np.searchsorted(found, cuts)))]
+                version = xxh3_64_intdigest(found) - (1 << 63)
+                rows += [(doc, len(found), version, f, part.view(np.int64)) for f, part in enumerate(np.split(found, np.searchsorted(found, cuts)))]
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))],
-                ["doc", "fragment", "tokens"],
+                [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc", "n", "version", "fragment", "tokens"]
             )
 
-    return docs.mapInArrow(cut, "doc long, fragment int, tokens array<long>")
+    return docs.mapInArrow(cut, "doc long, n int, version long, fragment int, tokens array<long>")
 
 
 def _links(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
     """Of the stored pairs (a, a_n, b, b_n), the linked ones: partial overlaps, summed."""
     begun = mark()
+    compared = [*PAIR, "a_version", "b_version"]
 
     def overlaps(some: DataFrame, which: Column) -> DataFrame:
-        part = segments.where(which)
-        left = part.select(F.col("doc").alias("a"), "fragment", F.col("tokens").alias("left"))
-        right = part.select(F.col("doc").alias("b"), "fragment", F.col("tokens").alias("right"))
-        return (
-            some.join(right, "b").join(left, ["a", "fragment"])
-            .select("a", "a_n", "b", "b_n", F.size(F.array_intersect("left", "right")).alias("shared"), F.size("left").alias("x"), F.size("right").alias("y"))
-        )
+        side = lambda x: segments.where(which).withColumnsRenamed({"doc": x, "n": f"{x}_n", "version": f"{x}_version", "tokens": f"{x}_tokens"})
+        keys = lambda x: [c for c in (x, f"{x}_n", f"{x}_version") if c in some.columns]
+        shared = F.size(F.array_intersect("a_tokens", "b_tokens")).alias("shared")
+        met = some.join(side("b"), keys("b")).join(side("a"), [*keys("a"), "fragment"])
+        # Rows that repeat a document have its fragments again, which count once.
+        return met.select(*compared, "fragment", shared, F.size("a_tokens").alias("x"), F.size("b_tokens").alias("y")).distinct()
 
     reach = lambda both: both * (num + den) >= (F.col("a_n") + F.col("b_n")) * num  # noqa: E731  den I >= num (a + b - I)
     first = overlaps(pairs, F.col("fragment") == 0).withColumn("rest", F.least(F.col("a_n") - F.col("x"), F.col("b_n") - F.col("y")))
-    first = materialise(first.where(reach(F.col("shared") + F.col("rest"))).select("a", "a_n", "b", "b_n", "shared"), "first-fragment")
-    others = overlaps(first.drop("shared"), F.col("fragment") > 0).select("a", "a_n", "b", "b_n", "shared")
-    total = first.unionByName(others).groupBy("a", "a_n", "b", "b_n").agg(F.sum("shared").alias("shared"))
+    first = materialise(first.where(reach(F.col("shared") + F.col("rest"))).select(*compared, "shared"), "first-fragment")
+    others = overlaps(first.drop("shared"), F.col("fragment") > 0).select(*compared, "shared")
+    total = first.unionByName(others).groupBy(*compared).agg(F.sum("shared").alias("shared"))
     done = mark()
-    links = materialise(total.where(reach(F.col("shared"))).select("a", "b"), "links")
+    links = materialise(total.where(reach(F.col("shared"))).select("a", "b").distinct(), "links")
     release(pairs.sparkSession, begun, done)
     return links
 
@@ -339,9 +341,6 @@ def _joined(shared: DataFrame, found: DataFrame, tried: DataFrame, docs: DataFra
     return found
 
 
-PAIR = ["a", "a_n", "b", "b_n"]
-
-
 def _pairs(rows: DataFrame) -> DataFrame:
     """The distinct pairs (a, a_n, b, b_n) of ``rows``, the smaller identifier first."""
     first, second = F.struct(F.col("a").alias("d"), F.col("a_n").alias("n")), F.struct(F.col("b").alias("d"), F.col("b_n").alias("n"))

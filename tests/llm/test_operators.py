@@ -134,6 +134,15 @@ def test_jaccard_large_group_near_the_threshold(spark, monkeypatch, changed, pla
     assert sum(held) <= most_rows and sum(compared) <= most_pairs
 
 
+def test_jaccard_repeated_rows_count_once(spark):
+    """Rows that repeat an identifier add nothing to an overlap, and its texts are compared one by one."""
+    text = lambda *changed: " ".join(f"own{k}" if k in changed else f"word{k}" for k in range(60))
+    rows = [(1, text()), (2, text(20, 40)), (2, text(20, 40)), (3, text(30)), (4, text(10, 50)), (4, " ".join(f"other{k}" for k in range(60)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar_groups(docs, 4, 85, 100).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4}
+
+
 def test_hmm_counts_and_base(spark, docs, folder):
     tokens = {k: [*words(lower(t or "")), None] for k, t in docs.items()}
     held = {k: zlib.crc32(str(k).encode()) % 10 == 0 for k in docs}
