@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import pytest
 
@@ -130,3 +131,44 @@ def test_scratch_of_another_thread_stays(spark):
     assert held["table"].count() == 7 and mark() == begun + 1
     with pytest.raises(Exception):
         mine.count()
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_")}
+
+
+def test_shuffles_of_a_stored_table_go_with_its_write(spark, tmp_path):
+    from stagecast.workspace import materialise
+
+    rows = [(T0 + dt.timedelta(hours=h), h % 7, T0, m, float(h + m)) for h in range(50) for m in (1, 2)]
+    frame, before = spark.createDataFrame(rows, ENSEMBLE), shuffle_files(spark)
+    stored = materialise(frame.groupBy("reachid").count(), "counted")
+    ensemble_table(str(tmp_path / "e")).load(frame, replace=True)
+    left = {name for name in shuffle_files(spark) - before if name.endswith(".data")}
+    assert sorted(r["count"] for r in stored.collect()) == [14] * 6 + [16] and ensemble_table(str(tmp_path / "e")).rows(spark).count() == 100
+    assert left == set()
+
+
+def test_arrivals_are_removed_once_they_are_stored(spark, tmp_path, monkeypatch):
+    """The query never holds the files of two arrivals, and each arrival goes on from the checkpoint."""
+    from verification import queries
+
+    folder, places, seen = str(tmp_path / "tables"), {}, []
+    for name, sql in {
+        "supplier": "SELECT id AS s_suppkey, concat('S', id) AS s_name, 1 AS s_nationkey, 2.5D AS s_acctbal FROM range(2, 6)",
+        "nation": "SELECT 1 AS n_nationkey, 'N' AS n_name, 1 AS n_regionkey", "region": "SELECT 1 AS r_regionkey, 'R' AS r_name",
+    }.items():
+        spark.sql(sql).write.parquet(f"{folder}/{name}.parquet")
+    plain, load = queries._Context.dir, ingest.ingest_forecasts
+    monkeypatch.setattr(queries._Context, "dir", lambda c, label: places.setdefault(label, plain(c, label)))
+    files = lambda: [f for f in os.listdir(places["arrivals"].removeprefix("file:")) if f.endswith(".parquet")]
+
+    def stored(*given):
+        seen.append(set(files()))
+        load(*given)
+
+    monkeypatch.setattr(ingest, "ingest_forecasts", stored)
+    rows = queries.registry()["stream_forecast_ingest"](spark, folder)
+    assert rows.count() == rows.distinct().count() == 3 * 2 * 120 * 52
+    assert len(seen) == 4 and all(seen) and len(set.union(*seen)) == sum(map(len, seen)) and files() == []
