@@ -28,6 +28,19 @@ def unused(name):
     return property(lambda self: pytest.fail(f"{name} is not read by the query"))
 
 
+def test_loads_derive_only_what_they_load(spark, folder, monkeypatch):
+    for name in ("_observed", "_simulation"):
+        monkeypatch.setattr(StoredFixtures, name, unused(name))
+    queries._contexts.pop((spark.sparkContext.applicationId, folder), None)
+    try:
+        rows = queries.registry()["forecast_load"](spark, folder).collect()
+    finally:
+        queries._contexts.pop((spark.sparkContext.applicationId, folder), None)
+    assert len(rows) == 3 * 2 * 120 and {r.n_rows for r in rows} == {52}
+    # Member 7 has a gap in every 40 steps.
+    assert sorted({(r.n_members or 0) for r in rows}) == [0, 51] and sum(r.n_members is None for r in rows) == 3 * 2 * 3
+
+
 def test_corrected_export_stores_no_forecast(spark, folder, monkeypatch):
     monkeypatch.setattr(StoredFixtures, "_ensemble", unused("_ensemble"))
     queries._contexts.pop((spark.sparkContext.applicationId, folder), None)
