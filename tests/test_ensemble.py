@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stagecast.operators import alerts, bias, ensemble, extremes, lookup
-from stagecast.schemas import RETURN_PERIODS
+from stagecast.schemas import ENSEMBLE, RETURN_PERIODS
 from stagecast.sinks import writers
 from tests.small import INIT, make_tables
 
@@ -318,3 +318,16 @@ def test_windows_are_made_of_moments_before_their_members(spark):
     model, thresholds = state(tables)
     plan = ensemble.probability_table(tables, model, thresholds)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("posexplode") < plan.index("explode(array_distinct") < plan.index("Join Inner")  # the top comes first
+
+
+def test_a_packed_row_has_few_slots(spark):
+    """Each row that is packed is compared with the slots of its strip only; together they hold all members, in order."""
+    moments = [(INIT.to_pydatetime(), r, m, None if m == 20 else float(100 * r + m)) for r in (10, 12) for m in [*range(52, 0, -1), 7, 33, 60] if m != 30]
+    given = spark.createDataFrame([(t, r, t, m, v) for t, r, m, v in moments], ENSEMBLE)
+    rows = ensemble.packed(given)
+    assert sum(c.startswith(("ensemble_", "slot_")) for c in rows.columns) == 13 and rows.where("usual").count() == 2 * 4
+    got = [(r.reachid, r.member, r.value) for r in ensemble.unpacked(rows.coalesce(1).sortWithinPartitions("reachid", "datetime", "strip")).collect()]
+    for reach in (10, 12):
+        own = [(m, v) for r, m, v in got if r == reach and m <= 52]
+        assert own == [(m, None if m == 20 else 100.0 * reach + m) for m in range(1, 53) if m != 30]
+    assert sorted(((r, v) for r, m, v in got if m == 60)) == [(10, 1060.0), (12, 1260.0)]
